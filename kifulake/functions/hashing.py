@@ -1,9 +1,11 @@
 """64-bit wrapping arithmetic and the hashes built on it, as native columns.
 
 ANSI mode makes ``bigint * bigint`` overflow an error, so products are formed from limbs
-that stay inside a signed 64-bit integer. Each step is one projection: intermediates are
-used several times and Catalyst keeps such projections apart instead of inlining them,
-which holds the expression tree small and leaves everything in whole-stage codegen.
+that stay inside a signed 64-bit integer. Intermediates are used several times, and a filter
+on the result would be pushed through plain projections with all of them substituted, which
+grows the predicate exponentially. :func:`bind` stops that: the column comes out of a
+one-element ``explode``, which keeps the row count, stays in whole-stage codegen, and below
+which no filter on the column can move.
 """
 
 from __future__ import annotations
@@ -32,6 +34,12 @@ def signed64(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+def bind(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add (or replace) ``name`` as a column the optimiser does not substitute."""
+    others = [c for c in df.columns if c != name]
+    return df.select(*others, F.explode(F.array(value)).alias(name))
+
+
 def _low32(c: Column) -> Column:
     return c.bitwiseAND(F.lit(MASK32).cast("long"))
 
@@ -76,9 +84,8 @@ def wrapping_multiply(df: DataFrame, source: str, constant: int, out: str) -> Da
         + _high32(F.col("_low"))
         + F.col("_cross")
     )
-    return df.withColumn(
-        out, F.shiftleft(_low32(high), 32).bitwiseOR(_low32(F.col("_low")))
-    ).drop("_p0", "_p1", "_cross", "_low")
+    product = F.shiftleft(_low32(high), 32).bitwiseOR(_low32(F.col("_low")))
+    return bind(df, out, product).drop("_p0", "_p1", "_cross", "_low")
 
 
 def with_unit24(
@@ -94,14 +101,14 @@ def with_unit24(
         mixed = F.col("_h").bitwiseXOR(F.lit(signed64(seed ^ epoch_term(epoch))))
     else:
         mixed = F.col("_h").bitwiseXOR(F.lit(signed64(seed))).bitwiseXOR(epoch)
-    df = df.withColumn("_h", wrapping_add(mixed, GAMMA))
-    df = df.withColumn("_h", F.col("_h").bitwiseXOR(F.shiftrightunsigned("_h", 30)))
+    df = bind(df, "_h", wrapping_add(mixed, GAMMA))
+    df = bind(df, "_h", F.col("_h").bitwiseXOR(F.shiftrightunsigned("_h", 30)))
     df = wrapping_multiply(df, "_h", MIX_1, "_h")
-    df = df.withColumn("_h", F.col("_h").bitwiseXOR(F.shiftrightunsigned("_h", 27)))
+    df = bind(df, "_h", F.col("_h").bitwiseXOR(F.shiftrightunsigned("_h", 27)))
     df = wrapping_multiply(df, "_h", MIX_2, "_h")
     # (v ^ (v >> 31)) >> 40
-    return df.withColumn(
-        out, F.shiftrightunsigned(F.col("_h").bitwiseXOR(F.shiftrightunsigned("_h", 31)), 40)
+    return bind(
+        df, out, F.shiftrightunsigned(F.col("_h").bitwiseXOR(F.shiftrightunsigned("_h", 31)), 40)
     ).drop("_h")
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus  # noqa: F401
+from . import corpus, evaluation  # noqa: F401
 from .registry import QUERIES
 
 __all__ = ["QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["segment_games"].run(spark, sf_dir)
+    return QUERIES["bucket_histogram"].run(spark, sf_dir)

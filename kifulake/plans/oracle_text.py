@@ -37,7 +37,7 @@ def games(name: str, source: str) -> str:
 
 
 def r(x: str, digits: int = 6) -> str:
-    return f"round({x}, {digits}) + 0.0"
+    return f"round(CAST({x} AS DOUBLE), {digits}) + 0.0"
 
 
 def sig(x: str) -> str:
