@@ -3,9 +3,7 @@
 ANSI mode makes ``bigint * bigint`` overflow an error, so products are formed from limbs
 that stay inside a signed 64-bit integer. Intermediates are used several times, and a filter
 on the result would be pushed through plain projections with all of them substituted, which
-grows the predicate exponentially. :func:`bind` stops that: the column comes out of a
-one-element ``explode``, which keeps the row count, stays in whole-stage codegen, and below
-which no filter on the column can move.
+grows the predicate exponentially; :func:`~kifulake.functions.binding.bind` stops that.
 """
 
 from __future__ import annotations
@@ -13,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .binding import bind
+
 MASK32 = 0xFFFFFFFF
 MASK64 = (1 << 64) - 1
 
@@ -34,12 +34,6 @@ def signed64(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def bind(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """Add (or replace) ``name`` as a column the optimiser does not substitute."""
-    others = [c for c in df.columns if c != name]
-    return df.select(*others, F.explode(F.array(value)).alias(name))
-
-
 def _low32(c: Column) -> Column:
     return c.bitwiseAND(F.lit(MASK32).cast("long"))
 

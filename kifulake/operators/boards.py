@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import bind
 from . import dims
 
 RECORD_BITS = 256
@@ -104,13 +105,13 @@ def _bits_to_bytes(bits: str) -> Column:
 
 def encode_packed(positions: DataFrame, out: str = "sfen") -> DataFrame:
     """Add the 32-byte packed form of each position, JVM-side."""
-    df = positions.withColumn("_bits", _encode(packed_board_bits, packed_hand_bits))
+    df = bind(positions, "_bits", _encode(packed_board_bits, packed_hand_bits))
     return df.withColumn(out, _bits_to_bytes("_bits")).drop("_bits")
 
 
 def encode_huffman(positions: DataFrame, out: str = "pos") -> DataFrame:
     """Add the 32-byte form of the second format."""
-    df = positions.withColumn("_bits", _encode(huffman_board_bits, huffman_hand_bits))
+    df = bind(positions, "_bits", _encode(huffman_board_bits, huffman_hand_bits))
     return df.withColumn(out, _bits_to_bytes("_bits")).drop("_bits")
 
 
@@ -367,20 +368,16 @@ def parse_sfen(df: DataFrame, column: str = "sfen_text") -> DataFrame:
     head = F.trim(F.regexp_replace("_t", r"(^|\s)moves(\s.*)?$", ""))
     head = F.when(head == "startpos", F.lit(START_POSITION)).otherwise(F.regexp_replace(head, r"^sfen\s+", ""))
     moves = F.trim(F.regexp_extract("_t", r"(?:^|\s)moves\s+(.*)$", 1))
-    df = df.withColumns(
-        {
-            "_f": F.split(head, r"\s+"),
-            "_moves": F.when(moves == "", F.array().cast("array<string>")).otherwise(F.split(moves, r"\s+")),
-        }
-    )
+    df = df.withColumn("_moves", F.when(moves == "", F.array().cast("array<string>")).otherwise(F.split(moves, r"\s+")))
+    df = bind(df, "_f", F.split(head, r"\s+"))
     board, side, hand, ply = (F.get(F.col("_f"), F.lit(i)) for i in range(4))
     codes = {_letter(c): c for c in range(2, 30)}
     lookup = F.create_map(*[x for k, v in codes.items() for x in (F.lit(k), F.lit(v))], F.lit("."), F.lit(0))
     dotted = board
     for n in range(1, 10):
         dotted = F.replace(dotted, F.lit(str(n)), F.lit("." * n))
-    df = df.withColumns({"_ranks": F.split(dotted, "/"), "_raw_ranks": F.split(board, "/")})
-    df = df.withColumn("_tok", F.transform("_ranks", lambda x: F.regexp_extract_all(x, F.lit(rf"({_PIECE_TOKEN}|\.)"), 1)))
+    df = bind(df, "_ranks", F.split(dotted, "/"))
+    df = bind(df, "_tok", F.transform("_ranks", lambda x: F.regexp_extract_all(x, F.lit(rf"({_PIECE_TOKEN}|\.)"), 1)))
     any_rank = lambda pred: F.exists("_ranks", pred)
     hand_ok = (hand == "-") | hand.rlike(r"^(\d*[PLNSGBRplnsgbr])+$")
     board_error = (
@@ -401,7 +398,7 @@ def parse_sfen(df: DataFrame, column: str = "sfen_text") -> DataFrame:
         .when(F.expr("try_cast(get(_f, 3) as int)").isNull() | ~F.expr("try_cast(get(_f, 3) as int)").between(0, 65535), "invalid ply")
         .otherwise(F.coalesce(board_error, F.when(~hand_ok, "invalid hand")))
     )
-    df = df.withColumn("error", error)
+    df = bind(df, "error", error)
     good = F.col("error").isNull()
     # token lists run left to right (file 9 first) by rank; squares run file by file
     squares = F.transform(
@@ -438,7 +435,7 @@ def parse_sfen(df: DataFrame, column: str = "sfen_text") -> DataFrame:
             "wk_sq": F.when(king(dims.KING * 2 + 1) >= 0, king(dims.KING * 2 + 1)).otherwise(none),
         }
     )
-    return df.drop("_t", "_f", "_ranks", "_raw_ranks", "_tok").withColumnRenamed("_moves", "moves")
+    return df.drop("_t", "_f", "_ranks", "_tok").withColumnRenamed("_moves", "moves")
 
 
 def _square(text: str) -> str:
@@ -487,7 +484,8 @@ def apply_moves(df: DataFrame) -> DataFrame:
         f"n + CASE WHEN get(s.board, m.to) >= 2 AND k = {taken} THEN 1 ELSE 0 END - CASE WHEN k = m.slot THEN 1 ELSE 0 END) END), "
         "'stm', 1 - s.stm, 'ply', s.ply + 1, 'error', s.error) END"
     )
-    df = df.withColumn("_parts", F.expr(parts)).withColumn("_s", F.expr(f"aggregate(_parts, {state}, {step})"))
+    df = bind(df, "_parts", F.expr(parts))
+    df = bind(df, "_s", F.expr(f"aggregate(_parts, {state}, {step})"))
     king = lambda code: f"CAST(CASE WHEN array_position(_s.board, {code}) > 0 THEN array_position(_s.board, {code}) - 1 ELSE 81 END AS TINYINT)"
     return df.withColumns(
         {

@@ -179,29 +179,25 @@ _ITEM_TYPE = (
 
 
 def _draw(i: str, div: str) -> str:
+    """A pseudo-random number of item ``i``; the names below read it from a column ``d``."""
     return f"((h % 1009) * ({i} + 3) + {i} * {i} * 37 + (h {div} 1009))"
 
 
-def _in_hand(i: str, div: str) -> str:
-    return f"(({_draw(i, div)} {div} 2) % 5 = 0)"
+def _in_hand(div: str) -> str:
+    return f"((d {div} 2) % 5 = 0)"
 
 
-def _color(i: str, div: str) -> str:
-    return f"({_draw(i, div)} % 2)"
+_COLOR = "(d % 2)"
 
 
-def _piece_type(i: str, div: str) -> str:
-    base = _ITEM_TYPE.format(i=i)
-    promoted = f"{i} NOT BETWEEN 30 AND 33 AND (({_draw(i, div)} {div} 10) % 3 = 0)"
-    up = f"CASE WHEN {i} < 30 THEN 8 + ({base}) WHEN {i} < 36 THEN 13 ELSE 14 END"
-    return f"CASE WHEN {promoted} THEN {up} ELSE {base} END"
-
-
-def _cell_code(i: str, div: str) -> str:
-    """Board code (type * 2 + color) of item ``i``; 0 when it is no piece on the board."""
+def _cell_code(div: str) -> str:
+    """Board code (type * 2 + color) of item ``i`` with draw ``d``; 0 when it is not on the board."""
+    base = _ITEM_TYPE.format(i="i")
+    up = f"CASE WHEN i < 30 THEN 8 + ({base}) WHEN i < 36 THEN 13 ELSE 14 END"
+    ptype = f"CASE WHEN i NOT BETWEEN 30 AND 33 AND (d {div} 10) % 3 = 0 THEN {up} ELSE {base} END"
     return (
-        f"CASE WHEN {i} >= 40 THEN 0 WHEN {i} >= 38 THEN 16 + {i} - 38 "
-        f"WHEN {_in_hand(i, div)} THEN 0 ELSE 2 * ({_piece_type(i, div)}) + {_color(i, div)} END"
+        f"CASE WHEN i >= 40 THEN 0 WHEN i >= 38 THEN 16 + i - 38 WHEN {_in_hand(div)} THEN 0 "
+        f"ELSE 2 * ({ptype}) + {_COLOR} END"
     )
 
 
@@ -211,7 +207,6 @@ _H = "event_id * 7919 + user_id * 104729 + CAST(floor(value * 100) AS BIGINT) *
 
 def v_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions with ``board`` (81 codes) and both hands, built row by row without a join."""
-    d = "div"
     rows = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("pos_id"),
         (F.col("user_id") % 8).cast("int").alias("file_id"),
@@ -222,11 +217,15 @@ def v_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = rows.withColumns({"a": F.expr("3 * (h % 26) + 1 + ((h div 26) % 2)"), "b": F.expr("(h div 52) % 81")})
     item = "((a * s + b) % 81)"
-    rows = rows.withColumn("items", F.expr(f"transform(sequence(0, 80), s -> CAST({item} AS INT))"))
+    rows = rows.withColumn("items", F.expr("transform(sequence(0, 80), s -> CAST((a * s + b) % 81 AS INT))"))
+    draw = _draw("i", "div")
+    rows = rows.withColumns(
+        {"draws": F.expr(f"transform(items, i -> {draw})"), "held": F.expr(f"transform(sequence(0, 37), i -> {draw})")}
+    )
 
     def hand(color: int) -> str:
         parts = [
-            f"CAST(size(filter(sequence({lo}, {hi}), i -> {_in_hand('i', d)} AND {_color('i', d)} = {color})) AS TINYINT)"
+            f"CAST(size(filter(slice(held, {lo + 1}, {hi - lo + 1}), d -> {_in_hand('div')} AND {_COLOR} = {color})) AS TINYINT)"
             for lo, hi in _HAND_RANGES
         ]
         return f"array({', '.join(parts)})"
@@ -239,7 +238,7 @@ def v_board(spark: SparkSession, sf_dir: str) -> DataFrame:
         "pos_id",
         "file_id",
         F.col("pos_id").alias("rec_idx"),
-        F.expr(f"transform(items, i -> CAST({_cell_code('i', d)} AS TINYINT))").alias("board"),
+        F.expr(f"zip_with(items, draws, (i, d) -> CAST({_cell_code('div')} AS TINYINT))").alias("board"),
         F.expr(hand(0)).alias("black_hand"),
         F.expr(hand(1)).alias("white_hand"),
         F.expr("CAST((h div 7) % 2 AS TINYINT)").alias("stm"),
@@ -261,19 +260,20 @@ V_BOARD = f"""
   FROM (SELECT *, 3 * (h % 26) + 1 + ((h // 26) % 2) AS a, (h // 52) % 81 AS b
         FROM (SELECT *, {_H} AS h FROM events))"""
 
+# one row per square of every position
+V_SQUARE = f"""
+  SELECT pos_id, stm, sq, CAST({_cell_code('//')} AS INTEGER) AS code
+  FROM (SELECT pos_id, stm, sq, i, {_draw('i', '//')} AS d
+        FROM (SELECT pos_id, stm, h, CAST(s AS INTEGER) AS sq, (a * s + b) % 81 AS i FROM v_board, range(81) AS r(s)))"""
+
 # one row per occupied square, kings included
-V_CELL = f"""
-  SELECT pos_id, stm, sq, code, code // 2 AS ptype, code % 2 AS color
-  FROM (SELECT pos_id, stm, sq, CAST({_cell_code('i', '//')} AS INTEGER) AS code
-        FROM (SELECT pos_id, stm, h, CAST(s AS INTEGER) AS sq, (a * s + b) % 81 AS i
-              FROM v_board, range(81) AS r(s)))
-  WHERE code > 0"""
-
-# one row per (position, owner, hand type) with a count above zero; slot 0..6
+V_CELL = "SELECT pos_id, stm, sq, code, code // 2 AS ptype, code % 2 AS color FROM v_square WHERE code > 0"
+
+# one row per (position, owner, hand type) with a count above zero
 V_HAND = f"""
-  SELECT pos_id, CAST({_color('i', '//')} AS INTEGER) AS owner, CAST({_ITEM_TYPE.format(i='i')} AS INTEGER) AS ptype,
+  SELECT pos_id, CAST({_COLOR} AS INTEGER) AS owner, CAST({_ITEM_TYPE.format(i='i')} AS INTEGER) AS ptype,
          CAST(count(*) AS INTEGER) AS n
-  FROM v_board, range(38) AS r(i) WHERE {_in_hand('i', '//')} GROUP BY 1, 2, 3"""
+  FROM (SELECT pos_id, i, {_draw('i', '//')} AS d FROM v_board, range(38) AS r(i)) WHERE {_in_hand('//')} GROUP BY 1, 2, 3"""
 
 V_KINGS = """
   SELECT pos_id, CAST(max(CASE WHEN color = 0 THEN sq END) AS INTEGER) AS bk,
@@ -289,9 +289,10 @@ _SQL = {
     "v_tensor": (V_TENSOR, ()),
     "v_hist": (V_HIST, ()),
     "v_board": (V_BOARD, ()),
-    "v_cell": (V_CELL, ("v_board",)),
+    "v_square": (V_SQUARE, ("v_board",)),
+    "v_cell": (V_CELL, ("v_square",)),
     "v_hand": (V_HAND, ("v_board",)),
-    "v_kings": (V_KINGS, ("v_board", "v_cell")),
+    "v_kings": (V_KINGS, ("v_cell",)),
 }
 
 

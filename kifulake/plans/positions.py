@@ -8,12 +8,6 @@ from ..operators import boards, dims
 from . import adapters as ad
 from .registry import query
 
-ad.add_view(
-    "v_square",
-    f"""SELECT pos_id, sq, CAST({ad._cell_code('i', '//')} AS INTEGER) AS code
-        FROM (SELECT pos_id, h, CAST(s AS INTEGER) AS sq, (a * s + b) % 81 AS i FROM v_board, range(81) AS r(s))""",
-    ("v_board",),
-)
 _SLOT = "CASE ptype " + " ".join(f"WHEN {t} THEN {i}" for i, t in enumerate(dims.HAND_TYPES)) + " END"
 ad.add_view(
     "v_text",
