@@ -141,11 +141,6 @@ def class_widths() -> list[int]:
     return [sum(1 for r in reach_rows() if r[0] == c and r[1] == 0) for c in range(len(CLASS_TYPE))]
 
 
-def classes(spark: SparkSession) -> DataFrame:
-    """``(ptype, cls)`` for all piece types that form edges."""
-    return F.broadcast(_rows(spark, "ptype cls", [(t, class_of(t)) for t in range(1, 15) if t != KING]))
-
-
 def class_column(code: Column) -> Column:
     """Edge class of a board code; NULL for kings and empty squares."""
     table = [class_of(c // 2) if c // 2 not in (0, KING) else None for c in range(30)]
@@ -204,24 +199,8 @@ def pair_rows(spark: SparkSession, profile: str) -> DataFrame:
     return F.broadcast(p.withColumn("row", F.explode(F.expr("sequence(base, base + width - 1)"))))
 
 
-def piece_base(spark: SparkSession) -> DataFrame:
-    """``(ptype, friend, base)`` of board pieces in the piece-square code."""
-    out = []
-    for t in range(1, 15):
-        if t == KING:
-            continue
-        block = BOARD_ORDER.index(movement_type(t))
-        out += [(t, 1, HAND_END + 162 * block), (t, 0, HAND_END + 162 * block + 81)]
-    return F.broadcast(_rows(spark, "ptype friend base", out))
-
-
-def board_base_column(ptype: Column, is_friend: Column) -> Column:
-    """The same mapping as a literal array lookup, for use inside expressions."""
-    base = [HAND_END + 162 * BOARD_ORDER.index(movement_type(t)) if t not in (0, KING) else None for t in range(15)]
-    first = F.get(F.array(*[F.lit(b).cast("int") for b in base]), ptype)
-    return first + F.when(is_friend, 0).otherwise(81)
-
-
-def worth_column(ptype: Column) -> Column:
-    table = [WORTH.get(movement_type(t), 0.0) if t else 0.0 for t in range(15)]
-    return F.get(F.array(*[F.lit(v) for v in table]), ptype)
+def rays_by_piece(spark: SparkSession) -> DataFrame:
+    """``(code, from_sq, paths)``: all paths of a piece in one row (kings included)."""
+    kind = pa.list_(pa.list_(pa.int32()))
+    out = [(t * 2 + c, sq, [list(p) for p in rays_of(t, c, sq)]) for t in range(1, 15) for c in (0, 1) for sq in range(81)]
+    return F.broadcast(_rows(spark, "code from_sq paths", out, {"paths": kind}))
