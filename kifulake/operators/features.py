@@ -57,6 +57,10 @@ FEATURE_SETS = {
 MAX_ACTIVE_EDGES = 128
 
 
+def _hand_item(code: int):
+    return lambda n: F.struct(F.lit(code).alias("code"), F.lit(None).cast("int").alias("sq"), n.alias("nth"))
+
+
 def explode_items(positions: DataFrame, keep: list[str]) -> DataFrame:
     """One row per piece on board or in hand, kings included.
 
@@ -70,10 +74,7 @@ def explode_items(positions: DataFrame, keep: list[str]) -> DataFrame:
     for owner, hand in ((0, "black_hand"), (1, "white_hand")):
         for slot, t in enumerate(dims.HAND_TYPES):
             held = F.slice(F.sequence(F.lit(0), F.lit(17)), F.lit(1), F.get(F.col(hand), F.lit(slot)).cast("int"))
-            parts.append(
-                F.transform(held, lambda n, t=t, owner=owner: F.struct(
-                    F.lit(t * 2 + owner).alias("code"), F.lit(None).cast("int").alias("sq"), n.alias("nth")))
-            )
+            parts.append(F.transform(held, _hand_item(t * 2 + owner)))
     rows = positions.select(*keep, F.explode(F.concat(*parts)).alias("_i"))
     return rows.select(*keep, "_i.code", "_i.sq", "_i.nth")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, evaluation, features, positions  # noqa: F401
+from . import corpus, evaluation, features, positions, storage  # noqa: F401
 from .registry import QUERIES
 
 __all__ = ["QUERIES", "flagship"]

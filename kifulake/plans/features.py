@@ -131,16 +131,19 @@ def half_features(spark, sf):
     return reduce(lambda a, b: a.unionByName(b), [digest(p, "feature_set", "pos_id") for p in parts])
 
 
-@query(
-    "feature_set_catalog",
-    " UNION ALL ".join(
-        f"""SELECT '{n}' AS name, {s.king_buckets} AS king_buckets, {s.piece_inputs} AS piece_inputs, {s.ft_in} AS ft_in, {s.max_active} AS max_active,
-            CAST({ {'halfka-merged': 'FNVA', 'halfka-hm-split': 'FNVB'}.get(n, s.hash_value) } AS BIGINT) AS feature_hash,
-            (SELECT count(DISTINCT idx) FROM ({_index_sql(n)}) WHERE is_stm) AS n_seen, CAST((SELECT max(idx) FROM ({_index_sql(n)}) WHERE is_stm) AS INTEGER) AS max_seen"""
-        for n, s in FEATURE_SETS.items()
-    ).replace("FNVA", str(int.from_bytes(b"", "big") or 0)).replace("FNVB", "0"),
-    ("v_seen",),
-)
+_FNV = """list_reduce(list_prepend(2166136261::UBIGINT, list_transform(string_split('{n}', ''), lambda c: ascii(c)::UBIGINT)),
+                    lambda a, x: (xor(a, x) * 16777619) % 4294967296)"""
+
+
+def _catalog_sql(n: str) -> str:
+    s = FEATURE_SETS[n]
+    hash_sql = _FNV.format(n=n) if s.hash_value is None else s.hash_value
+    return f"""SELECT '{n}' AS name, {s.king_buckets} AS king_buckets, {s.piece_inputs} AS piece_inputs, {s.ft_in} AS ft_in, {s.max_active} AS max_active,
+               CAST({hash_sql} AS BIGINT) AS feature_hash, count(DISTINCT idx) AS n_seen, CAST(max(idx) AS INTEGER) AS max_seen
+               FROM ({_index_sql(n)}) WHERE is_stm"""
+
+
+@query("feature_set_catalog", " UNION ALL ".join(_catalog_sql(n) for n in FEATURE_SETS), ("v_seen",))
 def feature_set_catalog(spark, sf):
     """The catalogue beside what the corpus uses of each set."""
     pos = ad.v_board(spark, sf)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship_package
 from . import adapters
 
 
@@ -29,7 +31,13 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
     def register(fn):
         if name in QUERIES:
             raise ValueError(f"query {name!r} registered twice")
-        QUERIES[name] = Query(name, fn, compose(views, sql) if sql else None)
+
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = Query(name, run, compose(views, sql) if sql else None)
         return fn
 
     return register
