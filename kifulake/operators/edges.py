@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import squares
+from ..functions.binding import bind
 from . import dims
 from .boards import explode_pieces
 
@@ -39,7 +40,7 @@ def attack_edges(positions: DataFrame, keep: list[str]) -> DataFrame:
     spark = positions.sparkSession
     pieces = explode_pieces(positions, [*keep, "board"]).withColumnRenamed("sq", "from_sq")
     hits = pieces.join(dims.rays(spark), ["code", "from_sq"])
-    hits = hits.withColumn("to_sq", first_blocker(F.col("board"), F.col("path")))
+    hits = bind(hits, "to_sq", first_blocker(F.col("board"), F.col("path")))
     target = F.get(F.col("board"), F.col("to_sq")).cast("int")
     edges = hits.where(F.col("to_sq").isNotNull()).select(
         *keep, "from_sq", "to_sq",
@@ -86,17 +87,17 @@ def edge_profile_filter(edges: DataFrame, profile: str, attacker_side: Column, a
 def _view(edges: DataFrame, perspective: Column, tag: str) -> DataFrame:
     """Squares, sides and orientation of an edge as one player sees it."""
     own = F.when(perspective == 0, F.col("bk_sq").cast("int")).otherwise(squares.inverse(F.col("wk_sq")))
-    edges = edges.withColumn(f"_m{tag}", squares.file_of(own) >= 5)
+    edges = bind(edges, f"_m{tag}", squares.file_of(own) >= 5)
     mirrored = F.col(f"_m{tag}")
-    return edges.withColumns(
-        {
-            f"_f{tag}": squares.viewed_by(F.col("from_sq"), perspective, mirrored),
-            f"_t{tag}": squares.viewed_by(F.col("to_sq"), perspective, mirrored),
-            f"_as{tag}": F.when(F.col("acolor") == perspective, 0).otherwise(1),
-            f"_ds{tag}": F.when(F.col("tcolor") == perspective, 0).otherwise(1),
-            f"_o{tag}": F.when(perspective == 0, F.col("acolor")).otherwise(1 - F.col("acolor")),
-        }
-    ).drop(f"_m{tag}")
+    view = F.struct(
+        squares.viewed_by(F.col("from_sq"), perspective, mirrored).alias("f"),
+        squares.viewed_by(F.col("to_sq"), perspective, mirrored).alias("t"),
+        F.when(F.col("acolor") == perspective, 0).otherwise(1).alias("as"),
+        F.when(F.col("tcolor") == perspective, 0).otherwise(1).alias("ds"),
+        F.when(perspective == 0, F.col("acolor")).otherwise(1 - F.col("acolor")).alias("o"),
+    )
+    edges = bind(edges, "_view", view)  # its parts become join keys
+    return edges.withColumns({f"_{k}{tag}": F.col(f"_view.{k}") for k in ("f", "t", "as", "ds", "o")}).drop(f"_m{tag}", "_view")
 
 
 def edge_feature_index(edges: DataFrame, profile: str) -> DataFrame:
@@ -139,7 +140,8 @@ def attacker_counts(positions: DataFrame, pos: str = "pos_id") -> DataFrame:
     pieces = explode_pieces(placed, [pos, "board"], with_kings=True).withColumnRenamed("sq", "from_sq")
     hits = pieces.join(dims.rays(spark), ["code", "from_sq"])
     squares_hit = F.slice("path", F.lit(1), attacked_length(F.col("board"), F.col("path")))
-    attacked = hits.select(pos, "color", F.explode(squares_hit).alias("sq"))
+    hits = bind(hits, "_hit", squares_hit)
+    attacked = hits.select(pos, "color", F.explode("_hit").alias("sq"))
     counts = attacked.groupBy(pos, "color", "sq").agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("n", F.least("n", F.lit(255)).cast("int"))
 
@@ -155,7 +157,8 @@ def piece_attack_counts(positions: DataFrame, keep: list[str], pos: str = "pos_i
     pieces = explode_pieces(placed, [pos, "board", *keep], with_kings=True).withColumnRenamed("sq", "from_sq")
     rows = pieces.join(dims.rays_by_piece(spark), ["code", "from_sq"])
     board = F.col("board")
-    hits = F.transform("paths", lambda p: first_blocker(board, p))
+    rows = bind(rows, "_stops", F.transform("paths", lambda p: first_blocker(board, p)))
+    hits = F.col("_stops")
     black, white = (F.col("color") == 0).cast("int"), (F.col("color") == 1).cast("int")
     none = F.lit(None).cast("int")
     own = F.array(F.struct(F.col("from_sq").cast("int").alias("sq"), F.col("code").alias("code"), F.lit(0).alias("b"), F.lit(0).alias("w")))
@@ -163,7 +166,8 @@ def piece_attack_counts(positions: DataFrame, keep: list[str], pos: str = "pos_i
         F.filter(hits, lambda s: s.isNotNull()),
         lambda s: F.struct(s.alias("sq"), none.alias("code"), black.alias("b"), white.alias("w")),
     )
-    marks = rows.select(pos, *keep, F.explode(F.concat(own, others)).alias("_e"))
+    rows = bind(rows, "_marks", F.concat(own, others))
+    marks = rows.select(pos, *keep, F.explode("_marks").alias("_e"))
     per_square = marks.groupBy(pos, F.col("_e.sq").alias("sq")).agg(
         F.max("_e.code").alias("code"), F.sum("_e.b").alias("_b"), F.sum("_e.w").alias("_w"),
         *[F.first(c).alias(c) for c in keep],

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import squares
+from ..functions.binding import bind
 from ..functions.hashing import fnv1a32
 from . import dims, edges as ed
 
@@ -75,7 +76,8 @@ def explode_items(positions: DataFrame, keep: list[str]) -> DataFrame:
         for slot, t in enumerate(dims.HAND_TYPES):
             held = F.slice(F.sequence(F.lit(0), F.lit(17)), F.lit(1), F.get(F.col(hand), F.lit(slot)).cast("int"))
             parts.append(F.transform(held, _hand_item(t * 2 + owner)))
-    rows = positions.select(*keep, F.explode(F.concat(*parts)).alias("_i"))
+    # bound first: exploding the expression itself would evaluate it again in a size filter
+    rows = bind(positions, "_items", F.concat(*parts)).select(*keep, F.explode("_items").alias("_i"))
     return rows.select(*keep, "_i.code", "_i.sq", "_i.nth")
 
 
@@ -130,14 +132,23 @@ def half_features(positions: DataFrame, name: str, keep: list[str]) -> DataFrame
 
     A position without both kings on the board has none.
     """
-    fs = FEATURE_SETS[name]
+    return half_features_of(positions, [name], keep).drop("feature_set")
+
+
+def half_features_of(positions: DataFrame, names: list[str], keep: list[str]) -> DataFrame:
+    """Several feature sets from one pass over the positions, told apart by ``feature_set``."""
     items = explode_items(_valid(positions), [*dict.fromkeys([*keep, "stm", "bk_sq", "wk_sq"])])
-    if fs.kings == "none":
-        items = items.where(F.shiftright("code", 1) != dims.KING)
     stm = F.col("stm").cast("int")
-    items = _indexed(items, fs, stm, "_ps", "stm_idx")
-    items = _indexed(items, fs, 1 - stm, "_pn", "nstm_idx")
-    return items.select(*keep, "stm_idx", "nstm_idx")
+    pairs = []
+    for i, name in enumerate(names):
+        fs = FEATURE_SETS[name]
+        items = _indexed(items, fs, stm, f"_p{i}", f"_s{i}")
+        items = _indexed(items, fs, 1 - stm, f"_q{i}", f"_n{i}")
+        pair = F.struct(F.lit(name).alias("feature_set"), F.col(f"_s{i}").alias("stm_idx"), F.col(f"_n{i}").alias("nstm_idx"))
+        unwanted = F.lit(fs.kings == "none") & (F.shiftright("code", 1) == dims.KING)
+        pairs.append(F.when(~unwanted, pair))
+    rows = items.select(*keep, F.explode(F.array(*pairs)).alias("_f")).where(F.col("_f").isNotNull())
+    return rows.select(*keep, "_f.feature_set", "_f.stm_idx", "_f.nstm_idx")
 
 
 def features_with_edges(positions: DataFrame, name: str, profile: str, keep: list[str]) -> DataFrame:

@@ -15,6 +15,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.binding import bind
+from ..session import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -65,7 +68,7 @@ V_SEQ = """
 
 
 def v_feat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         F.col("doc_id").alias("pos_id"), F.explode(F.split("text", " ", -1)).alias("token")
     )
     return docs.withColumn("w", (F.length("token") - 4) / F.lit(10.0))
@@ -207,7 +210,7 @@ _H = "event_id * 7919 + user_id * 104729 + CAST(floor(value * 100) AS BIGINT) *
 
 def v_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions with ``board`` (81 codes) and both hands, built row by row without a join."""
-    rows = table(spark, sf_dir, "events").select(
+    rows = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "ts")).select(
         F.col("event_id").alias("pos_id"),
         (F.col("user_id") % 8).cast("int").alias("file_id"),
         "event_type",
@@ -217,7 +220,7 @@ def v_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = rows.withColumns({"a": F.expr("3 * (h % 26) + 1 + ((h div 26) % 2)"), "b": F.expr("(h div 52) % 81")})
     item = "((a * s + b) % 81)"
-    rows = rows.withColumn("items", F.expr("transform(sequence(0, 80), s -> CAST((a * s + b) % 81 AS INT))"))
+    rows = bind(rows, "items", F.expr("transform(sequence(0, 80), s -> CAST((a * s + b) % 81 AS INT))"))
     draw = _draw("i", "div")
     rows = rows.withColumns(
         {"draws": F.expr(f"transform(items, i -> {draw})"), "held": F.expr(f"transform(sequence(0, 37), i -> {draw})")}
@@ -234,11 +237,12 @@ def v_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     sign = F.when(kind.isin("error", "signup"), -1).otherwise(1)
     stamp = F.when(F.col("value") >= 200, 32000).otherwise(F.floor(F.col("value") * 66).cast("int"))
     result = F.when(kind.isin("purchase", "signup"), 1).when(kind.isin("error", "click"), -1).otherwise(0)
-    return rows.select(
+    board = F.expr(f"zip_with(items, draws, (i, d) -> CAST({_cell_code('div')} AS TINYINT))")
+    return bind(rows, "board", board).select(
         "pos_id",
         "file_id",
         F.col("pos_id").alias("rec_idx"),
-        F.expr(f"zip_with(items, draws, (i, d) -> CAST({_cell_code('div')} AS TINYINT))").alias("board"),
+        "board",
         F.expr(hand(0)).alias("black_hand"),
         F.expr(hand(1)).alias("white_hand"),
         F.expr("CAST((h div 7) % 2 AS TINYINT)").alias("stm"),

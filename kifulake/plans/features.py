@@ -126,9 +126,8 @@ def digest(df, *by):
 )
 def half_features(spark, sf):
     """All five feature sets over every position."""
-    pos = ad.v_board(spark, sf)
-    parts = [features.half_features(pos, n, ["pos_id"]).withColumn("feature_set", F.lit(n)) for n in FEATURE_SETS]
-    return reduce(lambda a, b: a.unionByName(b), [digest(p, "feature_set", "pos_id") for p in parts])
+    f = features.half_features_of(ad.v_board(spark, sf), list(FEATURE_SETS), ["pos_id"])
+    return digest(f, "feature_set", "pos_id")
 
 
 _FNV = """list_reduce(list_prepend(2166136261::UBIGINT, list_transform(string_split('{n}', ''), lambda c: ascii(c)::UBIGINT)),
@@ -146,15 +145,11 @@ def _catalog_sql(n: str) -> str:
 @query("feature_set_catalog", " UNION ALL ".join(_catalog_sql(n) for n in FEATURE_SETS), ("v_seen",))
 def feature_set_catalog(spark, sf):
     """The catalogue beside what the corpus uses of each set."""
-    pos = ad.v_board(spark, sf)
-    seen = reduce(
-        lambda a, b: a.unionByName(b),
-        [
-            features.half_features(pos, n, ["pos_id"]).agg(
-                F.countDistinct("stm_idx").alias("n_seen"), F.max("stm_idx").alias("max_seen")
-            ).withColumn("name", F.lit(n))
-            for n in FEATURE_SETS
-        ],
+    f = features.half_features_of(ad.v_board(spark, sf), list(FEATURE_SETS), ["pos_id"])
+    # two-step distinct: ids are bounded by the sets' sizes, and duplicates go map-side first
+    ids = f.groupBy("feature_set", "stm_idx").agg(F.lit(1).alias("one"))
+    seen = ids.groupBy(F.col("feature_set").alias("name")).agg(
+        F.count(F.lit(1)).alias("n_seen"), F.max("stm_idx").alias("max_seen")
     )
     return features.feature_set_catalog(spark).join(F.broadcast(seen), "name")  # five rows
 
