@@ -120,9 +120,17 @@ def king_context(perspective: Column, bk: Column, wk: Column, mirrored: bool) ->
     return F.when(flip, squares.mirror_file(own)).otherwise(own), flip
 
 
-def _indexed(items: DataFrame, fs: FeatureSet, perspective: Column, packed: str, out: str) -> DataFrame:
+def _indexed(
+    items: DataFrame, fs: FeatureSet, perspective: Column, packed: str, out: str, swap_kings: bool = False
+) -> DataFrame:
     bucket, flip = king_context(perspective, F.col("bk_sq"), F.col("wk_sq"), fs.mirrored)
-    ps = piece_square(F.col("code"), F.col("sq"), F.col("nth"), perspective, flip, fs.kings == "merged")
+    code, sq = F.col("code"), F.col("sq")
+    if swap_kings:
+        king, first = F.shiftright("code", 1) == dims.KING, F.col("code") == dims.KING * 2
+        other = F.when(first, F.col("wk_sq")).otherwise(F.col("bk_sq")).cast("int")
+        sq = F.when(king, other).otherwise(F.col("sq"))
+        code = F.when(king, F.lit(dims.KING * 4 + 1) - F.col("code")).otherwise(F.col("code"))
+    ps = piece_square(code, sq, F.col("nth"), perspective, flip, fs.kings == "merged")
     items = items.withColumn(packed, ps)
     return items.withColumn(out, (bucket * fs.piece_inputs + F.col(packed)).cast("int"))
 
@@ -130,7 +138,9 @@ def _indexed(items: DataFrame, fs: FeatureSet, perspective: Column, packed: str,
 def half_features(positions: DataFrame, name: str, keep: list[str]) -> DataFrame:
     """``keep`` plus ``stm_idx, nstm_idx``, one row per active feature.
 
-    A position without both kings on the board has none.
+    The two ids of a row are the same piece seen by both players; king rows pair each
+    player's own king, and each player's enemy king. A position without both kings on the
+    board has no features.
     """
     return half_features_of(positions, [name], keep).drop("feature_set")
 
@@ -143,7 +153,7 @@ def half_features_of(positions: DataFrame, names: list[str], keep: list[str]) ->
     for i, name in enumerate(names):
         fs = FEATURE_SETS[name]
         items = _indexed(items, fs, stm, f"_p{i}", f"_s{i}")
-        items = _indexed(items, fs, 1 - stm, f"_q{i}", f"_n{i}")
+        items = _indexed(items, fs, 1 - stm, f"_q{i}", f"_n{i}", swap_kings=True)
         pair = F.struct(F.lit(name).alias("feature_set"), F.col(f"_s{i}").alias("stm_idx"), F.col(f"_n{i}").alias("nstm_idx"))
         unwanted = F.lit(fs.kings == "none") & (F.shiftright("code", 1) == dims.KING)
         pairs.append(F.when(~unwanted, pair))
@@ -189,7 +199,8 @@ def effect_bucket_features(
 ) -> DataFrame:
     """Half features split by how attacked and defended each piece is: ``id * nb + bucket``.
 
-    Hand pieces, and kings unless ``king_bucketed``, stay in bucket 0.
+    Hand pieces, and kings unless ``king_bucketed``, stay in bucket 0. Rows pair the two views
+    of one piece, kings included; each view's set of ids is what counts.
     """
     fs = FEATURE_SETS[name]
     stm = F.col("stm").cast("int")

@@ -112,10 +112,10 @@ class RecordReader(DataSourceReader):
             if not 0 <= start <= end <= size:
                 raise ValueError("byte range must satisfy 0 <= start <= end <= size")
             ranges = [(0, path, start // size_of, end // size_of)]
-        expected = opts.get("expectedRecords")
+        expected = opts.get("expectedrecords")
         if expected is not None and sum(r[3] - r[2] for r in ranges) != int(expected):
             raise ValueError(f"expected {expected} records, found {sum(r[3] - r[2] for r in ranges)}")
-        per = int(opts.get("recordsPerPartition", PER_PARTITION))
+        per = int(opts.get("recordsperpartition", PER_PARTITION))
         parts = []
         for file_id, path, start, end in ranges:
             if self.files is not None and file_id not in self.files:
@@ -241,7 +241,7 @@ class PositionRecords(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         kind, columns = self._columns()
-        return RecordReader(kind, columns, dict(self.options))
+        return RecordReader(kind, columns, {k.lower(): v for k, v in self.options.items()})
 
     def writer(self, schema, overwrite: bool):
         path = self.options["path"]
