@@ -208,9 +208,15 @@ _HAND_RANGES = ((0, 17), (18, 21), (22, 25), (26, 29), (30, 33), (34, 35), (36,
 _H = "event_id * 7919 + user_id * 104729 + CAST(floor(value * 100) AS BIGINT) * 31"
 
 
-def v_board(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positions with ``board`` (81 codes) and both hands, built row by row without a join."""
-    rows = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "ts")).select(
+def v_board(spark: SparkSession, sf_dir: str, ranges: int | None = None) -> DataFrame:
+    """Positions with ``board`` (81 codes) and both hands, built row by row without a join.
+
+    ``ranges`` cuts the small source rows into that many record-index ranges first, for
+    writing ordered files without sorting the encoded rows.
+    """
+    source = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "ts")
+    source = source.repartitionByRange(ranges, "event_id") if ranges else spread(source)
+    rows = source.select(
         F.col("event_id").alias("pos_id"),
         (F.col("user_id") % 8).cast("int").alias("file_id"),
         "event_type",

@@ -18,12 +18,12 @@ from .registry import query
 
 def _psv(spark, sf):
     """The board corpus written as packed record files; the path."""
-    rows = boards.encode_packed(ad.v_board(spark, sf)).select(
+    rows = boards.encode_packed(ad.v_board(spark, sf, ranges=8)).select(
         "rec_idx", "sfen", F.col("score").cast("smallint").alias("score"), (F.col("rec_idx") % 65536).cast("int").alias("move16"),
         F.col("ply").alias("game_ply"), F.col("result").cast("tinyint").alias("game_result"),
     )
     path = scratch_path(spark, "corpus")
-    records.write_records(rows, path, "psv", ["rec_idx"], files=4)
+    records.write_records(rows, path, "psv", ["rec_idx"], ranged=True)
     return path
 
 
@@ -33,7 +33,7 @@ def _psv(spark, sf):
     ("v_board",),
 )
 def psv_scan(spark, sf):
-    """Write the corpus as four files and scan them back with their global record index."""
+    """Write the corpus as eight files and scan them back with their global record index."""
     rows = records.read_psv(spark, _psv(spark, sf), columns="file_id,rec_idx,score,move16,game_ply,game_result", recordsPerPartition=4096)
     return with_ordinal(rows, out="global_idx").select("global_idx", "move16", "score", "game_ply", "game_result")
 
@@ -61,9 +61,9 @@ def training_view(spark, sf):
 )
 def hcpe_scan(spark, sf):
     absolute = F.when(F.col("result") == 0, 0).when((F.col("result") == 1) == (F.col("stm") == 0), 1).otherwise(2)
-    rows = boards.encode_huffman(ad.v_board(spark, sf)).select("rec_idx", "pos", F.col("score").cast("smallint").alias("score"), absolute.cast("int").alias("result"))
+    rows = boards.encode_huffman(ad.v_board(spark, sf, ranges=8)).select("rec_idx", "pos", F.col("score").cast("smallint").alias("score"), absolute.cast("int").alias("result"))
     path = scratch_path(spark, "corpus-hcpe")
-    records.write_records(rows, path, "hcpe", ["rec_idx"], files=3)
+    records.write_records(rows, path, "hcpe", ["rec_idx"], ranged=True)
     back = records.read_hcpe(spark, path, columns="file_id,rec_idx,score,result")
     return with_ordinal(back, out="global_idx").select("global_idx", "score", "result")
 
