@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import mixing, sharding
+from . import mixing, quality, sharding, url_filter
 from .common import table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,44 @@ def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, SHARDS, SHARD_SEED).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query("op4_quality_rules")
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+#: A site is listed if its own label has one of these words between hyphens.
+SPAM_WORDS = ("casino", "bets", "pills")
+_SPAM = rf"(^|-)({'|'.join(SPAM_WORDS)})(-|$)"
+
+
+@query(
+    "op10_url_cascade",
+    rf"""
+WITH r AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+q AS (
+  SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+                 WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+                 WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+                 WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM p),
+l AS (
+  SELECT DISTINCT array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - 2, 1), len(string_split(host, '.'))), '.') AS site FROM p),
+b AS (SELECT site FROM l WHERE regexp_matches(string_split(site, '.')[1], '{_SPAM}'))
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+            WHEN EXISTS (SELECT 1 FROM b WHERE host = site OR ends_with(host, '.' || site)) THEN 'block' ELSE 'allow' END AS verdict
+FROM q
+""",
+)
+def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = F.split(url_filter.url_parts(F.col("url"))[0], r"\.")
+    site = F.slice(labels, F.greatest(F.size(labels) - 2, F.lit(1)), F.lit(3))
+    listed = pages.where(F.element_at(site, 1).rlike(_SPAM)).select(F.array_join(site, ".").alias("key"))
+    return url_filter.judge(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict")
