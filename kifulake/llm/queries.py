@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import mixing, quality, sharding, url_filter
+from . import decontaminate, mixing, quality, secrets, sharding, url_filter
 from .common import table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,45 @@ def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     site = F.slice(labels, F.greatest(F.size(labels) - 2, F.lit(1)), F.lit(3))
     listed = pages.where(F.element_at(site, 1).rlike(_SPAM)).select(F.array_join(site, ".").alias("key"))
     return url_filter.judge(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+_FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BENCH_WORDS = rf"coalesce(regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+
+
+@query(
+    "op2_decontaminate",
+    rf"""
+WITH i AS (SELECT item_id, {_BENCH_WORDS} AS w FROM benchmark),
+iw AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(list_slice(w, p, p + least(len(w), 13) - 1), ' ') AS win
+  FROM i, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS u(p) WHERE len(w) > 0),
+d AS (SELECT doc_id, {_BENCH_WORDS} AS w FROM documents),
+dw AS (
+  SELECT doc_id, l.n, p, array_to_string(list_slice(w, p, p + l.n - 1), ' ') AS win
+  FROM d, (SELECT DISTINCT n FROM iw) l, unnest(range(1, len(w) - l.n + 2)) AS u(p)),
+h AS (SELECT dw.doc_id, dw.p, dw.n, iw.item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.win = iw.win),
+hw AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT DISTINCT doc_id, p, n FROM h) x, unnest(range(p, p + n)) AS u(q) GROUP BY doc_id),
+hi AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM h) y GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
+""",
+)
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("items", ","), 256)
+    return out.select("doc_id", "n_words", "n_hit", "n_items", items.alias("items_sha256"), "contaminated")
+
+
+@query("op9_linked_secrets")
+def op9_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE_KINDS))
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k in secrets.BASE_KINDS], F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans")
+    )
