@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontaminate, mixing, quality, secrets, sharding, url_filter, warc
+from . import decontaminate, mixing, quality, secrets, sharding, simhash, url_filter, warc
 from .common import table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +186,9 @@ def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = pages.select(warc.capture_key(F.col("url"), F.col("page_id")).alias("key"))
     found = warc.lookup(keys, parts, index, archives, payload=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op6_simhash_balls")
+def op6_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
