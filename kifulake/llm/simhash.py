@@ -70,16 +70,17 @@ def _majority(hashes: np.ndarray, shingles: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) per row of whole texts; a text without words has fingerprint 0."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])
+    """(doc_id, text_hash, fp) per row of whole texts; a text without words has fingerprint 0."""
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "text_hash", "fp")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
                 raw, offsets = text_bytes(b.column("text"))
                 fp = _majority(*_shingle_hashes(_FOLD[raw], offsets))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(fp.view(np.int64))], schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -151,7 +152,8 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) per row: the smallest doc_id reachable over links of near fingerprints.
+    """(doc_id, text_hash, fp, root, component_id) per row: ``component_id`` is the smallest doc_id
+    reachable over links of near fingerprints, ``root`` tells components apart.
 
     Equal fingerprints are one node, so copies are never paired. Texts without words share
     fingerprint 0 and are linked like any other; null doc_ids count only where a component has no
@@ -162,5 +164,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = components(links(nodes))
     nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stash(nodes.join(least, "root").select("fp", "component_id"), "component-of")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = stash(nodes.join(least, "root").select("fp", "root", "component_id"), "component-of")
+    return prints.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, rows): the document of each component that stays, the one of smallest doc_id
+    (null last), then smallest text hash, and how many rows say it."""
+    members = near_duplicates(docs).groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+    members = members.select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "rows").alias("m"))
+    return members.groupBy("root").agg(F.min("m").alias("m")).select("m.doc_id", "m.text_hash", "m.rows")
