@@ -38,15 +38,15 @@ _HEX[[ord(c) for c in "0123456789abcdef"]] = True
 def base_spans(text: str, dense: bool = True) -> list[tuple[int, int, int]]:
     """(start, end, kind number) of the base patterns, leftmost and non-overlapping within a kind.
 
-    ``dense`` false promises that the text has no run that access keys or hex could lie in.
+    ``dense`` false promises that the text has no run that 32 hex characters could lie in.
     """
     out = []
     low = text.lower()
     if any(k in low for k in KEYWORDS):
         out += [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 8]
+    if "AKIA" in text:
+        out += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     if dense:
-        if "AKIA" in text:
-            out += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
         out += [(m.start(), m.end(), 2) for m in LONG_HEX.finditer(text)]  # maximal runs, so the same as filtering [0-9a-f]+
     return out
 
@@ -150,7 +150,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 out = []
                 for text, some in zip(b.column("text").to_pylist(), dense.tolist(), strict=True):
                     base = base_spans(text, some)
-                    found = base + linked_spans(text, base) if some else base
+                    found = base + linked_spans(text, base) if some or any(k == 1 for *_, k in base) else base
                     found.sort(key=lambda x: (x[0], x[2]))
                     out.append([{"kind": KINDS[k], "start": s, "end": e} for s, e, k in found])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.list_(span))], ["doc_id", "spans"])
