@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,12 +129,12 @@ def links(prints: DataFrame) -> DataFrame:
     two members of a ball of half the radius are always linked, and a ball holds at most 2,081
     fingerprints, so one chain per bucket is enough and no pairs are made, however dense a group is.
     """
-    spread = prints.select("fp", F.explode(_variants(F.col("fp"), pair_variants())).alias("key"))
-    buckets = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1")
-    buckets = stash(buckets, "buckets")
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = prints.select("fp").repartition(tasks, "fp").select("fp", F.explode(_variants(F.col("fp"), pair_variants())).alias("key"))
+    # fingerprints are distinct, so a bucket's rows are bounded by its free block, and move once
+    members = spread.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
+    members = stash(members, "members")
     close = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= RADIUS
-    two = buckets.where("n = 2").select("u", "v").where(close(F.col("u"), F.col("v"))).distinct()
-    members = stash(spread.join(buckets.where("n > 2").select("key", "n"), "key"), "members")
     few = members.where(F.col("n") <= BUCKET).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     pairs = F.flatten(
         F.transform(
@@ -148,7 +148,7 @@ def links(prints: DataFrame) -> DataFrame:
     balls = balls.groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("fps")).where(F.size("fps") > 1)
     chain = F.transform(F.slice("fps", F.lit(2), F.size("fps")), lambda x: F.struct(x.alias("u"), F.get("fps", F.lit(0)).alias("v")))
     many = balls.select(F.explode(chain).alias("p")).select("p.*").distinct()
-    return two.union(some).union(many)
+    return some.union(many)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
