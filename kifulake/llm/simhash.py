@@ -93,13 +93,17 @@ def _flips(bits: list[int], up_to: int) -> list[int]:
     return [sum(1 << b for b in c) for n in range(up_to + 1) for c in combinations(bits, n)]
 
 
-def _variants(fp: Column, table: list[tuple[int, int]]) -> Column:
-    """(fp and a) xor b for every (a, b)."""
-    wide = F.array(*[F.struct(F.lit(_signed(a)).cast("long").alias("a"), F.lit(_signed(b)).cast("long").alias("b")) for a, b in table])
-    return F.transform(wide, lambda t: fp.bitwiseAND(t["a"]).bitwiseXOR(t["b"]))
+def _variants(fp: Column, table: list[tuple[int, list[int]]]) -> Column:
+    """(fp and a) xor b for every (a, bs) and b of bs; the bs are literals that the planner folds once."""
+    parts = []
+    for a, bs in table:
+        flips = F.split(F.lit(",".join(str(_signed(b)) for b in bs)), ",").cast("array<bigint>")
+        rest = fp.bitwiseAND(F.lit(_signed(a)).cast("long"))
+        parts.append(F.transform(flips, rest.bitwiseXOR))
+    return F.concat(*parts)
 
 
-def pair_variants() -> list[tuple[int, int]]:
+def pair_variants() -> list[tuple[int, list[int]]]:
     """For each pair of blocks, the pair's bits with at most one flipped; the third block's place says which pair.
 
     Of four differing bits, some pair of three blocks holds at most two (the third block holds at
@@ -110,13 +114,13 @@ def pair_variants() -> list[tuple[int, int]]:
     for i, (low, width) in enumerate(BLOCKS):
         hole = ((1 << width) - 1) << low
         kept = [b for b in range(64) if not hole >> b & 1]
-        out += [(~hole & (1 << 64) - 1, flip | (i + 1) << low) for flip in _flips(kept, RADIUS // 4)]
+        out.append((~hole & (1 << 64) - 1, [flip | (i + 1) << low for flip in _flips(kept, RADIUS // 4)]))
     return out
 
 
-def ball_variants() -> list[tuple[int, int]]:
+def ball_variants() -> list[tuple[int, list[int]]]:
     """Every fingerprint within half the radius."""
-    return [((1 << 64) - 1, flip) for flip in _flips(list(range(64)), RADIUS // 2)]
+    return [((1 << 64) - 1, _flips(list(range(64)), RADIUS // 2))]
 
 
 def links(prints: DataFrame) -> DataFrame:
