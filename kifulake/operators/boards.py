@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - loads pa.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -271,13 +272,14 @@ def decode_huffman(df: DataFrame, column: str = "pos", result: str = "result") -
                 ~_inventory_ok(board, hands),
             )
             reason = np.select(checks, range(len(ERRORS)), -1)
-            names = pa.array([None if e < 0 else ERRORS[e] for e in reason], pa.string())
+            wrong = reason >= 0
+            names = pa.DictionaryArray.from_arrays(pa.array(np.where(wrong, reason, 0), mask=~wrong), list(ERRORS)).cast(pa.string())
             relative = np.where(absolute == 0, 0, np.where(absolute - 1 == stm, 1, -1))
             cols.update(_board_columns(decoded))
             cols["result"] = pa.array(relative.astype(np.int32))
             cols["error"] = names
-            wrong = reason >= 0
-            cols["raw"] = pa.array([raw[i].tobytes() if wrong[i] else None for i in range(len(raw))], pa.binary())
+            kept = pa.Array.from_buffers(pa.binary(32), len(raw), [None, pa.py_buffer(np.ascontiguousarray(raw).tobytes())])
+            cols["raw"] = pa.compute.if_else(pa.array(wrong), kept, pa.scalar(None, pa.binary(32))).cast(pa.binary())
             yield pa.RecordBatch.from_pydict(cols)
 
     return df.mapInArrow(run, f"{schema}, {BOARD_FIELDS}, result int, error string, raw binary")
@@ -381,22 +383,22 @@ def parse_sfen(df: DataFrame, column: str = "sfen_text") -> DataFrame:
     any_rank = lambda pred: F.exists("_ranks", pred)
     hand_ok = (hand == "-") | hand.rlike(r"^(\d*[PLNSGBRplnsgbr])+$")
     board_error = (
-        F.when(F.size("_ranks") != 9, "board must have 9 ranks")
-        .when(any_rank(lambda x: x.rlike(r"\+\+")), "duplicate promotion marker")
-        .when(any_rank(lambda x: x.rlike(r"\+\.")), "promotion marker before empty squares")
-        .when(any_rank(lambda x: x.rlike(r"\+$")), "dangling promotion marker")
-        .when(any_rank(lambda x: x.rlike(r"[^PLNSGBRKplnsgbrk+.0]")), "invalid piece char")
-        .when(F.exists("_tok", lambda x: F.size(x) > 9), "too many files in rank")
-        .when(F.exists("_tok", lambda x: F.size(x) < 9), "rank does not contain 9 files")
+        F.when(F.size("_ranks") != 9, "ranks")
+        .when(any_rank(lambda x: x.rlike(r"\+\+")), "promotion twice")
+        .when(any_rank(lambda x: x.rlike(r"\+\.")), "promotion of nothing")
+        .when(any_rank(lambda x: x.rlike(r"\+$")), "promotion at end")
+        .when(any_rank(lambda x: x.rlike(r"[^PLNSGBRKplnsgbrk+.0]")), "piece letter")
+        .when(F.exists("_tok", lambda x: F.size(x) > 9), "long rank")
+        .when(F.exists("_tok", lambda x: F.size(x) < 9), "short rank")
     )
     error = (
-        F.when(board.isNull() | (board == ""), "missing board")
-        .when(side.isNull(), "missing side-to-move")
-        .when(hand.isNull(), "missing hand")
-        .when(ply.isNull(), "missing ply")
-        .when(~side.isin("b", "w"), "invalid side-to-move")
-        .when(F.expr("try_cast(get(_f, 3) as int)").isNull() | ~F.expr("try_cast(get(_f, 3) as int)").between(0, 65535), "invalid ply")
-        .otherwise(F.coalesce(board_error, F.when(~hand_ok, "invalid hand")))
+        F.when(board.isNull() | (board == ""), "no board")
+        .when(side.isNull(), "no side")
+        .when(hand.isNull(), "no hand")
+        .when(ply.isNull(), "no ply")
+        .when(~side.isin("b", "w"), "side letter")
+        .when(F.expr("try_cast(get(_f, 3) as int)").isNull() | ~F.expr("try_cast(get(_f, 3) as int)").between(0, 65535), "ply number")
+        .otherwise(F.coalesce(board_error, F.when(~hand_ok, "hand letters")))
     )
     df = bind(df, "error", error)
     good = F.col("error").isNull()
@@ -470,9 +472,9 @@ def apply_moves(df: DataFrame) -> DataFrame:
         f"WHEN m.up THEN get({promote}, get(s.board, m.fr)) ELSE get(s.board, m.fr) END"
     )
     bad = (
-        "CASE WHEN NOT m.ok THEN concat('invalid move: ', m.text) "
-        "WHEN m.slot >= 0 AND get(get(s.hands, s.stm), m.slot) = 0 THEN concat('piece not in hand: ', m.text) "
-        "WHEN m.slot < 0 AND get(s.board, m.fr) < 2 THEN concat('move source is empty: ', m.text) END"
+        "CASE WHEN NOT m.ok THEN concat('move text: ', m.text) "
+        "WHEN m.slot >= 0 AND get(get(s.hands, s.stm), m.slot) = 0 THEN concat('nothing to drop: ', m.text) "
+        "WHEN m.slot < 0 AND get(s.board, m.fr) < 2 THEN concat('nothing to move: ', m.text) END"
     )
     taken = f"get({slots}, get({plain}, get(s.board, m.to)))"
     step = (

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +22,15 @@ def strided_sample(
     return with_ordinal(picked, out="_ord", block_rows=block_rows).where(F.col("_ord") < samples).drop("_ord")
 
 
-def union_files(parts: list[DataFrame]) -> DataFrame:
-    """Files in list order as one table, with their ordinal as ``file_id``."""
-    tagged = [p.withColumn("file_id", F.lit(i)) for i, p in enumerate(parts)]
-    return reduce(lambda a, b: a.unionByName(b), tagged)
+def tag_files(rows: DataFrame, path: str, files: list[str]) -> DataFrame:
+    """One scan over all files as one table, with each file's place in ``files`` as ``file_id``.
+
+    ``path`` names a row's file (``_metadata.file_path`` of a scan). A file not listed is an error.
+    """
+    order = F.array(*[F.lit(f) for f in files])
+    place = F.array_position(order, F.col(path))
+    missing = F.raise_error(F.concat(F.lit("file not listed: "), F.col(path))).cast("int")
+    return rows.withColumn("file_id", F.when(place > 0, (place - 1).cast("int")).otherwise(missing))
 
 
 def crosscheck(left: DataFrame, right: DataFrame, key: str, fields: list[str]) -> DataFrame:

@@ -194,11 +194,14 @@ def edge_pair_breakdown(edges: DataFrame, top: int) -> DataFrame:
 
 
 def edge_bin_breakdown(edges: DataFrame, bin_col: str, bins: list[int]) -> DataFrame:
-    """Total, dead and percent per bin, bins without edges included."""
+    """Total, dead and percent per bin, bins without edges included; the first and the last bin are open,
+    so every edge is counted. A null bin is an error."""
     spark = edges.sparkSession
-    wanted = spark.range(1).select(F.explode(F.array(*[F.lit(b) for b in bins])).alias("bin"))
-    sums = edges.groupBy(F.col(bin_col).alias("bin")).agg(F.count(F.lit(1)).alias("t"), F.count_if("dead").alias("d"))
-    out = wanted.join(F.broadcast(sums), "bin", "left")  # one row per bin
+    wanted = F.broadcast(spark.range(1).select(F.explode(F.array(*[F.lit(b) for b in bins])).alias("bin")))
+    held = F.greatest(F.least(F.col(bin_col), F.lit(max(bins))), F.lit(min(bins)))
+    held = F.when(F.col(bin_col).isNull(), F.raise_error(F.lit("an edge has no bin")).cast("int")).otherwise(held)
+    sums = edges.groupBy(held.alias("bin")).agg(F.count(F.lit(1)).alias("t"), F.count_if("dead").alias("d"))
+    out = sums.join(wanted, "bin", "right")
     total, dead = F.coalesce("t", F.lit(0)), F.coalesce("d", F.lit(0))
     return out.select(
         "bin", total.alias("total"), dead.alias("dead"),
@@ -218,7 +221,7 @@ def edge_reduction_summary(edges: DataFrame, positions: DataFrame, pos: str = "p
     return row.withColumn("pct", pct).select(
         "positions", "edges", "dead", "pct",
         F.when(F.col("positions") > 0, F.col("edges") / F.col("positions")).otherwise(0.0).alias("edges_per_position"),
-        F.when(F.col("pct") >= 15.0, "GO (>= 15%)").when(F.col("pct") < 10.0, "standalone NO-GO (< 10%)").otherwise("GRAY (10-15%)").alias("verdict"),
+        F.when(F.col("pct") >= 15.0, "worthwhile").when(F.col("pct") < 10.0, "too little").otherwise("undecided").alias("verdict"),
     )
 
 

@@ -30,7 +30,7 @@ def float32(x: float) -> float:
 def parse_bands(text: str) -> list[tuple[float, float]]:
     """``"1500:1.0,3000:0.3,inf:0.1"`` to ``[(upper, probability), ...]``.
 
-    Uppers must rise strictly and end in ``inf``; probabilities lie in (0, 1].
+    Uppers must rise strictly and end in ``inf`` (in any case); probabilities lie in (0, 1].
     """
     bands: list[tuple[float, float]] = []
     entries = [e.strip() for e in text.split(",")]
@@ -40,7 +40,7 @@ def parse_bands(text: str) -> list[tuple[float, float]]:
             raise ValueError(f"band {entry!r} is not of the form upper:probability")
         upper_text = upper_text.strip()
         last = i == len(entries) - 1
-        if upper_text == "inf":
+        if upper_text.lower() == "inf":
             if not last:
                 raise ValueError("inf must be the last band")
             upper = math.inf
@@ -89,7 +89,7 @@ def band_table(configs: DataFrame, spec: str = "spec") -> DataFrame:
         & F.col("p").isNotNull()
         & (F.col("p") > 0)
         & (F.col("p") <= 1)
-        & F.when(last, F.col("_upper") == "inf").otherwise(
+        & F.when(last, F.lower("_upper") == "inf").otherwise(
             F.col("upper_incl").isNotNull() & (F.col("upper_incl") >= 0)
         )
         & (last | F.col("lower_excl").isNull() | (F.col("upper_incl") > F.col("lower_excl")))

@@ -59,10 +59,6 @@ def segment_games(
     )
 
 
-def game_lengths(df: DataFrame) -> DataFrame:
-    return df.groupBy("game_seq").agg(F.count(F.lit(1)).alias("game_len"))
-
-
 def with_game_targets(df: DataFrame, idx_col: str = "rec_idx") -> DataFrame:
     """Add ``game_len``, ``i`` (0-based index in the game) and ``target = i / (len - 1)``.
 

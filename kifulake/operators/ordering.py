@@ -49,36 +49,31 @@ def with_ordinal(
     return rows.drop("_blk", "_pos", "_before")
 
 
-def file_manifest(df: DataFrame, file_col: str = "file_id") -> DataFrame:
-    """One row per file: record count and the number of records in earlier files."""
-    counts = df.groupBy(file_col).agg(F.count(F.lit(1)).alias("n_records"))
-    earlier = Window.orderBy(file_col).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn(
-        "records_before", F.coalesce(F.sum("n_records").over(earlier), F.lit(0))
-    )
-
-
 CELLS_PER_OCTAVE = 4096
 
 
 def magnitude_cell(a: Column) -> Column:
     """A bounded, monotone cell number of a non-negative value (zero gets its own cell).
 
-    An octave of float32 values has 2^23 members, so a cell holds at most 2^11 distinct ones.
+    An octave of float32 values has 2^23 members, so a cell holds at most 2^11 of them; doubles that are
+    not float32 values may be more, and then a cell is as large as its distinct values.
     """
     return F.when(a > 0, F.floor(F.log2(a) * F.lit(CELLS_PER_OCTAVE))).otherwise(
         F.lit(-(1 << 40)).cast("bigint")
     )
 
 
-def select_ranks(df: DataFrame, group: str, value: str, ranks: dict[str, Column]) -> DataFrame:
+def select_ranks(df: DataFrame, group: str, value: str, ranks: dict[str, Column], count: str | None = None) -> DataFrame:
     """Exact order statistics of ``value`` (non-negative) per ``group``.
 
     ``ranks`` maps an output name to a 0-based rank expression over ``n`` (the group size).
-    Values are pre-aggregated map-side; the search narrows to one cell per rank, so no group
+    Values are pre-aggregated map-side (or are already, with their number in ``count``); the search narrows to one cell per rank, so no group
     is ever sorted whole.
     """
-    counts = df.groupBy(group, F.col(value).alias("_a")).agg(F.count(F.lit(1)).alias("_c"))
+    if count:
+        counts = df.select(group, F.col(value).alias("_a"), F.col(count).alias("_c"))
+    else:
+        counts = df.groupBy(group, F.col(value).alias("_a")).agg(F.count(F.lit(1)).alias("_c"))
     counts = counts.withColumn("_cell", magnitude_cell(F.col("_a")))
     cells = counts.groupBy(group, "_cell").agg(F.sum("_c").alias("_cc"))
     ordered = Window.partitionBy(group).orderBy("_cell")
@@ -112,33 +107,3 @@ def select_ranks(df: DataFrame, group: str, value: str, ranks: dict[str, Column]
         F.first("n").alias("n"),
         *[F.max(F.when(F.col("_name") == k, F.col("_a"))).alias(k) for k in ranks],
     )
-
-
-def rows_at_most(df: DataFrame, bound: int) -> bool:
-    """Whether ``df`` has at most ``bound`` rows; reads no more than it needs to decide."""
-    return df.limit(bound + 1).count() <= bound
-
-
-BROADCAST_ROWS = 1_000_000
-
-
-def lookup_join(
-    facts: DataFrame,
-    dim: DataFrame,
-    on: str,
-    spread_by: str,
-    how: str = "inner",
-    broadcast_rows: int = BROADCAST_ROWS,
-    salts: int = 64,
-) -> DataFrame:
-    """Join many facts to one dimension row per key, whatever the key skew.
-
-    A dimension counted below ``broadcast_rows`` is broadcast. Beyond that both sides are
-    salted: each dimension row is repeated ``salts`` times and facts pick a salt from
-    ``spread_by``, so a key holding a third of the facts spreads over ``salts`` tasks.
-    """
-    if rows_at_most(dim, broadcast_rows):
-        return facts.join(F.broadcast(dim), on, how)
-    salted = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    picked = facts.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    return picked.join(salted, [on, "_salt"], how).drop("_salt")

@@ -15,7 +15,6 @@ from ..functions.scores import sigmoid
 from ..session import materialise
 from . import games
 from .features import kp_progress_features
-from .ordering import lookup_join
 from .surveys import score_bucket
 
 N_WEIGHTS = 81 * 1548
@@ -25,10 +24,12 @@ BETA1, BETA2, EPS, FLOOR = 0.9, 0.999, 1e-8, 1e-30
 def progress_score(features: DataFrame, weights: DataFrame, key: str = "idx", pos: str = "pos_id") -> DataFrame:
     """``(pos, p)``: sigmoid of the summed weights of a position's features; unknown ones weigh 0.
 
-    Sums per (position, feature join) are partial before the shuffle. Weights are broadcast
-    when counted small enough (the game's own model has 125,388), else the join is salted.
+    Features are counted per (position, key) first. How the weights join is left to the optimiser:
+    it broadcasts what it measures to be small and splits a key that most features share.
     """
-    joined = lookup_join(features, weights.select(key, F.col("w").alias("_w")), key, pos, "left")
+    counted = features.groupBy(pos, key).agg(F.count(F.lit(1)).alias("_n"))
+    joined = counted.join(weights.select(key, F.col("w").alias("_w")), key, "left")
+    joined = joined.withColumn("_w", F.col("_w") * F.col("_n"))
     z = joined.groupBy(pos).agg(F.sum(F.coalesce("_w", F.lit(0.0))).alias("z"))
     return z.select(pos, sigmoid(F.col("z")).alias("p"))
 
@@ -66,17 +67,18 @@ def progress_gradient(
 ) -> DataFrame:
     """``(key, g)``: sum over positions of ``2 (p - y) p (1 - p) norm`` for each active feature.
 
-    ``targets`` has ``(pos, target, norm)``. Features shuffle once, by position; the second
-    grouping starts from per-task partial sums, so a feature active everywhere is no hot key.
+    ``targets`` has ``(pos, target, norm)``. Positions without a target are left out before anything
+    is gathered. A position's keys are never collected: its score joins back to its counted keys,
+    and the last grouping starts from per-task sums, so a feature active everywhere is no hot key.
     """
-    joined = lookup_join(features, weights.select(key, F.col("w").alias("_w")), key, pos, "left")
-    rows = joined.groupBy(pos).agg(
-        F.sum(F.coalesce("_w", F.lit(0.0))).alias("z"), F.collect_list(key).alias("_keys")
-    )
-    rows = rows.join(targets, pos).withColumn("_p", sigmoid(F.col("z")))
+    labelled = features.join(targets.select(pos), pos, "left_semi")
+    counted = labelled.groupBy(pos, key).agg(F.count(F.lit(1)).alias("_n"))
+    weighted = counted.join(weights.select(key, F.col("w").alias("_w")), key, "left")
+    z = weighted.groupBy(pos).agg(F.sum(F.coalesce("_w", F.lit(0.0)) * F.col("_n")).alias("z"))
+    rows = z.join(targets, pos).withColumn("_p", sigmoid(F.col("z")))
     p = F.col("_p")
     scale = F.lit(2.0) * (p - F.col("target")) * p * (F.lit(1.0) - p) * F.col("norm")
-    return rows.select(scale.alias("_s"), F.explode("_keys").alias(key)).groupBy(key).agg(F.sum("_s").alias("g"))
+    return counted.join(rows.select(pos, scale.alias("_s")), pos).groupBy(key).agg(F.sum(F.col("_s") * F.col("_n")).alias("g"))
 
 
 def progress_eval(scored: DataFrame) -> DataFrame:

@@ -20,11 +20,14 @@ def _all_buckets(spark: SparkSession, n: int) -> DataFrame:
 def bucket_histogram(df: DataFrame, n: int) -> DataFrame:
     """Count and percent per bucket, empty ones included, with the top bucket marked.
 
-    Ties keep the lowest bucket. The pre-aggregated histogram has at most ``n`` rows.
+    Ties keep the lowest bucket. The pre-aggregated histogram has at most ``n`` rows; a bucket outside
+    0..n-1, or none, is an error.
     """
-    counts = df.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"))
+    outside = F.raise_error(F.format_string(f"bucket %s is outside 0..{n - 1}", F.coalesce(F.col("bucket").cast("string"), F.lit("null")))).cast("int")
+    held = F.when(F.col("bucket").between(0, n - 1), F.col("bucket")).otherwise(outside)
+    counts = df.groupBy(held.cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("c"))
     whole = Window.partitionBy(F.lit(0))  # n <= 256 rows
-    full = _all_buckets(df.sparkSession, n).join(F.broadcast(counts), "bucket", "left")
+    full = counts.join(F.broadcast(_all_buckets(df.sparkSession, n)), "bucket", "right")
     full = full.select("bucket", F.coalesce("c", F.lit(0)).alias("n"))
     total, best = F.sum("n").over(whole), F.max(F.struct("n", (-F.col("bucket")).alias("b"))).over(whole)
     return full.select(
@@ -73,13 +76,14 @@ def active_count_stats(df: DataFrame, value: str) -> DataFrame:
 def cumulative_snapshots(df: DataFrame, superbatch: str, value: str) -> DataFrame:
     """The same statistics after each superbatch, over everything seen so far.
 
-    The corpus is reduced to a (superbatch, value) histogram first; each of its cells is then
-    repeated for the later superbatches, which is bounded by superbatches² × values.
+    The corpus is reduced to a (superbatch, value) histogram first. A value's count runs on from one
+    superbatch to the next, so each superbatch has a row per value seen by then: the size of what
+    the statistics are taken of.
     """
-    hist = df.groupBy(F.col(superbatch).alias("_sb"), F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("_c"))
-    present = hist.groupBy("_sb").agg(F.lit(1).alias("_seen"))
-    last = hist.agg(F.max("_sb").alias("_last"))
-    spread = hist.crossJoin(F.broadcast(last)).withColumn("superbatch", F.explode(F.sequence("_sb", "_last")))
-    so_far = spread.groupBy("superbatch", "value").agg(F.sum("_c").alias("n"))
-    so_far = so_far.join(present, so_far["superbatch"] == present["_sb"], "left_semi")
+    hist = df.groupBy(F.col(superbatch).alias("superbatch"), F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("_c"))
+    present = hist.select("superbatch").distinct()
+    born = hist.groupBy("value").agg(F.min("superbatch").alias("_born"))
+    grid = born.join(present, present["superbatch"] >= born["_born"]).select("superbatch", "value")
+    run = Window.partitionBy("value").orderBy("superbatch").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = grid.join(hist, ["superbatch", "value"], "left").withColumn("n", F.sum(F.coalesce("_c", F.lit(0))).over(run)).drop("_c")
     return _rank_stats(so_far, ["superbatch"], "value", "n")

@@ -12,18 +12,18 @@ from .ordering import select_ranks
 
 def weight_saturation(df: DataFrame, bound: float) -> DataFrame:
     """Per tensor: n, max, p99, p99.9 (floor rank) of abs(v), percent near and at the bound."""
-    a = df.select("name", F.abs("v").alias("a"))
+    a = df.groupBy("name", F.abs("v").alias("a")).agg(F.count(F.lit(1)).alias("c"))
     ranks = select_ranks(
         a, "name", "a",
         {
             "p99": F.floor((F.col("n") - 1) * F.lit(0.99)),
             "p999": F.floor((F.col("n") - 1) * F.lit(0.999)),
         },
+        count="c",
     )
+    above = lambda limit: F.sum(F.when(F.col("a") >= limit, F.col("c")).otherwise(0)) * 100.0 / F.sum("c")
     shares = a.groupBy("name").agg(
-        F.max("a").alias("max"),
-        (F.count_if(F.col("a") >= bound * 0.9) * 100.0 / F.count(F.lit(1))).alias("near_pct"),
-        (F.count_if(F.col("a") >= bound - bound * 1e-5) * 100.0 / F.count(F.lit(1))).alias("at_pct"),
+        F.max("a").alias("max"), above(bound * 0.9).alias("near_pct"), above(bound - bound * 1e-5).alias("at_pct")
     )
     return ranks.join(shares, "name").select("name", "n", "max", "p99", "p999", "near_pct", "at_pct")
 
@@ -97,6 +97,17 @@ def edge_row_norms(df: DataFrame, ft_out: int) -> DataFrame:
     return df.groupBy(F.expr(f"idx div {ft_out}").alias("row")).agg(F.sum(F.col("v") * F.col("v")).alias("ss"))
 
 
+def inside_profile(rows: DataFrame, profile: str) -> DataFrame:
+    """``rows`` as they are; a ``row`` that the profile does not have fails the job."""
+    size = profile_rows(rows.sparkSession, profile)
+    outside = F.raise_error(F.format_string(f"feature row %d is outside profile {profile} of {size} rows", F.col("row"))).cast("bigint")
+    return rows.withColumn("row", F.when(F.col("row").between(0, size - 1), F.col("row")).otherwise(outside))
+
+
+def profile_rows(spark: SparkSession, profile: str) -> int:
+    return sum(r["width"] for r in dims.pair_ranges(spark, profile).collect())  # at most 324 rows
+
+
 def _axis(name: str, key: Column) -> Column:
     return F.struct(F.lit(name).alias("axis"), key.alias("key"))
 
@@ -105,10 +116,11 @@ def pair_norm_breakdown(df: DataFrame, ft_out: int, profile: str) -> DataFrame:
     """Sum of squares by attacker class, attack/defense, slider/step and same/cross class.
 
     Feature rows are summed first (at most 216,720 rows), then mapped to their pair by a
-    broadcast of the fixed row dimension, then folded along all four axes at once.
+    broadcast of the fixed row dimension, then folded along all four axes at once. A tensor with
+    rows outside the profile is an error.
     """
     spark = df.sparkSession
-    rows = edge_row_norms(df, ft_out).join(dims.pair_rows(spark, profile), "row")
+    rows = inside_profile(edge_row_norms(df, ft_out), profile).join(dims.pair_rows(spark, profile), "row")
     names = F.array(*[F.lit(n) for n in dims.CLASS_NAMES])
     ac, dc = F.col("ac"), F.col("dc")
     axes = F.array(
@@ -158,11 +170,11 @@ def ablate_rows(df: DataFrame, ft_out: int, profile: str, spec: str) -> DataFram
     ``spec`` is one of :data:`ABLATIONS` or ``random:<seed>:<rows>``.
     """
     spark = df.sparkSession
-    rows = df.withColumn("row", F.expr(f"idx div {ft_out}"))
+    rows = inside_profile(df.withColumn("row", F.expr(f"idx div {ft_out}")), profile)
     pairs = dims.pair_rows(spark, profile)
     if spec.startswith("random:"):
         _, seed, k = spec.split(":")
-        n_rows = sum(r["width"] for r in dims.pair_ranges(spark, profile).collect())  # <= 324 rows
+        n_rows = profile_rows(spark, profile)
         hit = random_rows(spark, n_rows, int(seed), min(int(k), n_rows)).withColumn("zeroed", F.lit(True))
     else:
         hit = pairs.where(ablation_predicate(spec)).select("row", F.lit(True).alias("zeroed"))
@@ -171,15 +183,28 @@ def ablate_rows(df: DataFrame, ft_out: int, profile: str, spec: str) -> DataFram
     return out.withColumn("v", F.when(F.col("zeroed"), 0.0).otherwise(F.col("v")))
 
 
-def ablation_report(spark: SparkSession, profile: str) -> DataFrame:
-    """Zeroed feature rows and pairs of every named spec, from the pair table alone."""
-    p = dims.pair_ranges(spark, profile)
+def ablation_report(df: DataFrame, ft_out: int, profile: str) -> DataFrame:
+    """Per named spec: the feature rows (``dims``) and ``pairs`` it zeroes, and how many values and what
+    sum of squares the tensor holds there.
+
+    Values meet per feature row, then per pair (at most 324), before any spec is asked.
+    """
+    spark = df.sparkSession
+    values = df.groupBy(F.expr(f"idx div {ft_out}").alias("row")).agg(F.sum(F.col("v") * F.col("v")).alias("ss"), F.count("v").alias("n"))
+    key = ["attacker_side", "ac", "attacked_side", "dc"]
+    held = inside_profile(values, profile).join(dims.pair_rows(spark, profile), "row")
+    held = held.groupBy(*key).agg(F.sum("ss").alias("ss"), F.sum("n").alias("n"))
+    pairs = dims.pair_ranges(spark, profile).select(*key, "width").join(held, key, "left")
     specs = F.array(*[F.struct(F.lit(s).alias("spec"), ablation_predicate(s).alias("hit")) for s in ABLATIONS])
+    zero = F.lit(0)
     return (
-        p.select("width", F.explode(specs).alias("s"))
+        pairs.select("width", "n", "ss", F.explode(specs).alias("s"))
         .where("s.hit")
         .groupBy("s.spec")
-        .agg(F.sum("width").cast("bigint").alias("zeroed_dims"), F.count(F.lit(1)).alias("zeroed_pairs"))
+        .agg(
+            F.sum("width").cast("bigint").alias("dims"), F.count(F.lit(1)).alias("pairs"),
+            F.coalesce(F.sum("n"), zero).alias("n_values"), F.coalesce(F.sum("ss"), zero.cast("double")).alias("l2sq"),
+        )
     )
 
 

@@ -12,7 +12,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.binding import bind
@@ -26,6 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------- positions and sequences
 
 
+EPOCH_DAY = "2024-01-01"
+
+
+def day_number(ts: str) -> Column:
+    """Days since the first day of the tables, from 1 on; months never fold together."""
+    return (F.datediff(F.col(ts).cast("date"), F.lit(EPOCH_DAY).cast("date")) + 1).cast("int")
+
+
+_DAY = f"CAST(date_diff('day', DATE '{EPOCH_DAY}', CAST(ts AS DATE)) + 1 AS INTEGER)"
+
+
 def v_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, value = F.col("event_type"), F.col("value")
     sign = F.when(kind.isin("error", "signup"), -1).otherwise(1)
@@ -37,30 +48,35 @@ def v_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
         (sign * stamp).cast("int").alias("score"),
         result.cast("int").alias("result"),
         F.hour("ts").alias("ply"),
-        F.dayofmonth("ts").alias("day"),
+        day_number("ts").alias("day"),
     )
 
 
-V_POS = """
+V_POS = f"""
   SELECT CAST(user_id % 8 AS INTEGER) AS file_id, event_id AS rec_idx,
          CAST((CASE WHEN event_type IN ('error','signup') THEN -1 ELSE 1 END)
             * (CASE WHEN value >= 200 THEN 32000 ELSE CAST(floor(value * 66) AS INTEGER) END) AS INTEGER) AS score,
          CAST(CASE WHEN event_type IN ('purchase','signup') THEN 1
                    WHEN event_type IN ('error','click') THEN -1 ELSE 0 END AS INTEGER) AS result,
-         CAST(hour(ts) AS INTEGER) AS ply, CAST(day(ts) AS INTEGER) AS day
+         CAST(hour(ts) AS INTEGER) AS ply, {_DAY} AS day
   FROM events"""
 
 
+TURNS = 1 << 20  # record numbers of one conversation
+
+
 def v_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(
         F.lit(0).alias("file_id"),
-        (F.col("conv_id") * 1024 + F.col("turn")).alias("rec_idx"),
+        F.when(F.col("turn").between(0, TURNS - 1), F.col("conv_id") * TURNS + F.col("turn"))
+        .otherwise(F.raise_error(F.lit("a conversation has more turns than its record numbers")).cast("bigint"))
+        .alias("rec_idx"),
         F.col("turn").cast("int").alias("ply"),
     )
 
 
-V_SEQ = """
-  SELECT 0 AS file_id, conv_id * 1024 + turn AS rec_idx, CAST(turn AS INTEGER) AS ply
+V_SEQ = f"""
+  SELECT 0 AS file_id, conv_id * {TURNS} + turn AS rec_idx, CAST(turn AS INTEGER) AS ply
   FROM conversations"""
 
 
@@ -139,8 +155,11 @@ V_EDGE = """
 
 
 def v_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = F.when(F.size("embedding") <= 64, F.col("embedding")).otherwise(
+        F.raise_error(F.lit("an embedding has more than 64 values")).cast("array<float>")
+    )
     e = table(spark, sf_dir, "embeddings").select(
-        F.col("label").cast("string").alias("name"), "vec_id", F.posexplode("embedding").alias("pos", "x")
+        F.col("label").cast("string").alias("name"), "vec_id", F.posexplode(whole).alias("pos", "x")
     )
     return e.select("name", (F.col("vec_id") * 64 + F.col("pos")).alias("idx"), F.col("x").cast("double").alias("v"))
 
@@ -153,7 +172,7 @@ V_TENSOR = """
 def v_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "events")
-        .groupBy(F.col("event_type").alias("run"), F.dayofmonth("ts").alias("superbatch"))
+        .groupBy(F.col("event_type").alias("run"), day_number("ts").alias("superbatch"))
         .agg(
             F.avg("value").alias("loss"),
             F.stddev_samp("value").alias("test_loss"),
@@ -163,8 +182,8 @@ def v_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-V_HIST = """
-  SELECT event_type AS run, CAST(day(ts) AS INTEGER) AS superbatch, avg(value) AS loss,
+V_HIST = f"""
+  SELECT event_type AS run, {_DAY} AS superbatch, avg(value) AS loss,
          stddev_samp(value) AS test_loss, count(*) AS n_positions, sum(value) AS seconds
   FROM events GROUP BY 1, 2"""
 
@@ -208,14 +227,14 @@ _HAND_RANGES = ((0, 17), (18, 21), (22, 25), (26, 29), (30, 33), (34, 35), (36,
 _H = "event_id * 7919 + user_id * 104729 + CAST(floor(value * 100) AS BIGINT) * 31"
 
 
-def v_board(spark: SparkSession, sf_dir: str, ranges: int | None = None) -> DataFrame:
+def v_board(spark: SparkSession, sf_dir: str, ranged: bool = False, parts: bool = False) -> DataFrame:
     """Positions with ``board`` (81 codes) and both hands, built row by row without a join.
 
-    ``ranges`` cuts the small source rows into that many record-index ranges first, for
-    writing ordered files without sorting the encoded rows.
+    ``ranged`` cuts the small source rows into record-index ranges first, for writing ordered
+    files without sorting the encoded rows. ``parts`` keeps the permutation's ``a`` and ``b``.
     """
     source = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "ts")
-    source = source.repartitionByRange(ranges, "event_id") if ranges else spread(source)
+    source = source.repartitionByRange("event_id") if ranged else spread(source)
     rows = source.select(
         F.col("event_id").alias("pos_id"),
         (F.col("user_id") % 8).cast("int").alias("file_id"),
@@ -257,6 +276,7 @@ def v_board(spark: SparkSession, sf_dir: str, ranges: int | None = None) -> Data
         (sign * stamp).cast("int").alias("score"),
         result.cast("int").alias("result"),
         "ply",
+        *(["a", "b"] if parts else []),
     )
 
 

@@ -64,10 +64,10 @@ _FILES_SQL = """
     ("v_pos",),
 )
 def multi_file_union(spark, sf):
-    """Eight files in order, as one union: game state restarts per file, numbering continues."""
-    pos = ad.v_pos(spark, sf)
-    parts = [pos.where(F.col("file_id") == i).select("rec_idx", "ply") for i in range(8)]
-    return games.segment_games(checks.union_files(parts)).select("file_id", "rec_idx", "game_seq")
+    """The corpus's files in order: game state restarts per file, numbering continues. One scan tags them all."""
+    files = [f"file-{i}" for i in range(8)]
+    named = ad.v_pos(spark, sf).select(F.concat(F.lit("file-"), "file_id").alias("path"), "rec_idx", "ply")
+    return games.segment_games(checks.tag_files(named, "path", files)).select("file_id", "rec_idx", "game_seq")
 
 
 @query(
@@ -296,11 +296,21 @@ def per_position_norm(spark, sf):
 
 @query(
     "game_sequence_number",
-    f"{games_sql('g', 'v_pos')} SELECT file_id, rec_idx, game_seq FROM g WHERE game_seq < 200",
+    f"{games_sql('g', 'v_pos')} SELECT file_id, rec_idx, game_seq FROM g",
     ("v_pos",),
 )
 def game_sequence_number(spark, sf):
-    """The first 200 games over all files in order: the games cap of a training pass."""
+    """Every record with the number of its game over all files in order."""
+    return games.segment_games(ad.v_pos(spark, sf)).select("file_id", "rec_idx", "game_seq")
+
+
+@query(
+    "training_games_cap",
+    f"{games_sql('g', 'v_pos')} SELECT file_id, rec_idx, game_seq FROM g WHERE game_seq < 200",
+    ("v_pos",),
+)
+def training_games_cap(spark, sf):
+    """The games cap of a training pass: the first 200 games over all files in order."""
     return games.route_games(games.segment_games(ad.v_pos(spark, sf)), 0.0, 16, max_games=200).select(
         "file_id", "rec_idx", "game_seq"
     )

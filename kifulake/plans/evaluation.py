@@ -376,7 +376,14 @@ PAIRS_SQL = f"""
          coalesce(sum(width) OVER (ORDER BY attacker_side, ac, attacked_side, dc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base
   FROM {_WIDTHS}, (SELECT range AS attacker_side FROM range(2)), (SELECT range AS attacked_side FROM range(2)), (SELECT range AS dc FROM range(9))"""
 ad.add_view("v_pairs", PAIRS_SQL)
-_ROWS = """p AS (SELECT t.idx AS row, attacker_side AS a_s, attacked_side AS d_s, v_pairs.ac, dc, v FROM v_tensor t JOIN v_pairs ON t.idx >= base AND t.idx < base + width)"""
+_DIMS = 4 * 9 * sum(dims.class_widths())
+#: The tensor as blocks of the profile's size: element ``idx`` is row ``idx mod size`` of block ``idx div size``.
+_ROWS = f"""p AS (SELECT t.idx, attacker_side AS a_s, attacked_side AS d_s, v_pairs.ac, dc, v FROM v_tensor t JOIN v_pairs ON t.idx % {_DIMS} >= base AND t.idx % {_DIMS} < base + width)"""
+
+
+def _folded(spark, sf):
+    """The tensor with ``idx`` inside the profile, and its own number as ``element``."""
+    return ad.v_tensor(spark, sf).withColumns({"element": F.col("idx"), "idx": F.col("idx") % _DIMS})
 _SLIDE = "ac IN (1, 5, 6, 7, 8)"
 
 
@@ -393,34 +400,75 @@ _SLIDE = "ac IN (1, 5, 6, 7, 8)"
     ("v_tensor", "v_pairs"),
 )
 def pair_norm_breakdown(spark, sf):
-    b = tensors.pair_norm_breakdown(ad.v_tensor(spark, sf), 1, "full")
+    b = tensors.pair_norm_breakdown(_folded(spark, sf), 1, "full")
     return b.select("axis", "key", rnd(F.col("l2sq")).alias("l2sq"), "dims", rnd(F.when(F.col("dims").isNotNull(), F.col("per_dim")), 9).alias("per_dim"))
 
 
 @query(
     "ablate_rows",
     f"""{_ROWS}
-        SELECT CAST(row AS BIGINT) AS idx, NOT ({_SLIDE}) AS zeroed, {r(f'CASE WHEN {_SLIDE} THEN v ELSE 0.0 END', 9)} AS v FROM p""",
+        SELECT CAST(idx AS BIGINT) AS idx, NOT ({_SLIDE}) AS zeroed, {r(f'CASE WHEN {_SLIDE} THEN v ELSE 0.0 END', 9)} AS v FROM p""",
     ("v_tensor", "v_pairs"),
 )
 def ablate_rows(spark, sf):
-    t = tensors.ablate_rows(ad.v_tensor(spark, sf), 1, "full", "step-attacker")
-    return t.select("idx", "zeroed", rnd(F.col("v"), 9).alias("v"))
+    t = tensors.ablate_rows(_folded(spark, sf), 1, "full", "step-attacker")
+    return t.select(F.col("element").alias("idx"), "zeroed", rnd(F.col("v"), 9).alias("v"))
 
 
 @query(
     "ablate_rows_random",
-    f"""n AS (SELECT range AS row FROM range({4 * 9 * sum(dims.class_widths())})), {draws('d', 'n', 7, '0', 'row')},
+    f"""n AS (SELECT range AS row FROM range({_DIMS})), {draws('d', 'n', 7, '0', 'row')},
         k AS (SELECT row FROM d ORDER BY u24, row LIMIT 40000)
         SELECT name, count(*) FILTER (WHERE row IS NOT NULL) AS zeroed, {r('sum(CASE WHEN row IS NULL THEN v * v ELSE 0.0 END)')} AS l2sq
-        FROM v_tensor LEFT JOIN k ON row = idx GROUP BY 1""",
+        FROM v_tensor LEFT JOIN k ON row = idx % {_DIMS} GROUP BY 1""",
     ("v_tensor",),
 )
 def ablate_rows_random(spark, sf):
-    t = tensors.ablate_rows(ad.v_tensor(spark, sf), 1, "full", "random:7:40000")
+    t = tensors.ablate_rows(_folded(spark, sf), 1, "full", "random:7:40000")
     return t.groupBy("name").agg(F.count_if("zeroed").alias("zeroed"), rnd(F.sum(F.col("v") * F.col("v"))).alias("l2sq"))
 
 
+_SPECS = {
+    "all": "true", "slider-attacker": _SLIDE, "step-attacker": f"NOT ({_SLIDE})", "bigslider-attacker": "ac IN (5, 6, 7, 8)",
+    "defense": "a_s = d_s", "attack": "a_s <> d_s", "same-class": "ac = dc",
+}
+
+
+@query(
+    "ablate_rows_specs",
+    f"{_ROWS} " + " UNION ALL ".join(
+        f"""SELECT '{s}' AS spec, count(*) FILTER (WHERE {c}) AS zeroed, {r(f'sum(CASE WHEN {c} THEN 0.0 ELSE v * v END)')} AS l2sq FROM p""" for s, c in _SPECS.items()
+    ),
+    ("v_tensor", "v_pairs"),
+)
+def ablate_rows_specs(spark, sf):
+    """What each named spec zeroes and leaves of the tensor."""
+    parts = [
+        tensors.ablate_rows(_folded(spark, sf), 1, "full", s).agg(
+            F.lit(s).alias("spec"), F.count_if("zeroed").alias("zeroed"), rnd(F.sum(F.col("v") * F.col("v"))).alias("l2sq")
+        )
+        for s in tensors.ABLATIONS
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+@query(
+    "ablation_report",
+    f"""p AS (SELECT q.attacker_side AS a_s, q.attacked_side AS d_s, q.ac, q.dc, q.width, count(t.v) AS n, sum(t.v * t.v) AS ss
+              FROM v_pairs q LEFT JOIN v_tensor t ON t.idx % {_DIMS} >= base AND t.idx % {_DIMS} < base + width GROUP BY ALL) """ + " UNION ALL ".join(
+        f"""SELECT '{s}' AS spec, CAST(sum(width) AS BIGINT) AS dims, count(*) AS pairs, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_values, {r('coalesce(sum(ss), 0)')} AS l2sq
+            FROM p WHERE {c}""" for s, c in _SPECS.items()
+    ),
+    ("v_tensor", "v_pairs"),
+)
+def ablation_report(spark, sf):
+    """Per spec: feature rows and pairs it covers, and the tensor's values and squares there."""
+    rep = tensors.ablation_report(_folded(spark, sf), 1, "full")
+    return rep.withColumn("l2sq", rnd(F.col("l2sq")))
+
 @query(
     "group_norm_correction",
     f"""g AS (SELECT name, idx % 64 AS o, sqrt(sum(v * v)) AS norm FROM v_tensor GROUP BY 1, 2)
@@ -505,14 +553,14 @@ def v_bench(spark, sf):
     """Throughput per (case, run, superbatch) from daily event values."""
     return (
         ad.table(spark, sf, "events")
-        .groupBy(F.col("event_type").alias("case_id"), (F.col("user_id") % 4).cast("int").alias("run"), F.dayofmonth("ts").alias("superbatch"))
+        .groupBy(F.col("event_type").alias("case_id"), (F.col("user_id") % 4).cast("int").alias("run"), ad.day_number("ts").alias("superbatch"))
         .agg(F.avg("value").alias("pos_per_sec"))
     )
 
 
 ad.add_view(
     "v_bench",
-    "SELECT event_type AS case_id, CAST(user_id % 4 AS INTEGER) AS run, CAST(day(ts) AS INTEGER) AS superbatch, avg(value) AS pos_per_sec FROM events GROUP BY 1, 2, 3",
+    f"SELECT event_type AS case_id, CAST(user_id % 4 AS INTEGER) AS run, {ad._DAY} AS superbatch, avg(value) AS pos_per_sec FROM events GROUP BY 1, 2, 3",
 )
 
 

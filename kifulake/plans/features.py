@@ -376,7 +376,7 @@ def edge_pair_breakdown(spark, sf):
 
 @query(
     "edge_ply_breakdown",
-    f"""y AS (SELECT CAST(unnest(range(1990, 2002)) AS INTEGER) AS bin), s AS (SELECT yr, count(*) AS t, count(*) FILTER (WHERE dead) AS d FROM v_trade GROUP BY 1)
+    f"""y AS (SELECT CAST(unnest(range(1990, 2002)) AS INTEGER) AS bin), s AS (SELECT greatest(least(yr, 2001), 1990) AS yr, count(*) AS t, count(*) FILTER (WHERE dead) AS d FROM v_trade GROUP BY 1)
         SELECT bin, coalesce(t, 0) AS total, coalesce(d, 0) AS dead, {r('CASE WHEN t > 0 THEN 100.0 * d / t ELSE 0.0 END')} AS pct FROM y LEFT JOIN s ON yr = bin""",
     ("v_trade",),
 )
@@ -389,7 +389,7 @@ def edge_ply_breakdown(spark, sf):
     "edge_reduction_summary",
     f"""s AS (SELECT (SELECT count(DISTINCT date_trunc('week', o_orderdate)) FROM orders) AS positions, count(*) AS edges, count(*) FILTER (WHERE dead) AS dead FROM v_trade)
         SELECT positions, edges, dead, {r('100.0 * dead / edges')} AS pct, {r('edges / positions::DOUBLE')} AS edges_per_position,
-               CASE WHEN 100.0 * dead / edges >= 15 THEN 'GO (>= 15%)' WHEN 100.0 * dead / edges < 10 THEN 'standalone NO-GO (< 10%)' ELSE 'GRAY (10-15%)' END AS verdict FROM s""",
+               CASE WHEN 100.0 * dead / edges >= 15 THEN 'worthwhile' WHEN 100.0 * dead / edges < 10 THEN 'too little' ELSE 'undecided' END AS verdict FROM s""",
     ("v_trade",),
 )
 def edge_reduction_summary(spark, sf):
@@ -409,7 +409,7 @@ def edge_invariant_check(spark, sf):
     """Edges called dead because the pair ever traded back: violations where it did not that week."""
     e = ad.v_edge(spark, sf)
     ever = e.select(F.col("to_sq").alias("from_sq"), F.col("from_sq").alias("to_sq"), F.lit(True).alias("_b")).distinct()
-    flagged = e.join(F.broadcast(ever), ["from_sq", "to_sq"], "left")  # 25 nations: at most 600 pairs
+    flagged = e.join(ever, ["from_sq", "to_sq"], "left")
     flagged = edges.canonical_dead_edge(flagged.withColumn("mutual", F.coalesce("_b", F.lit(False))))
     return edges.edge_invariant_check(flagged, fail=False).select("pos_id", "from_sq", "to_sq", "ac", "dc", "violations")
 

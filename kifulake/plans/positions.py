@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import boards, dims
@@ -43,16 +44,21 @@ def decode_positions(spark, sf):
 
 # Every 50th record gets a flaw, so the quarantine has something of each kind to hold.
 _FLAW = "(pos_id % 50 = 7)"
+#: Positions with a lance on the board: the others cannot carry the flaw of the third kind.
+_LANCE = "lance AS (SELECT DISTINCT pos_id FROM v_cell WHERE code = 4)"
 _ABS = "CASE WHEN result = 0 THEN 0 WHEN (result = 1) = (stm = 0) THEN 1 ELSE 2 END"
 
 
 def _huffman(spark, sf):
-    b = boards.encode_huffman(ad.v_board(spark, sf))
-    kind = F.expr("CASE WHEN pos_id % 50 = 7 THEN (pos_id div 50) % 3 END")
-    # a repeated king square, an unknown result, and an all-ones tail that breaks the inventory
+    kind = F.expr("CASE WHEN pos_id % 50 = 7 THEN (pos_id div 50) % 4 END")
+    # a lance turned into a knight, whose code is as long, leaves too few of one and too many of the other
+    swapped = F.expr("transform(board, (c, i) -> CAST(CASE WHEN i = array_position(board, 4Y) - 1 THEN 6 ELSE c END AS TINYINT))")
+    rows = ad.v_board(spark, sf)
+    b = boards.encode_huffman(rows.withColumn("board", F.when(kind == 2, swapped).otherwise(F.col("board"))))
+    # a repeated king square, an unknown result, and all ones behind the kings, which run past the record's end
     pos = (
         F.when(kind == 0, F.expr("unhex(concat('0000', substring(hex(pos), 5)))"))
-        .when(kind == 2, F.expr("unhex(concat(substring(hex(pos), 1, 40), repeat('F', 24)))"))
+        .when(kind == 3, F.expr("unhex(concat(substring(hex(pos), 1, 8), repeat('F', 56)))"))
         .otherwise(F.col("pos"))
     )
     absolute = F.when(kind == 1, 7).otherwise(F.expr(_ABS))
@@ -61,8 +67,8 @@ def _huffman(spark, sf):
 
 @query(
     "decode_hcpe_quarantine",
-    f"SELECT t.*, b.result FROM v_text t JOIN v_board b USING (pos_id) WHERE NOT {_FLAW}",
-    ("v_text", "v_board"),
+    f"{_LANCE} SELECT t.*, b.result FROM v_text t JOIN v_board b USING (pos_id) WHERE NOT ({_FLAW} AND ((pos_id // 50) % 4 <> 2 OR pos_id IN (SELECT pos_id FROM lance)))",
+    ("v_text", "v_board", "v_cell"),
 )
 def decode_hcpe_quarantine(spark, sf):
     """Sound rows of a corpus with damaged records."""
@@ -72,15 +78,15 @@ def decode_hcpe_quarantine(spark, sf):
 
 @query(
     "hcpe_quarantine_report",
-    f"""SELECT CASE (pos_id // 50) % 3 WHEN 0 THEN 'king squares' WHEN 1 THEN 'game result' END AS error, count(*) AS n
-        FROM v_board WHERE {_FLAW} AND (pos_id // 50) % 3 <> 2 GROUP BY 1""",
-    ("v_board",),
+    f"""{_LANCE} SELECT CASE (pos_id // 50) % 4 WHEN 0 THEN 'king squares' WHEN 1 THEN 'game result' WHEN 2 THEN 'piece inventory' ELSE '256-bit boundary' END AS error,
+               count(*) AS n
+        FROM v_board WHERE {_FLAW} AND ((pos_id // 50) % 4 <> 2 OR pos_id IN (SELECT pos_id FROM lance)) GROUP BY 1""",
+    ("v_board", "v_cell"),
 )
 def hcpe_quarantine_report(spark, sf):
-    """Rejected rows by reason, for the two flaws whose reason is known in advance."""
+    """All rejected rows by reason."""
     _, rejected = boards.quarantine(boards.decode_huffman(_huffman(spark, sf)))
-    known = rejected.where(F.expr("(pos_id div 50) % 3 <> 2"))
-    return known.groupBy("error").agg(F.count(F.lit(1)).alias("n"))
+    return rejected.groupBy("error").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -103,25 +109,22 @@ _SQ_TEXT = "chr(CAST(49 + {s} // 9 AS INTEGER)) || chr(CAST(97 + {s} % 9 AS INTE
              FROM v_board b JOIN v_kings k USING (pos_id), range(81) AS r(s) GROUP BY 1, 2, 3, 4, 5)
        SELECT e.pos_id, e.stm, CAST(CASE WHEN e.stm = 0 THEN free ELSE target END AS INTEGER) AS bk, CAST(CASE WHEN e.stm = 0 THEN target ELSE free END AS INTEGER) AS wk,
               e.ply + 2 AS ply,
-              CAST((SELECT coalesce(sum(n), 0) FROM v_hand h WHERE h.pos_id = e.pos_id) + CASE WHEN q.code > 0 THEN 1 ELSE 0 END AS BIGINT) AS n_hand
+              CAST((SELECT coalesce(sum(n), 0) FROM v_hand h WHERE h.pos_id = e.pos_id) + CASE WHEN q.code > 0 THEN 1 ELSE 0 END AS BIGINT) AS n_hand,
+              CAST(NULL AS VARCHAR) AS error
        FROM e JOIN v_square q ON q.pos_id = e.pos_id AND q.sq = e.target""",
     ("v_board", "v_kings", "v_hand", "v_square"),
 )
 def sfen_move_lists(spark, sf):
     """Each position plus two king moves: one to an empty square, one taking a pawn if it is there."""
-    b = boards.to_sfen(ad.v_board(spark, sf))
+    b = boards.to_sfen(ad.v_board(spark, sf, parts=True))
     sq = lambda s: F.concat(F.char(F.lit(49) + F.floor(s / F.lit(9))), F.char(F.lit(97) + s % F.lit(9)))
     at = lambda item: F.expr(f"array_position(transform(sequence(0, 80), s -> (a * s + b) % 81), {item}) - 1")
-    h = F.expr(ad._H)
-    events = ad.table(spark, sf, "events").select(F.col("event_id").alias("pos_id"), h.alias("h"))
-    ab = events.withColumns({"a": F.expr("3 * (h % 26) + 1 + ((h div 26) % 2)"), "b": F.expr("(h div 52) % 81")})
-    squares = ab.select("pos_id", at(40).alias("free"), at(0).alias("target"))
-    rows = b.join(squares, "pos_id")
+    rows = b.withColumns({"free": at(40), "target": at(0)})
     mine = F.when(F.col("stm") == 0, F.col("bk_sq")).otherwise(F.col("wk_sq")).cast("int")
     other = F.when(F.col("stm") == 0, F.col("wk_sq")).otherwise(F.col("bk_sq")).cast("int")
     moves = F.concat(F.lit(" moves "), sq(mine), sq(F.col("free")), F.lit(" "), sq(other), sq(F.col("target")))
     text = rows.select("pos_id", F.concat(F.lit("position sfen "), F.col("sfen_text"), moves).alias("sfen_text"))
-    out = boards.sfen_to_positions(text).where(F.col("error").isNull())
+    out = boards.sfen_to_positions(text)
     held = F.aggregate(F.concat("black_hand", "white_hand"), F.lit(0), lambda a, x: a + x.cast("int"))
     return out.select(
         "pos_id",
@@ -130,6 +133,7 @@ def sfen_move_lists(spark, sf):
         F.col("wk_sq").cast("int").alias("wk"),
         "ply",
         held.cast("bigint").alias("n_hand"),
+        "error",
     )
 
 
@@ -140,11 +144,7 @@ def sfen_move_lists(spark, sf):
     ("v_cell",),
 )
 def explode_pieces(spark, sf):
-    """Pieces in (type, color, square) order; a position's own array is sorted, nothing is shuffled."""
-    pieces = F.filter(
-        F.transform("board", lambda c, s: F.struct(c.cast("int").alias("code"), s.cast("int").alias("sq"))),
-        lambda p: (p["code"] > 1) & (F.shiftright(p["code"], 1) != dims.KING),
-    )
-    rows = ad.v_board(spark, sf).select("pos_id", F.posexplode(F.array_sort(pieces)).alias("slot", "p"))
-    code = F.col("p.code")
-    return rows.select("pos_id", "slot", F.shiftright(code, 1).alias("ptype"), (code % 2).alias("color"), F.col("p.sq").alias("sq"))
+    """Pieces numbered in (type, color, square) order within their position."""
+    pieces = boards.explode_pieces(ad.v_board(spark, sf), ["pos_id"])
+    order = Window.partitionBy("pos_id").orderBy("ptype", "color", "sq")
+    return pieces.select("pos_id", (F.row_number().over(order) - 1).alias("slot"), "ptype", "color", "sq")

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import r as rnd
 from ..operators import boards, filters, games
-from ..operators.ordering import with_ordinal
 from ..session import scratch_path
 from ..sources import documents, records
 from ..streaming import snapshots
@@ -18,7 +17,7 @@ from .registry import query
 
 def _psv(spark, sf):
     """The board corpus written as packed record files; the path."""
-    rows = boards.encode_packed(ad.v_board(spark, sf, ranges=8)).select(
+    rows = boards.encode_packed(ad.v_board(spark, sf, ranged=True)).select(
         "rec_idx", "sfen", F.col("score").cast("smallint").alias("score"), (F.col("rec_idx") % 65536).cast("int").alias("move16"),
         F.col("ply").alias("game_ply"), F.col("result").cast("tinyint").alias("game_result"),
     )
@@ -33,9 +32,9 @@ def _psv(spark, sf):
     ("v_board",),
 )
 def psv_scan(spark, sf):
-    """Write the corpus as eight files and scan them back with their global record index."""
-    rows = records.read_psv(spark, _psv(spark, sf), columns="file_id,rec_idx,score,move16,game_ply,game_result", recordsPerPartition=4096)
-    return with_ordinal(rows, out="global_idx").select("global_idx", "move16", "score", "game_ply", "game_result")
+    """Write the corpus as range files and scan them back with their global record index."""
+    rows = records.read_psv(spark, _psv(spark, sf), columns="global_idx,score,move16,game_ply,game_result")
+    return rows.select("global_idx", "move16", "score", "game_ply", "game_result")
 
 
 @query(
@@ -46,11 +45,10 @@ def psv_scan(spark, sf):
 )
 def training_view(spark, sf):
     """Files to boards in the training order: drop and clamp on raw fields, then decode the rest."""
-    rows = records.read_psv(spark, _psv(spark, sf), columns="sfen,score,move16,file_id,rec_idx")
+    rows = records.read_psv(spark, _psv(spark, sf), columns="sfen,score,global_idx")
     usable = filters.score_clamp(filters.score_drop(rows, 32000), 3000)
-    # the record's own number is its event id; it survives the filters as the unfiltered ordinal
-    ids = with_ordinal(rows.select("file_id", "rec_idx"), out="pos_id")
-    decoded = boards.decode_positions(usable.join(ids, ["file_id", "rec_idx"]).select("pos_id", "score", "sfen"))
+    # the record's own number is its event id, and the source knows it before any filter
+    decoded = boards.decode_positions(usable.select(F.col("global_idx").alias("pos_id"), "score", "sfen"))
     return as_text(decoded, "score")
 
 
@@ -61,11 +59,10 @@ def training_view(spark, sf):
 )
 def hcpe_scan(spark, sf):
     absolute = F.when(F.col("result") == 0, 0).when((F.col("result") == 1) == (F.col("stm") == 0), 1).otherwise(2)
-    rows = boards.encode_huffman(ad.v_board(spark, sf, ranges=8)).select("rec_idx", "pos", F.col("score").cast("smallint").alias("score"), absolute.cast("int").alias("result"))
+    rows = boards.encode_huffman(ad.v_board(spark, sf, ranged=True)).select("rec_idx", "pos", F.col("score").cast("smallint").alias("score"), absolute.cast("int").alias("result"))
     path = scratch_path(spark, "corpus-hcpe")
     records.write_records(rows, path, "hcpe", ["rec_idx"], ranged=True)
-    back = records.read_hcpe(spark, path, columns="file_id,rec_idx,score,result")
-    return with_ordinal(back, out="global_idx").select("global_idx", "score", "result")
+    return records.read_hcpe(spark, path, columns="global_idx,score,result")
 
 
 @query(
@@ -77,9 +74,8 @@ def progress_weights_file(spark, sf):
     """Weights as 64-bit vectors on disk, in single precision once read; the size must match."""
     t = ad.v_tensor(spark, sf).select("idx", F.col("v").alias("w"))
     path = scratch_path(spark, "weights")
-    records.write_records(t, path, "f64", ["idx"], files=4)
-    back = records.read_records(spark, path, record="f64", expectedRecords=t.count())
-    w = with_ordinal(back, out="global_idx")
+    records.write_records(t, path, "f64", ["idx"])
+    w = records.read_records(spark, path, record="f64", expectedRecords=t.count(), columns="global_idx,w")
     return w.select("global_idx", rnd(F.col("w").cast("float").cast("double"), 9).alias("w"))
 
 
@@ -179,10 +175,11 @@ def stream_run_best(spark, sf):
     ("v_board",),
 )
 def games_from_files(spark, sf):
-    """Games of a corpus file: one file, since games never span files."""
+    """Games of one stream that is stored in many files: its global record numbers order it."""
     rows = ad.v_board(spark, sf).select("rec_idx", F.lit(b"\0" * 32).alias("sfen"), F.col("ply").alias("game_ply"))
-    path = scratch_path(spark, "one-file")
-    records.write_records(rows, path, "psv", ["rec_idx"], files=1)
-    back = records.read_psv(spark, path, columns="file_id,rec_idx,game_ply", recordsPerPartition=2048)
+    path = scratch_path(spark, "stream-files")
+    records.write_records(rows, path, "psv", ["rec_idx"])
+    back = records.read_psv(spark, path, columns="global_idx,game_ply")
+    back = back.select(F.lit(0).alias("file_id"), F.col("global_idx").alias("rec_idx"), "game_ply")
     g = games.segment_games(back, ply_col="game_ply", block_rows=1024)
     return g.groupBy("game_seq").agg(F.count(F.lit(1)).alias("n"))

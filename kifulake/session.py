@@ -25,6 +25,9 @@ def build_session(app: str = "kifulake", master: str | None = None, **conf: str)
         "spark.sql.execution.arrow.maxRecordsPerBatch": "16384",
         "spark.ui.enabled": "false",
     }
+    if not master:
+        # on a cluster partitions start many and small, and AQE joins them up to its advisory size
+        settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = "8192"
     settings.update(conf)
     for key, value in settings.items():
         builder = builder.config(key, value)
@@ -34,11 +37,13 @@ def build_session(app: str = "kifulake", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the cluster.
 
-    Only where the session names none (tests, local runs) a temporary folder is set.
+    Only a local master, whose executors share the driver's disk, gets a temporary folder instead.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return spark.sparkContext.getCheckpointDir()
@@ -49,14 +54,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+SPREAD_BYTES = 64 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many partitions as the application has cores.
+    """A tiny input dealt to all cores ahead of CPU-heavy work; anything larger as it is.
 
-    For small inputs that arrive in fewer splits than that (one file, one row group) ahead of
-    CPU-heavy work. Larger inputs already have the splits and are left alone, unshuffled.
+    A file of one row group cannot be split by the reader. Up to ``SPREAD_BYTES`` by the planner's
+    size estimate (file sizes, no job) its rows are dealt out; beyond that the input's own splits stand.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

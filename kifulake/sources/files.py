@@ -3,11 +3,26 @@
 from __future__ import annotations
 
 import pyarrow.fs as pafs
+from pyspark.sql import SparkSession
+
+#: Hadoop's names of stores that have another one here.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "wasb"}
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` (a comma list) as Spark would resolve it: without a scheme it lies in the default file system."""
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    if default.startswith("file:"):
+        return path
+    parts = (p.strip() for p in path.split(","))
+    return ",".join(p if not p or "://" in p or p.startswith("file:") else default.rstrip("/") + "/" + p.lstrip("/") for p in parts)
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a path or URI and the path inside it."""
     if "://" in path or path.startswith("file:"):
+        scheme, colon, rest = path.partition(":")
+        path = SCHEMES.get(scheme, scheme) + colon + rest
         return pafs.FileSystem.from_uri(path)
     return pafs.LocalFileSystem(), path
 

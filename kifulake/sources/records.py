@@ -2,8 +2,10 @@
 
 ``spark.read.format("position_records").load(path)`` plans byte ranges aligned to whole
 records, so one huge file is read by many tasks; record indices come from the byte position
-and need no pass over the data. ``df.write.format("position_records")`` writes one file per
-partition, named in partition order, and publishes them only on commit.
+and need no pass over the data, nor do global numbers (``global_idx``: file sizes in list order
+before the file, plus the place in it). ``df.write.format("position_records")`` writes one file per
+partition, named by write and partition, and publishes them only on commit; a later append
+sorts behind what is there.
 
 Options: ``record`` (psv, hcpe or f64; default by file extension), ``start`` and ``end``
 (aligned byte range within one file), ``trailing`` (error or ignore), ``columns`` (comma list;
@@ -15,6 +17,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -32,11 +36,12 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from .files import filesystem, list_files
+from .files import filesystem, list_files, qualified
 
 FORMAT = "position_records"
 CHUNK = 65_536  # records per Arrow batch
 PER_PARTITION = 4_000_000  # 160 MB of 40-byte records
+MAX_PARTITIONS = 100_000  # the driver plans one object each; ranges grow beyond that many
 
 # Record layouts, little endian.
 LAYOUTS = {
@@ -69,6 +74,7 @@ class RecordRange(InputPartition):
     file_id: int
     start: int  # record numbers within the file
     end: int
+    before: int = 0  # records in earlier files
 
 
 class RecordReader(DataSourceReader):
@@ -115,14 +121,16 @@ class RecordReader(DataSourceReader):
         expected = opts.get("expectedrecords")
         if expected is not None and sum(r[3] - r[2] for r in ranges) != int(expected):
             raise ValueError(f"expected {expected} records, found {sum(r[3] - r[2] for r in ranges)}")
-        per = int(opts.get("recordsperpartition", PER_PARTITION))
-        parts = []
+        total = sum(size // size_of for _, size in files)
+        per = int(opts.get("recordsperpartition", max(PER_PARTITION, -(-total // MAX_PARTITIONS))))
+        parts, before = [], 0
         for file_id, path, start, end in ranges:
+            base, before = before, before + files[file_id][1] // size_of
             if self.files is not None and file_id not in self.files:
                 continue
             start = start if self.low is None else max(start, self.low)
             end = end if self.high is None else min(end, self.high)
-            parts += [RecordRange(path, file_id, s, min(s + per, end)) for s in range(start, end, per)]
+            parts += [RecordRange(path, file_id, s, min(s + per, end), base) for s in range(start, end, per)]
         return parts or [RecordRange("", 0, 0, 0)]
 
     def read(self, part: RecordRange) -> Iterator[pa.RecordBatch]:
@@ -138,10 +146,10 @@ class RecordReader(DataSourceReader):
                 data = f.read(n * layout.itemsize)
                 if len(data) != n * layout.itemsize:
                     raise OSError(f"{part.path} ended early at record {at}")
-                yield self._batch(np.frombuffer(data, layout), part.file_id, at)
+                yield self._batch(np.frombuffer(data, layout), part.file_id, at, part.before)
                 at += n
 
-    def _batch(self, rows: np.ndarray, file_id: int, at: int) -> pa.RecordBatch:
+    def _batch(self, rows: np.ndarray, file_id: int, at: int, before: int) -> pa.RecordBatch:
         n, kinds = len(rows), FIELDS[self.kind]
         cols = {}
         for c in self.columns:
@@ -149,6 +157,8 @@ class RecordReader(DataSourceReader):
                 cols[c] = pa.array(np.full(n, file_id, np.int32))
             elif c == "rec_idx":
                 cols[c] = pa.array(np.arange(at, at + n, dtype=np.int64))
+            elif c == "global_idx":
+                cols[c] = pa.array(np.arange(before + at, before + at + n, dtype=np.int64))
             elif kinds[c] == "binary":
                 width = rows.dtype[c].itemsize
                 fixed = np.ascontiguousarray(rows[c]).tobytes()
@@ -168,11 +178,17 @@ class Written(WriterCommitMessage):
 class RecordWriter(DataSourceArrowWriter):
     """Each task writes its own temporary file; the commit on the driver renames them all.
 
-    A task that runs twice leaves a second temporary file, never a second visible one.
+    A task that runs twice leaves a second temporary file, never a second visible one. Names carry the
+    number of the write, one above any that is there when it is planned, then the partition: name
+    order is write order. A name that exists at commit (two writes at once) is refused, never replaced.
     """
 
     def __init__(self, kind: str, path: str, overwrite: bool):
         self.kind, self.path, self.overwrite = kind, path, overwrite
+        fs, base = filesystem(path)
+        found = fs.get_file_info(pafs.FileSelector(base, allow_not_found=True))
+        taken = [int(m[1]) for f in found if (m := re.match(r"part-(\d+)-", f.base_name))]
+        self.write_no = max(taken, default=-1) + 1
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
@@ -180,8 +196,8 @@ class RecordWriter(DataSourceArrowWriter):
         layout, ctx = LAYOUTS[self.kind], TaskContext.get()
         fs, base = filesystem(self.path)
         fs.create_dir(base, recursive=True)
-        final = f"{base}/part-{ctx.partitionId():06d}.{self.kind}"
-        temporary = f"{base}/_{ctx.partitionId():06d}-{ctx.taskAttemptId()}.tmp"
+        final = f"{base}/part-{self.write_no:06d}-{ctx.partitionId():06d}.{self.kind}"
+        temporary = f"{base}/_{self.write_no:06d}-{ctx.partitionId():06d}-{ctx.taskAttemptId()}.tmp"
         n = 0
         with fs.open_output_stream(temporary) as out:
             for batch in iterator:
@@ -207,9 +223,15 @@ class RecordWriter(DataSourceArrowWriter):
             for old in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)):
                 if old.is_file and old.path not in keep and not old.base_name.endswith(".tmp"):
                     fs.delete_file(old.path)
+        moves = [m for m in messages if m and m.records]
+        taken = [f.path for f in fs.get_file_info([m.final for m in moves]) if f.type != pafs.FileType.NotFound] if moves else []
+        if taken:
+            raise FileExistsError(f"another write has published {taken[0]}")
+        for m in moves:
+            fs.move(m.temporary, m.final)
         for m in messages:
-            if m:
-                fs.move(m.temporary, m.final)
+            if m and not m.records:
+                fs.delete_file(m.temporary)
         fs.open_output_stream(f"{base}/_SUCCESS").close()
 
     def abort(self, messages) -> None:
@@ -226,9 +248,9 @@ class PositionRecords(DataSource):
 
     def _columns(self) -> tuple[str, list[str]]:
         kind = record_kind(self.options.get("path", ""), self.options)
-        every = ["file_id", "rec_idx", *FIELDS[kind]]
+        every = ["file_id", "rec_idx", "global_idx", *FIELDS[kind]]
         wanted = self.options.get("columns")
-        picked = [c.strip() for c in wanted.split(",")] if wanted else every
+        picked = [c.strip() for c in wanted.split(",")] if wanted else [c for c in every if c != "global_idx"]
         unknown = [c for c in picked if c not in every]
         if unknown:
             raise ValueError(f"unknown columns {unknown} for {kind} records")
@@ -236,7 +258,7 @@ class PositionRecords(DataSource):
 
     def schema(self) -> str:
         kind, columns = self._columns()
-        types = {"file_id": "int", "rec_idx": "bigint", **FIELDS[kind]}
+        types = {"file_id": "int", "rec_idx": "bigint", "global_idx": "bigint", **FIELDS[kind]}
         return ", ".join(f"{c} {types[c]}" for c in columns)
 
     def reader(self, schema) -> DataSourceReader:
@@ -255,9 +277,12 @@ def _register(spark):
 
 
 def read_records(spark, path: str, **options):
-    """Records of one or more files, in list order, with ``file_id`` and ``rec_idx``."""
+    """Records of one or more files, in list order, with ``file_id`` and ``rec_idx``.
+
+    ``columns`` may also ask for ``global_idx``, the record's number over all files.
+    """
     _register(spark)
-    return spark.read.format(FORMAT).options(path=path, **{k: str(v) for k, v in options.items()}).load()
+    return spark.read.format(FORMAT).options(path=qualified(spark, path), **{k: str(v) for k, v in options.items()}).load()
 
 
 def read_psv(spark, path: str, **options):
@@ -282,5 +307,5 @@ def write_records(
     if order:
         df = df.sortWithinPartitions(*order)
     fields = [c for c in FIELDS[record] if c in df.columns]
-    df.select(*fields).write.format(FORMAT).mode("append").options(path=path, record=record).save()
+    df.select(*fields).write.format(FORMAT).mode("append").options(path=qualified(df.sparkSession, path), record=record).save()
 

@@ -17,9 +17,10 @@ def keep_latest_k(names: DataFrame, column: str, pattern: str, k: int) -> DataFr
         raise ValueError("k must be at least 1")
     matched = names.where(F.col(column).rlike(pattern)).select(
         F.regexp_extract(column, pattern, 1).alias("series"),
-        F.regexp_extract(column, pattern, 2).cast("bigint").alias("version"),
+        F.regexp_extract(column, pattern, 2).try_cast("bigint").alias("version"),
         F.col(column).alias("name"),
     )
+    matched = matched.where("version IS NOT NULL")  # digits beyond 64 bits are no version
     newest = Window.partitionBy("series").orderBy(F.col("version").desc())
     ranked = matched.withColumn("_rank", F.row_number().over(newest))
     return ranked.where(F.col("_rank") <= k).select("name", "series", "version")

@@ -101,3 +101,9 @@ def test_square_involutions(spark):
 def test_ply_bins(spark):
     rows = spark.createDataFrame([(p,) for p in (0, 40, 41, 80, 81, 120, 121, 999)], "p int").select(scores.ply_bin(F.col("p")).alias("b")).collect()
     assert [r.b for r in rows] == [0, 0, 1, 1, 2, 2, 3, 3]
+
+
+def test_inf_in_any_case(spark):
+    assert filters.parse_bands("1500:1.0,INF:0.1")[-1][0] == float("inf")
+    t = filters.band_table(spark.createDataFrame([("1500:1.0,Inf:0.1",)], "spec string"))
+    assert all(r.valid for r in t.collect())

@@ -107,12 +107,3 @@ def test_exact_ranks_match_sorting(spark):
     for r in got.collect():
         values = sorted(v for k, v in rows if k == r.name)
         assert r.p99 == values[int((len(values) - 1) * 0.99)] and r.mid == values[int((len(values) - 1) * 0.5)]
-
-
-def test_salted_lookup_equals_broadcast(spark):
-    facts = spark.range(500).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 11).alias("k"))
-    dim = spark.range(9).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    small = ordering.lookup_join(facts, dim, "k", "id", "left")
-    large = ordering.lookup_join(facts, dim, "k", "id", "left", broadcast_rows=3, salts=4)
-    key = lambda df: sorted((r.id, r.k, r.v) for r in df.collect() if r.v is not None)
-    assert key(small) == key(large) and small.count() == large.count() == 500

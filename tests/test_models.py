@@ -128,10 +128,20 @@ def test_quantised_rounds_half_away(spark):
 
 
 def test_ablation_report(spark):
-    r = {x.spec: x for x in tensors.ablation_report(spark, "full").collect()}
-    assert r["all"].zeroed_dims == 216720 and r["all"].zeroed_pairs == 324
-    assert r["attack"].zeroed_pairs == r["defense"].zeroed_pairs == 162 and r["same-class"].zeroed_pairs == 36
-    assert r["slider-attacker"].zeroed_dims + r["step-attacker"].zeroed_dims == 216720
+    t = spark.range(216_720).select(F.col("id").alias("idx"), F.lit("t").alias("name"), F.lit(2.0).alias("v"))
+    r = {x.spec: x for x in tensors.ablation_report(t, 1, "full").collect()}
+    assert r["all"].dims == r["all"].n_values == 216720 and r["all"].pairs == 324 and r["all"].l2sq == 4.0 * 216720
+    assert r["attack"].pairs == r["defense"].pairs == 162 and r["same-class"].pairs == 36
+    assert r["slider-attacker"].dims + r["step-attacker"].dims == 216720
+
+
+@pytest.mark.parametrize("call", [
+    lambda t: tensors.pair_norm_breakdown(t, 1, "full"), lambda t: tensors.ablate_rows(t, 1, "full", "all"), lambda t: tensors.ablation_report(t, 1, "full"),
+])
+def test_rows_outside_the_profile_fail(spark, call):
+    t = spark.range(216_721).select(F.col("id").alias("idx"), F.lit("t").alias("name"), F.lit(1.0).alias("v"))
+    with pytest.raises(Exception, match="outside profile"):
+        call(t).collect()
 
 
 def test_material_table(spark):

@@ -147,21 +147,21 @@ def test_no_flipped_bit_yields_a_bad_inventory(spark):
 @pytest.mark.parametrize(
     "text,reason",
     [
-        ("9/9/9 b - 1", "9 ranks"),
-        ("10/9/9/9/9/9/9/9/9 b - 1", "rank does not contain"),
-        ("9p/9/9/9/9/9/9/9/9 b - 1", "too many files"),
-        ("8+/9/9/9/9/9/9/9/9 b - 1", "dangling promotion"),
-        ("+9/9/9/9/9/9/9/9/9 b - 1", "promotion marker before"),
-        ("++p8/9/9/9/9/9/9/9/9 b - 1", "duplicate promotion"),
-        ("x8/9/9/9/9/9/9/9/9 b - 1", "invalid piece"),
-        ("9/9/9/9/9/9/9/9/9 x - 1", "side-to-move"),
+        ("9/9/9 b - 1", "ranks"),
+        ("10/9/9/9/9/9/9/9/9 b - 1", "short rank"),
+        ("9p/9/9/9/9/9/9/9/9 b - 1", "long rank"),
+        ("8+/9/9/9/9/9/9/9/9 b - 1", "promotion at end"),
+        ("+9/9/9/9/9/9/9/9/9 b - 1", "promotion of nothing"),
+        ("++p8/9/9/9/9/9/9/9/9 b - 1", "promotion twice"),
+        ("x8/9/9/9/9/9/9/9/9 b - 1", "piece letter"),
+        ("9/9/9/9/9/9/9/9/9 x - 1", "side letter"),
         ("9/9/9/9/9/9/9/9/9 b K 1", "hand"),
         ("9/9/9/9/9/9/9/9/9 b P2 1", "hand"),
         ("9/9/9/9/9/9/9/9/9 b - x", "ply"),
         ("9/9/9/9/9/9/9/9/9 b -", "ply"),
-        ("startpos moves 5e5d", "source is empty"),
-        ("startpos moves P*5e", "not in hand"),
-        ("startpos moves zz", "invalid move"),
+        ("startpos moves 5e5d", "nothing to move"),
+        ("startpos moves P*5e", "nothing to drop"),
+        ("startpos moves zz", "move text"),
     ],
 )
 def test_text_errors(spark, text, reason):

@@ -127,3 +127,49 @@ def test_epochs_are_replaced_not_doubled(spark, tmp_path):
     for e in (1, 2, 2):
         documents.write_epoch_weights(w, path, e)
     assert documents.final_weights(spark, path).count() == 5 and spark.read.parquet(path).count() == 10
+
+
+def test_appends_keep_every_record_in_order(spark, tmp_path):
+    path = str(tmp_path / "out")
+    part = lambda a, b: spark.range(a, b).select(F.col("id").alias("rec_idx"), F.col("id").cast("double").alias("w"))
+    records.write_records(part(0, 100), path, "f64", ["rec_idx"], files=3)
+    records.write_records(part(100, 140), path, "f64", ["rec_idx"], files=2)
+    back = records.read_records(spark, path, record="f64", columns="global_idx,w", recordsPerPartition=7)
+    assert [(r.global_idx, r.w) for r in back.orderBy("global_idx").collect()] == [(i, float(i)) for i in range(140)]
+
+
+def test_global_number_needs_no_shuffle(spark, corpus):
+    rows = records.read_psv(spark, corpus, columns="file_id,rec_idx,global_idx,score", recordsPerPartition=4)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = rows.orderBy("global_idx").collect()
+    assert [r.global_idx for r in got] == list(range(17)) and [r.score for r in got] == [i - 500 for i in range(17)]
+    assert [r.global_idx for r in rows.where("file_id = 1 AND rec_idx >= 3").orderBy("rec_idx").collect()] == [13, 14, 15, 16]
+
+
+def test_over_long_versions_are_ignored(spark):
+    names = spark.createDataFrame([("a-1.bin",), ("a-99999999999999999999.bin",), ("a-2.bin",)], "n string")
+    assert sorted(r.name for r in versions.keep_latest_k(names, "n", r"^(a)-(\d+)\.bin$", 5).collect()) == ["a-1.bin", "a-2.bin"]
+
+
+def test_schemes_of_other_stores():
+    from kifulake.sources import files
+
+    assert files.filesystem("file:///tmp/x")[1] == "/tmp/x" and files.filesystem("/tmp/x")[1] == "/tmp/x"
+    assert files.SCHEMES["s3a"] == "s3"
+
+
+def test_scratch_must_be_shared_off_a_local_master(monkeypatch):
+    from kifulake import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.shared_dir(Session())
