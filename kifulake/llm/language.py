@@ -174,6 +174,9 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_segments: int =
     of their id, and of these at most ``sample_segments`` distinct (language, segment) pairs."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    # the last hash first, from ids alone: then no task merges more texts than the sample has
+    last = usable.select("h").orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    usable = usable.where(F.col("h") <= F.lit(last if last is not None else 0).cast("long"))
     picked = usable.orderBy("h", "doc_id", "lang", F.xxhash64("text")).limit(sample_docs)
     schema = "lang string, segment binary, n long"
 
