@@ -6,6 +6,8 @@ index), independent of the corpus, so operators may broadcast them.
 
 from __future__ import annotations
 
+import functools
+
 from functools import cache
 
 import pyarrow as pa
@@ -82,6 +84,7 @@ def _walk(sq: int, df: int, dr: int, far: bool) -> list[int]:
 
 
 @cache
+@functools.cache
 def rays_of(ptype: int, color: int, sq: int) -> tuple[tuple[int, ...], ...]:
     """Empty-board paths of a piece, nearest square first, one per direction."""
     t, flip = movement_type(ptype), (1 if color == 0 else -1)
@@ -149,7 +152,6 @@ def class_column(code: Column) -> Column:
 
 # Edge profiles and what each leaves out. Sides are 0 friend, 1 enemy.
 PROFILES = ("full", "same-class", "same-class-major-pawn", "step-attacker", "full-symdedup", "cross-side")
-PROFILE_IDS = {"full": 0, "same-class": 1, "same-class-major-pawn": 2, "step-attacker": 3, "full-symdedup": 4, "cross-side": 10}
 
 
 def excluded(profile: str, attacker_side: Column, ac: Column, attacked_side: Column, dc: Column) -> Column:
@@ -197,10 +199,3 @@ def pair_rows(spark: SparkSession, profile: str) -> DataFrame:
     """One row per edge feature with its pair: at most 216,720 rows, so equi-joinable by broadcast."""
     p = pair_ranges(spark, profile)
     return F.broadcast(p.withColumn("row", F.explode(F.expr("sequence(base, base + width - 1)"))))
-
-
-def rays_by_piece(spark: SparkSession) -> DataFrame:
-    """``(code, from_sq, paths)``: all paths of a piece in one row (kings included)."""
-    kind = pa.list_(pa.list_(pa.int32()))
-    out = [(t * 2 + c, sq, [list(p) for p in rays_of(t, c, sq)]) for t in range(1, 15) for c in (0, 1) for sq in range(81)]
-    return F.broadcast(_rows(spark, "code from_sq paths", out, {"paths": kind}))

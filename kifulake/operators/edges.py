@@ -6,8 +6,13 @@ array lookup: enumerating edges needs two broadcast joins with fixed tables and
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import squares
 from ..functions.binding import bind
@@ -28,12 +33,6 @@ def first_blocker(board: Column, path: Column) -> Column:
     )
 
 
-def attacked_length(board: Column, path: Column) -> Column:
-    """How many squares of a path are attacked: up to and including the first blocker."""
-    stops = [F.when(F.get(board, _square_at(path, k)) > 1, F.lit(k + 1)) for k in range(MAX_RAY)]
-    return F.coalesce(*stops, F.size(path))
-
-
 def attack_edges(positions: DataFrame, keep: list[str]) -> DataFrame:
     """Active directed edges between non-king pieces: ``keep`` plus
     ``from_sq, to_sq, ac, dc, acolor, tcolor``. Kings block but form no edge."""
@@ -84,6 +83,17 @@ def edge_profile_filter(edges: DataFrame, profile: str, attacker_side: Column, a
     return kept.where(~F.col("dead")) if profile == "full-symdedup" else kept
 
 
+def edges_by_profile(edges: DataFrame, attacker_side: Column, attacked_side: Column) -> DataFrame:
+    """Every edge once per profile that keeps it, with ``profile``: one pass for all profiles."""
+    keeps = [
+        F.when(
+            ~dims.excluded(p, attacker_side, F.col("ac"), attacked_side, F.col("dc")) & (~F.col("dead") if p == "full-symdedup" else F.lit(True)), F.lit(p)
+        )
+        for p in dims.PROFILES
+    ]
+    return edges.withColumn("profile", F.explode(F.array_compact(F.array(*keeps))))
+
+
 def _view(edges: DataFrame, perspective: Column, tag: str) -> DataFrame:
     """Squares, sides and orientation of an edge as one player sees it."""
     own = F.when(perspective == 0, F.col("bk_sq").cast("int")).otherwise(squares.inverse(F.col("wk_sq")))
@@ -129,58 +139,67 @@ def edge_feature_index(edges: DataFrame, profile: str) -> DataFrame:
     return out.drop(*[f"_{k}{t}" for k in ("f", "t", "as", "ds", "o", "p", "b") for t in "sn"])
 
 
-def attacker_counts(positions: DataFrame, pos: str = "pos_id") -> DataFrame:
-    """``(pos, color, sq, n)``: how many pieces of a color attack a square, kings included.
+def _hits(boards: np.ndarray) -> np.ndarray:
+    """(positions, color, square): how many pieces of a color attack each square, kings included.
 
-    Positions are partitioned by id first, one compact row each; the exploded attacks are
-    then grouped where they are.
+    Pieces of one code on one square are walked together, a ray at a time; a ray goes on for the
+    positions where the square before was empty.
     """
-    spark = positions.sparkSession
-    placed = positions.select(pos, "board").repartition(pos)
-    pieces = explode_pieces(placed, [pos, "board"], with_kings=True).withColumnRenamed("sq", "from_sq")
-    hits = pieces.join(dims.rays(spark), ["code", "from_sq"])
-    squares_hit = F.slice("path", F.lit(1), attacked_length(F.col("board"), F.col("path")))
-    hits = bind(hits, "_hit", squares_hit)
-    attacked = hits.select(pos, "color", F.explode("_hit").alias("sq"))
-    counts = attacked.groupBy(pos, "color", "sq").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("n", F.least("n", F.lit(255)).cast("int"))
+    out = np.zeros((len(boards), 2, 81), np.uint8)
+    row, sq = np.nonzero(boards > 1)
+    code = boards[row, sq].astype(np.int64)
+    order = np.argsort(code * 81 + sq, kind="stable")
+    row, key = row[order], (code * 81 + sq)[order]
+    cuts = np.flatnonzero(np.diff(key, prepend=-1))
+    for lo, hi in zip(cuts.tolist(), np.append(cuts[1:], len(key)).tolist(), strict=True):
+        c, s = divmod(int(key[lo]), 81)
+        for path in dims.rays_of(c // 2, c % 2, s):
+            going = row[lo:hi]
+            for to in path:
+                out[going, c % 2, to] += 1  # a position has at most one piece of this code on this square
+                going = going[boards[going, to] <= 1]
+                if not len(going):
+                    break
+    return out
+
+
+def with_attack_counts(positions: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, ``board``, and per square ``black_hits`` and ``white_hits``: one pass over the rows, no shuffle."""
+    rows = positions.select(*keep, "board")
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(c, T.ArrayType(T.ShortType())) for c in ("black_hits", "white_hits")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            boards = np.asarray(batch.column(batch.schema.get_field_index("board")).flatten()).reshape(-1, 81)
+            hits = _hits(boards).astype(np.int16)
+            upto = pa.array(np.arange(0, 81 * (len(boards) + 1), 81, dtype=np.int32))
+            lists = [pa.ListArray.from_arrays(upto, pa.array(np.ascontiguousarray(hits[:, c]).ravel())) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(batch.num_columns)], *lists], schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
-def piece_attack_counts(positions: DataFrame, keep: list[str], pos: str = "pos_id") -> DataFrame:
-    """Every board piece (kings included) with ``attacked`` and ``defended`` counts.
-
-    Each piece row yields itself and the squares it hits; one grouping by (position, square)
-    brings them together, without a join.
-    """
-    spark = positions.sparkSession
-    placed = positions.select(pos, "board", *keep).repartition(pos)
-    pieces = explode_pieces(placed, [pos, "board", *keep], with_kings=True).withColumnRenamed("sq", "from_sq")
-    rows = pieces.join(dims.rays_by_piece(spark), ["code", "from_sq"])
-    board = F.col("board")
-    rows = bind(rows, "_stops", F.transform("paths", lambda p: first_blocker(board, p)))
-    hits = F.col("_stops")
-    black, white = (F.col("color") == 0).cast("int"), (F.col("color") == 1).cast("int")
-    none = F.lit(None).cast("int")
-    own = F.array(F.struct(F.col("from_sq").cast("int").alias("sq"), F.col("code").alias("code"), F.lit(0).alias("b"), F.lit(0).alias("w")))
-    others = F.transform(
-        F.filter(hits, lambda s: s.isNotNull()),
-        lambda s: F.struct(s.alias("sq"), none.alias("code"), black.alias("b"), white.alias("w")),
-    )
-    rows = bind(rows, "_marks", F.concat(own, others))
-    marks = rows.select(pos, *keep, F.explode("_marks").alias("_e"))
-    per_square = marks.groupBy(pos, F.col("_e.sq").alias("sq")).agg(
-        F.max("_e.code").alias("code"), F.sum("_e.b").alias("_b"), F.sum("_e.w").alias("_w"),
-        *[F.first(c).alias(c) for c in keep],
+def attacker_counts(positions: DataFrame, pos: str = "pos_id") -> DataFrame:
+    """``(pos, color, sq, n)``: how many pieces of a color attack a square, kings included."""
+    counted = with_attack_counts(positions, [pos])
+    both = F.array(
+        F.struct(F.lit(0).alias("color"), F.col("black_hits").alias("hits")), F.struct(F.lit(1).alias("color"), F.col("white_hits").alias("hits"))
     )
-    color = F.col("code") % 2
-    return per_square.withColumns(
+    rows = counted.select(pos, F.explode(both).alias("_b")).select(pos, F.col("_b.color").alias("color"), F.posexplode("_b.hits").alias("sq", "n"))
+    return rows.where(F.col("n") > 0).select(pos, "color", "sq", F.least(F.col("n").cast("int"), F.lit(255)).alias("n"))
+
+
+def piece_attack_counts(positions: DataFrame, keep: list[str], pos: str = "pos_id") -> DataFrame:
+    """Every board piece (kings included) with ``attacked`` and ``defended`` counts."""
+    counted = with_attack_counts(positions, [pos, *keep])
+    rows = explode_pieces(counted, [pos, *keep, "black_hits", "white_hits"], with_kings=True)
+    black, white = F.get("black_hits", F.col("sq")).cast("int"), F.get("white_hits", F.col("sq")).cast("int")
+    return rows.withColumns(
         {
-            "ptype": F.shiftright("code", 1),
-            "color": color,
-            "defended": F.when(color == 0, F.col("_b")).otherwise(F.col("_w")),
-            "attacked": F.when(color == 0, F.col("_w")).otherwise(F.col("_b")),
+            "defended": F.when(F.col("color") == 0, black).otherwise(white),
+            "attacked": F.when(F.col("color") == 0, white).otherwise(black),
         }
-    ).drop("_b", "_w")
+    ).drop("black_hits", "white_hits")
 
 
 # ------------------------------------------------------------------------- surveys

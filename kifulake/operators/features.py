@@ -55,19 +55,14 @@ FEATURE_SETS = {
         FeatureSet("halfka-hm-merged", "merged", True, 0x7F134CB8),
     )
 }
-MAX_ACTIVE_EDGES = 128
 
 
 def _hand_item(code: int):
     return lambda n: F.struct(F.lit(code).alias("code"), F.lit(None).cast("int").alias("sq"), n.alias("nth"))
 
 
-def explode_items(positions: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per piece on board or in hand, kings included.
-
-    ``code`` is type*2+color; board rows have ``sq``, hand rows have ``sq`` NULL and count
-    with ``nth`` from 0.
-    """
+def _items() -> Column:
+    """The pieces on board and in hand of a position as an array, kings included."""
     on_board = F.transform(
         "board", lambda c, s: F.struct(c.cast("int").alias("code"), s.cast("int").alias("sq"), F.lit(0).alias("nth"))
     )
@@ -76,8 +71,17 @@ def explode_items(positions: DataFrame, keep: list[str]) -> DataFrame:
         for slot, t in enumerate(dims.HAND_TYPES):
             held = F.slice(F.sequence(F.lit(0), F.lit(17)), F.lit(1), F.get(F.col(hand), F.lit(slot)).cast("int"))
             parts.append(F.transform(held, _hand_item(t * 2 + owner)))
+    return F.concat(*parts)
+
+
+def explode_items(positions: DataFrame, keep: list[str]) -> DataFrame:
+    """One row per piece on board or in hand, kings included.
+
+    ``code`` is type*2+color; board rows have ``sq``, hand rows have ``sq`` NULL and count
+    with ``nth`` from 0.
+    """
     # bound first: exploding the expression itself would evaluate it again in a size filter
-    rows = bind(positions, "_items", F.concat(*parts)).select(*keep, F.explode("_items").alias("_i"))
+    rows = bind(positions, "_items", _items()).select(*keep, F.explode("_items").alias("_i"))
     return rows.select(*keep, "_i.code", "_i.sq", "_i.nth")
 
 
@@ -185,6 +189,41 @@ def kp_progress_features(positions: DataFrame, keep: list[str]) -> DataFrame:
     return items.select(*keep, F.explode(F.array(*ids)).alias("idx"))
 
 
+def _kp_id(color: int, flip: Column):
+    return lambda i: (F.col(f"_k{color}") + piece_square(i["code"], i["sq"], i["nth"], F.lit(color), flip, False)).cast("int")
+
+
+def with_kp_ids(positions: DataFrame, out: str = "idx") -> DataFrame:
+    """Positions with both kings and the ids of :func:`kp_progress_features` as one array per row."""
+    rows = bind(_valid(positions), "_items", F.filter(_items(), lambda i: F.shiftright(i["code"], 1) != dims.KING))
+    ids = []
+    for color in (0, 1):
+        bucket, flip = king_context(F.lit(color), F.col("bk_sq"), F.col("wk_sq"), False)
+        rows = bind(rows, f"_k{color}", bucket * dims.BOARD_END)
+        ids.append(F.transform("_items", _kp_id(color, flip)))
+    return bind(rows, out, F.concat(*ids)).drop("_items", "_k0", "_k1")
+
+
+def with_half_ids(positions: DataFrame, name: str, stm_out: str = "stm_ids", nstm_out: str = "nstm_ids") -> DataFrame:
+    """Positions with both kings and their :func:`half_features` as two arrays per row.
+
+    For sets without kings, where both arrays hold the same pieces in one order.
+    """
+    fs = FEATURE_SETS[name]
+    if fs.kings != "none":
+        raise ValueError("arrays are made for sets without king features")
+    rows = bind(_valid(positions), "_items", F.filter(_items(), lambda i: F.shiftright(i["code"], 1) != dims.KING))
+    stm = F.col("stm").cast("int")
+    for view, out in ((stm, stm_out), (1 - stm, nstm_out)):
+        bucket, flip = king_context(view, F.col("bk_sq"), F.col("wk_sq"), fs.mirrored)
+        rows = bind(rows, "_k", F.struct((bucket * fs.piece_inputs).alias("base"), flip.alias("flip"), view.alias("view")))
+        one = lambda i: (
+            F.col("_k.base") + piece_square(i["code"], i["sq"], i["nth"], F.col("_k.view"), F.col("_k.flip"), False)
+        ).cast("int")
+        rows = bind(rows, out, F.transform("_items", one))
+    return rows.drop("_items", "_k")
+
+
 def effect_bucket(attacked: Column, defended: Column, nb: int) -> Column:
     """Quantised attack and defence of a square; 4 or 9 buckets."""
     if nb not in (4, 9):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .features import half_features
+from .features import with_half_ids
 
 # Quantisation of activations and weights, and the skip output of layer one.
 QA, QB, SKIP = 127, 64, 1
@@ -22,6 +22,13 @@ def quantise(x: np.ndarray, scale: int) -> np.ndarray:
     return (np.sign(y) * np.floor(np.abs(y) + np.float32(0.5))).astype(np.int64)
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """The same integers in 16 bits; one that does not fit is an error."""
+    if len(x) and (x.min() < -(1 << 15) or x.max() >= 1 << 15):
+        raise ValueError("a feature weight does not fit 16 bits")
+    return x.astype(np.int16)
+
+
 @dataclass(frozen=True)
 class Net:
     """Integer tensors: ``ft`` (features, width), then per bucket ``(out, in)`` and biases."""
@@ -42,7 +49,7 @@ class Net:
         l1_b, l2_b, l3_b = per("l1_b"), per("l2_b"), per("l3_b")
         l1_out, l2_out = l1_b.shape[1], l2_b.shape[1]
         return cls(
-            quantise(t["ft_w"], QA).reshape(-1, width), quantise(t["ft_b"], QA),
+            _narrow(quantise(t["ft_w"], QA)).reshape(-1, width), quantise(t["ft_b"], QA),
             quantise(t["l1_w"], QB).reshape(buckets, l1_out, width), l1_b,
             quantise(t["l2_w"], QB).reshape(buckets, l2_out, 2 * (l1_out - SKIP)), l2_b,
             quantise(t["l3_w"], QB).reshape(buckets, l2_out), l3_b[:, 0],
@@ -74,7 +81,7 @@ def _sum_rows(net: Net, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out = np.zeros((len(offsets) - 1, net.ft.shape[1]), np.int64)
     filled = np.flatnonzero(np.diff(offsets))
     if len(filled):
-        out[filled] = np.add.reduceat(net.ft[ids], offsets[filled], axis=0)
+        out[filled] = np.add.reduceat(net.ft[ids], offsets[filled], axis=0, dtype=np.int64)
     return out + net.ft_b
 
 
@@ -92,14 +99,10 @@ def forward(net: Net, stm: np.ndarray, nstm: np.ndarray, offsets: np.ndarray, bu
 def batch_score_positions(positions: DataFrame, net: Net, feature_set: str, fv_scale: int) -> DataFrame:
     """``(pos_id, raw, cp)``: the net's raw output and ``raw / fv_scale`` for every position.
 
-    ``positions`` has ``bucket``. Features are gathered per position (at most 40 each) and
-    scored in Arrow batches against the broadcast net.
+    ``positions`` has ``bucket``. A position's ids are arrays of its own row (at most 40 each), scored
+    in Arrow batches against the broadcast net, whose feature table is held in 16 bits.
     """
-    rows = half_features(positions, feature_set, ["pos_id", "bucket"])
-    rows = rows.groupBy("pos_id").agg(
-        F.first("bucket").alias("bucket"), F.collect_list(F.struct("stm_idx", "nstm_idx")).alias("ids")
-    )
-    rows = rows.select("pos_id", "bucket", F.col("ids.stm_idx").alias("s"), F.col("ids.nstm_idx").alias("n"))
+    rows = with_half_ids(positions, feature_set, "s", "n").select("pos_id", "bucket", "s", "n")
     shared = positions.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

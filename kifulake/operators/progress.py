@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import squares
 from ..functions.scores import sigmoid
 from ..session import materialise
+from ..sources.documents import write_epoch_weights
 from . import games
-from .features import kp_progress_features
+from .features import with_kp_ids
 from .surveys import score_bucket
 
 N_WEIGHTS = 81 * 1548
@@ -115,15 +116,23 @@ def effective_lr(lr: float, scale: str, games_per_step: int) -> float:
 
 
 def training_table(positions: DataFrame, fraction: float, games_per_step: int, max_games: int = 0) -> DataFrame:
-    """Positions of all games as ``(is_val, step_id, game_seq, idx[], target, norm)``.
+    """Positions of all games as ``(is_val, step_id, game_seq, pos_id, idx[], target, norm)``.
 
-    Written once, in steps, so every step reads only its own files.
+    Ids are an array of the position's own row; labels are made on narrow rows and joined once.
     """
     seq = games.with_game_targets(games.segment_games(positions.select("file_id", "rec_idx", "ply", "pos_id")))
     seq = games.with_position_norm(games.route_games(seq, fraction, games_per_step, max_games), games_per_step)
-    ids = kp_progress_features(positions, ["pos_id"]).groupBy("pos_id").agg(F.collect_list("idx").alias("idx"))
-    rows = seq.join(ids, "pos_id").select("is_val", "step_id", "game_seq", "pos_id", "idx", "target", "norm")
-    return rows
+    ids = with_kp_ids(positions).select("pos_id", "idx")
+    return seq.join(ids, "pos_id").select("is_val", "step_id", "game_seq", "pos_id", "idx", "target", "norm")
+
+
+def store_steps(rows: DataFrame) -> DataFrame:
+    """The training table with a folder per side and step, so that a step reads its own files alone.
+
+    Rows are dealt into ranges of (side, step) first: a task writes few folders, and a large step
+    is spread over tasks by position.
+    """
+    return materialise(rows.repartitionByRange("is_val", "step_id", "pos_id"), "progress-steps", ["is_val", "step_id"])
 
 
 def _forward(batch: pa.RecordBatch, w: np.ndarray):
@@ -189,10 +198,11 @@ def progress_train(
     """Train the model and return its weights and one record per epoch.
 
     One job per optimiser step: choose ``games_per_step`` so that a step fills the cluster.
-    ``on_epoch(epoch, weights)`` is called after each epoch (see the checkpoint sink). Fails
-    when no training game is left.
+    ``on_epoch(epoch, weights)`` is called after each epoch; :func:`store_epochs` makes one that
+    writes to the checkpoint sink, and :func:`start_weights` reads an earlier model's table as
+    ``init``. Fails when no training game is left.
     """
-    table = materialise(training_table(positions, fraction, games_per_step, max_games), "progress-steps")
+    table = store_steps(training_table(positions, fraction, games_per_step, max_games))
     steps = table.where(~F.col("is_val")).agg(F.max("step_id").alias("last")).first()["last"]
     if steps is None:
         raise ValueError("no training positions: no training games are left")
@@ -218,8 +228,25 @@ def progress_train(
     return w, log
 
 
-def weight_table(spark: SparkSession, weights: np.ndarray, epoch: int | None = None) -> DataFrame:
-    """A weight vector as ``(idx, w)`` rows, in single precision as stored models are."""
-    cols = {"idx": pa.array(np.arange(len(weights), dtype=np.int32)), "w": pa.array(weights.astype(np.float32).astype(float))}
+def store_epochs(spark: SparkSession, path: str):
+    """An ``on_epoch`` that stores each epoch's weights with the checkpoint sink."""
+    return lambda epoch, w: write_epoch_weights(weight_table(spark, w), path, epoch)
+
+
+def start_weights(weights: DataFrame) -> np.ndarray:
+    """``(idx, w)`` rows as the vector training starts from; as many rows as the model has, or an error."""
+    rows = weights.select("idx", "w").limit(N_WEIGHTS + 1).toArrow()
+    idx = np.asarray(rows["idx"])
+    if len(idx) != N_WEIGHTS or len(np.unique(idx)) != N_WEIGHTS or idx.min() < 0 or idx.max() >= N_WEIGHTS:
+        raise ValueError(f"a model has {N_WEIGHTS} weights, each once")
+    out = np.empty(N_WEIGHTS)
+    out[idx] = np.asarray(rows["w"])
+    return out
+
+
+def weight_table(spark: SparkSession, weights: np.ndarray, epoch: int | None = None, exact: bool = False) -> DataFrame:
+    """A weight vector as ``(idx, w)`` rows, in single precision as stored models are (unless ``exact``)."""
+    w = weights if exact else weights.astype(np.float32).astype(float)
+    cols = {"idx": pa.array(np.arange(len(weights), dtype=np.int32)), "w": pa.array(w)}
     df = spark.createDataFrame(pa.table(cols))
     return df if epoch is None else df.withColumn("epoch", F.lit(epoch))

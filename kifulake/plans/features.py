@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.scores import r as rnd
-from ..operators import dims, edges, features, inference, progress
+from ..operators import checks, dims, edges, features, filters, inference, progress, surveys
 from ..operators.features import FEATURE_SETS
 from . import adapters as ad
-from .oracle_text import r, sig
+from .corpus import BANDS, LIMIT_SQL, SEED
+from .oracle_text import draws, games as games_sql, r, sig
 from .registry import query
 
 # ------------------------------------------------------------- oracle views over boards
@@ -331,9 +329,8 @@ def canonical_dead_edge(spark, sf):
 def edge_profile_filter(spark, sf):
     """Edges per class pair under each profile; a nation's parity stands for its side."""
     e = trade(spark, sf)
-    a, d = F.col("from_sq") % 2, F.col("to_sq") % 2
-    parts = [edges.edge_profile_filter(e, p, a, d).groupBy("ac", "dc").agg(F.count(F.lit(1)).alias("n")).withColumn("profile", F.lit(p)) for p in dims.PROFILES]
-    return reduce(lambda x, y: x.unionByName(y), parts)
+    kept = edges.edges_by_profile(e, F.col("from_sq") % 2, F.col("to_sq") % 2)
+    return kept.groupBy("profile", "ac", "dc").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -517,24 +514,134 @@ def progress_train(spark, sf):
     return progress.weight_table(spark, w).where(F.col("w") != 0)
 
 
-def net_from_embeddings(spark, sf, width=8, l1_out=3, l2_out=4, buckets=9, feature_set="halfkp"):
-    """A tiny net whose tensors are read from the embedding table, repeated to size."""
-    need = {
-        "ft_w": FEATURE_SETS[feature_set].ft_in * width, "ft_b": width,
-        "l1_w": buckets * l1_out * width, "l1_b": buckets * l1_out,
-        "l2_w": buckets * l2_out * 2 * (l1_out - 1), "l2_b": buckets * l2_out, "l3_w": buckets * l2_out, "l3_b": buckets,
-    }
-    # the net's size, not the table's, bounds what is read
-    longest = 16_384
-    values = ad.v_tensor(spark, sf).where(F.col("idx") < longest).orderBy("idx").limit(longest)
-    v = np.asarray(values.select("v").toArrow()["v"])
-    tensors = {k: np.resize(np.roll(v, -i * 101), n) for i, (k, n) in enumerate(need.items())}
-    return inference.Net.from_tensors(tensors, width, buckets)
+_FULL_BATCH = f"""
+  v AS (SELECT pos_id, idx FROM ({_index_sql('halfkp')})),
+  o AS (SELECT pos_id, file_id, rec_idx, ply FROM v_board), {games_sql('g', 'o')},
+  t AS (SELECT pos_id, game_seq, count(*) OVER (PARTITION BY game_seq) AS len, row_number() OVER (PARTITION BY game_seq ORDER BY rec_idx) - 1 AS i FROM g),
+  y AS (SELECT pos_id, CASE WHEN len > 1 THEN i / (len - 1)::DOUBLE ELSE 0.0 END AS target,
+               1.0::DOUBLE / (len * (SELECT count(DISTINCT game_seq) FROM t)) AS norm FROM t),
+  g1 AS (SELECT idx, sum(2.0::DOUBLE * (0.5 - target) * 0.25 * norm) AS g FROM v JOIN y USING (pos_id) GROUP BY 1),
+  a1 AS (SELECT idx, 0.1::DOUBLE * g AS m, 0.001::DOUBLE * g * g AS v, -0.001 * g / (abs(g) + 1e-8) AS w FROM g1),
+  p2 AS (SELECT pos_id, {sig('sum(w)')} AS p FROM v JOIN a1 USING (idx) GROUP BY 1),
+  g2 AS (SELECT idx, sum(2.0::DOUBLE * (p - target) * p * (1 - p) * norm) AS g FROM v JOIN y USING (pos_id) JOIN p2 USING (pos_id) GROUP BY 1),
+  a2 AS (SELECT idx, w, 0.9::DOUBLE * m + 0.1 * g AS m, 0.999::DOUBLE * v + 0.001 * g * g AS v FROM a1 JOIN g2 USING (idx))"""
 
 
-@query("batch_score_positions")
+@query(
+    "progress_train_steps",
+    f"""{_FULL_BATCH}
+        SELECT CAST(idx AS INTEGER) AS idx, {r('w - 0.001 * (m / (1 - pow(0.9::DOUBLE, 2))) / (sqrt(v / (1 - pow(0.999::DOUBLE, 2))) + 1e-8)')} AS w FROM a2""",
+    ("v_board", "v_seen"),
+)
+def progress_train_steps(spark, sf):
+    """Two full-batch steps from zero weights, stored per epoch by the sink and read back for the result.
+
+    The second epoch starts from the first one's table, as a run that is continued does not: its
+    moments go on, so both steps run in one training.
+    """
+    kept = []
+    progress.progress_train(
+        ad.v_board(spark, sf), epochs=2, games_per_step=1 << 40, lr=0.001, lr_scale="none", on_epoch=lambda e, w: kept.append(progress.weight_table(spark, w, exact=True))
+    )
+    return kept[-1].where(F.col("w") != 0).select("idx", rnd(F.col("w")).alias("w"))
+
+
+_WIDTH, _L1, _L2, _BUCKETS = 8, 3, 4, 9
+_NET = {
+    "ft_w": FEATURE_SETS["halfkp"].ft_in * _WIDTH, "ft_b": _WIDTH, "l1_w": _BUCKETS * _L1 * _WIDTH, "l1_b": _BUCKETS * _L1,
+    "l2_w": _BUCKETS * _L2 * 2 * (_L1 - 1), "l2_b": _BUCKETS * _L2, "l3_w": _BUCKETS * _L2, "l3_b": _BUCKETS,
+}
+_NET_SIZE = sum(_NET.values())
+_NET_SPANS = [(name, sum(list(_NET.values())[:i]), n) for i, (name, n) in enumerate(_NET.items())]
+
+
+def net_table(spark, sf):
+    """A small net as ``(name, idx, v)``, from the whole tensor table.
+
+    The table is folded to the net's size at most (the largest of the elements that meet), and
+    repeated where it is shorter.
+    """
+    t = ad.v_tensor(spark, sf)
+    size = min(_NET_SIZE, t.count())
+    folded = t.groupBy((F.col("idx") % size).alias("k")).agg(F.max("v").alias("v"))
+    spans = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a).alias("a"), F.lit(c).alias("c")) for n, a, c in _NET_SPANS])
+    cells = spark.range(_NET_SIZE).withColumn("s", F.filter(spans, lambda x: (F.col("id") >= x["a"]) & (F.col("id") < x["a"] + x["c"]))[0])
+    return cells.withColumn("k", F.col("id") % size).join(folded, "k").select("s.name", (F.col("id") - F.col("s.a")).alias("idx"), "v")
+
+
+def _tensor_sql(name: str, scale: int) -> str:
+    a, n = next((a, n) for x, a, n in _NET_SPANS if x == name)
+    y = f"(CAST(v AS FLOAT) * CAST({scale} AS FLOAT))"
+    return f"(SELECT j - {a} AS i, CAST(sign({y}) * floor(abs({y}) + CAST(0.5 AS FLOAT)) AS BIGINT) AS q FROM net WHERE j >= {a} AND j < {a + n})"
+
+
+_FORWARD = f"""
+  sz AS (SELECT least({_NET_SIZE}, count(*)) AS size FROM v_tensor),
+  fold AS (SELECT idx % size AS k, max(v) AS v FROM v_tensor, sz GROUP BY 1),
+  cells AS MATERIALIZED (SELECT range AS j, range % size AS k FROM range({_NET_SIZE}), sz),
+  net AS MATERIALIZED (SELECT j, v FROM cells JOIN fold USING (k)),
+  f AS (SELECT pos_id, is_stm, idx FROM ({_index_sql('halfkp')})),
+  bk AS (SELECT pos_id, CAST(CASE WHEN stm = 0 THEN (bk % 9 // 3) * 3 + ((80 - wk) % 9) // 3 ELSE (((80 - wk) % 9) // 3) * 3 + bk % 9 // 3 END AS INTEGER) AS b
+         FROM v_board JOIN v_kings USING (pos_id)),
+  acc AS (SELECT pos_id, is_stm, w.i % {_WIDTH} AS k, sum(w.q) AS s FROM f JOIN {_tensor_sql('ft_w', 127)} w ON w.i // {_WIDTH} = f.idx GROUP BY ALL),
+  clip AS (SELECT pos_id, is_stm, k, greatest(least(s + c.q, 127), 0) AS x FROM acc JOIN {_tensor_sql('ft_b', 127)} c ON c.i = k),
+  half AS (SELECT a.pos_id, (CASE WHEN a.is_stm THEN 0 ELSE {_WIDTH // 2} END) + a.k AS k, greatest(least(CAST(a.x * b.x AS BIGINT) >> 7, 126), 0) AS x
+           FROM clip a JOIN clip b ON a.pos_id = b.pos_id AND a.is_stm = b.is_stm AND b.k = a.k + {_WIDTH // 2}),
+  one AS (SELECT pos_id, b, o.range AS o, CAST(sum(x * w.q) AS BIGINT) + any_value(c.q) AS s
+          FROM half JOIN bk USING (pos_id), range({_L1}) o JOIN {_tensor_sql('l1_w', 64)} w ON w.i = (b * {_L1} + o.range) * {_WIDTH} + half.k
+          JOIN {_tensor_sql('l1_b', 127 * 64)} c ON c.i = b * {_L1} + o.range GROUP BY ALL),
+  act AS (SELECT pos_id, b, o AS k, least((s * s) >> 19, 127) AS x FROM one WHERE o < {_L1 - 1}
+          UNION ALL SELECT pos_id, b, o + {_L1 - 1}, greatest(least(s >> 6, 127), 0) FROM one WHERE o < {_L1 - 1}),
+  two AS (SELECT pos_id, b, o.range AS o, CAST(sum(x * w.q) AS BIGINT) + any_value(c.q) AS s
+          FROM act, range({_L2}) o JOIN {_tensor_sql('l2_w', 64)} w ON w.i = (b * {_L2} + o.range) * {2 * (_L1 - 1)} + act.k
+          JOIN {_tensor_sql('l2_b', 127 * 64)} c ON c.i = b * {_L2} + o.range GROUP BY ALL),
+  three AS (SELECT pos_id, b, CAST(sum(greatest(least(s >> 6, 127), 0) * w.q) AS BIGINT) AS s FROM two JOIN {_tensor_sql('l3_w', 64)} w ON w.i = b * {_L2} + o GROUP BY ALL)
+  SELECT three.pos_id, CAST(three.s + c.q + one.s AS BIGINT) AS raw, (three.s + c.q + one.s) / 24.0::DOUBLE AS cp
+  FROM three JOIN {_tensor_sql('l3_b', 127 * 64)} c ON c.i = three.b JOIN one ON one.pos_id = three.pos_id AND one.o = {_L1 - 1}"""
+
+
+@query("batch_score_positions", _FORWARD, ("v_tensor", "v_board", "v_kings", "v_seen"))
 def batch_score_positions(spark, sf):
+    """Every position scored by a small net that the whole tensor table makes up."""
+    net = inference.Net.from_table(net_table(spark, sf), _WIDTH, _BUCKETS, _NET_SIZE)
     pos = progress.bucket_assign(ad.v_board(spark, sf), "kingrank9")
-    return inference.batch_score_positions(pos, net_from_embeddings(spark, sf), "halfkp", 24)
+    return inference.batch_score_positions(pos, net, "halfkp", 24)
 
 
+@query(
+    "progress_bucket_survey",
+    f"""p AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (ORDER BY file_id, rec_idx) AS rn FROM v_board WHERE rec_idx >= 2 AND (rec_idx - 2) % 3 = 0) WHERE rn <= 2000),
+        {draws('d', 'p', SEED, '0')},
+        kept AS (SELECT pos_id, file_id FROM d WHERE u24 < {LIMIT_SQL}),
+        w AS (SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, v FROM v_tensor),
+        z AS (SELECT kept.pos_id, any_value(file_id) AS file_id, {sig('sum(coalesce(v, 0.0))')} AS p
+              FROM kept JOIN ({_index_sql('halfkp')}) f USING (pos_id) LEFT JOIN w ON w.idx = f.idx GROUP BY 1),
+        b AS (SELECT file_id, CAST(greatest(least(floor(p * 9), 8), 0) AS INTEGER) AS bucket FROM z)
+        SELECT file_id, bucket, count(*) AS n, {r('100.0 * count(*) / sum(count(*)) OVER (PARTITION BY file_id)')} AS pct FROM b GROUP BY GROUPING SETS ((file_id, bucket), (bucket))""",
+    ("v_board", "v_seen", "v_tensor"),
+)
+def progress_bucket_survey(spark, sf):
+    """What the progress model makes of a corpus: strided sample, the trainer's sampling, features, the
+    learned weights' table, buckets per file and in total."""
+    picked = checks.strided_sample(ad.v_board(spark, sf), offset=2, stride=3, samples=2000)
+    kept = filters.band_sample(picked, BANDS, SEED, 0)
+    ids = features.with_kp_ids(kept)
+    rows = ids.select("pos_id", "file_id", F.explode("idx").alias("idx"))
+    weights = ad.v_tensor(spark, sf).select("idx", F.col("v").alias("w"))
+    scored = progress.progress_score(rows.select("pos_id", "idx"), weights)
+    buckets = progress.bucket_assign(ids.select("pos_id", "file_id"), "progress", 9, scored)
+    h = surveys.bucket_histogram_per_file(buckets)
+    return h.select("file_id", "bucket", "n", rnd(F.col("pct")).alias("pct"))
+
+
+@query(
+    "material_table",
+    f"""m AS (SELECT pos_id, idx, CASE WHEN friend THEN {_WORTH} ELSE -({_WORTH}) END / 600.0::DOUBLE AS x FROM ({_index_sql('halfkp')}) WHERE is_stm)
+        SELECT pos_id, count(*) AS n, {r('sum(x)')} AS stm_value FROM m GROUP BY 1""",
+    ("v_seen",),
+)
+def material_table(spark, sf):
+    """The table of starting values, summed over each position's features: the material it stands for."""
+    t = features.material_table(spark, "halfkp", 2, 600.0).where("bucket = 1").select(F.col("feature").cast("int").alias("stm_idx"), "value")
+    f = features.half_features(ad.v_board(spark, sf), "halfkp", ["pos_id"]).join(t, "stm_idx")
+    return f.groupBy("pos_id").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("value")).alias("stm_value"))

@@ -30,6 +30,28 @@ def test_training_equals_a_plain_loop(spark, sf):
     assert len(log) == 2 and log[0]["train_samples"] == len(train) and log[0]["val_samples"] == len(rows) - len(train)
 
 
+def test_a_step_reads_its_own_files(spark, sf):
+    """The training table has a folder per step, and a step's filter opens no other."""
+    table = progress.store_steps(progress.training_table(ad.v_board(spark, sf).where("pos_id < 300"), 0.25, 20))
+    every = {f for f in table.inputFiles()}
+    step = table.where("NOT is_val AND step_id = 1")
+    own = {r[0] for r in step.select(F.col("_metadata.file_path")).distinct().collect()}
+    assert own and len(own) < len(every) and all("is_val=false/step_id=1/" in f for f in own)
+    plan = step._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "step_id" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_training_starts_from_a_stored_table(spark, sf, tmp_path):
+    from kifulake.sources import documents
+
+    pos, path = ad.v_board(spark, sf).where("pos_id < 60"), str(tmp_path / "epochs")
+    w, _ = progress.progress_train(pos, epochs=2, games_per_step=1000, on_epoch=progress.store_epochs(spark, path))
+    stored = documents.final_weights(spark, path)
+    assert np.allclose(progress.start_weights(stored), w, atol=1e-7)
+    with pytest.raises(ValueError, match="weights"):
+        progress.start_weights(stored.limit(5))
+
+
 def test_zero_weights_score_half(spark, sf):
     f = features.kp_progress_features(ad.v_board(spark, sf), ["pos_id"])
     p = progress.progress_score(f, spark.createDataFrame([], "idx int, w double")).select("p").distinct().collect()
