@@ -11,6 +11,7 @@ import os
 import sys
 import time
 
+from kifulake.plans import adapters
 from kifulake.plans.catalog import QUERIES
 from kifulake.session import build_session
 
@@ -21,6 +22,8 @@ HEADLINE = (
     "pair_norm_breakdown", "ablate_rows_random", "run_best", "bench_summary", "progress_score", "progress_gradient",
     "adam_step", "canonical_dead_edge", "edge_pair_breakdown", "edge_invariant_check", "decode_positions",
     "attack_edges", "kp_progress_features", "effect_bucket_features", "psv_scan", "stream_active_histogram",
+    "half_features", "edge_feature_index", "edge_feature_index_dedup", "attacker_counts", "sfen_move_lists", "training_view",
+    "progress_bucket_survey", "batch_score_positions",
 )
 
 
@@ -35,8 +38,13 @@ def main() -> None:
         **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false"},
     )
     spark.sparkContext.setLogLevel("ERROR")
-    spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("sum(value)").collect()  # start the engine
+    # start the engine with one whole query, so that no timed one carries its start-up
+    QUERIES["bucket_histogram"].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
+    if not sys.argv[1:]:  # the boards that many queries make first, by themselves
+        start = time.perf_counter()
+        adapters.v_board(spark, sf_dir).write.format("noop").mode("overwrite").save()
+        print(f"board synthesis alone {time.perf_counter() - start:.3f}", file=sys.stderr, flush=True)
     for name in names:
         start = time.perf_counter()
         QUERIES[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()

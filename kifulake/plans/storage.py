@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import times
 from ..functions.scores import r as rnd
 from ..operators import boards, filters, games
 from ..session import scratch_path
@@ -97,22 +98,47 @@ def _run_docs(hist):
     )
     return docs.select(
         F.lit(1).alias("schema_version"), "id", F.col("id").alias("name"), F.lit("2024-01-01T00:00:00Z").alias("date"),
-        F.lit("completed").alias("status"), F.struct(F.col("_n").alias("total_positions")).alias("data"), "history",
+        F.lit("completed").alias("status"),
+        F.struct(
+            F.lit(0.001).alias("lr"), F.length("id").alias("l1"), (F.length("id") * 65536).alias("batch_size"),
+            F.concat(F.lit("bands-"), "id").alias("prune_bands"),
+        ).alias("params"), F.struct(F.col("_n").alias("total_positions")).alias("data"), "history",
     )
 
 
 @query(
     "run_document_source",
-    f"SELECT run AS id, CAST(superbatch AS BIGINT) AS superbatch, {r('loss', 9)} AS loss, {r('test_loss', 9)} AS test_loss FROM v_hist",
+    f"""SELECT run AS id, CAST(superbatch AS BIGINT) AS superbatch, {r('loss', 9)} AS loss, {r('test_loss', 9)} AS test_loss,
+               0.001::DOUBLE AS lr, CAST(length(run) AS BIGINT) AS l1, CAST(length(run) * 65536 AS BIGINT) AS batch_size, 'bands-' || run AS prune_bands FROM v_hist""",
     ("v_hist",),
 )
 def run_document_source(spark, sf):
-    """History rows read back from run documents under the declared schema."""
+    """History rows and parameters read back from run documents under the declared schema."""
     base = scratch_path(spark, "runs")
     documents.write_snapshot(_run_docs(ad.v_hist(spark, sf)), base)
     docs = documents.read_run_documents(spark, documents.latest_snapshot(base), multi_line=False)
-    h = documents.run_history(docs)
-    return h.select("id", "superbatch", rnd(F.col("loss"), 9).alias("loss"), rnd(F.col("test_loss"), 9).alias("test_loss"))
+    params = docs.select("id", "params.lr", "params.l1", "params.batch_size", "params.prune_bands")
+    h = documents.run_history(docs).join(params, "id")
+    return h.select("id", "superbatch", rnd(F.col("loss"), 9).alias("loss"), rnd(F.col("test_loss"), 9).alias("test_loss"), "lr", "l1", "batch_size", "prune_bands")
+
+
+_CLOCK = "CAST(epoch(ts) // 1 AS BIGINT)"
+_LONG = "CAST(floor(value * 37) AS BIGINT)"
+
+
+@query(
+    "time_texts",
+    f"""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, strftime(ts, '%Y%m%dt%H%M%Sz') AS compact,
+               CASE WHEN event_id % 11 = 0 THEN '??' WHEN {_LONG} >= 3600 THEN format('{{:d}}h{{:02d}}m{{:02d}}s', {_LONG} // 3600, {_LONG} % 3600 // 60, {_LONG} % 60)
+                    WHEN {_LONG} >= 60 THEN format('{{:d}}m{{:02d}}s', {_LONG} // 60, {_LONG} % 60) ELSE format('{{:d}}s', {_LONG}) END AS took FROM events""",
+)
+def time_texts(spark, sf):
+    """Every event's time in the two document forms, and a duration as logs print it."""
+    e = ad.table(spark, sf, "events")
+    # the tables hold wall-clock times; their second count is taken in the same clock
+    clock = F.timestamp_diff("SECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), F.date_trunc("second", F.col("ts")).cast("timestamp_ntz"))
+    took = F.when(F.col("event_id") % 11 == 0, F.lit(-1.0)).otherwise(F.col("value") * 37)
+    return e.select("event_id", times.utc_iso(clock).alias("iso"), times.utc_compact(clock).alias("compact"), times.duration(took).alias("took"))
 
 
 @query(
@@ -147,8 +173,11 @@ def train_log_scan(spark, sf):
 
 
 def _event_stream(spark, sf):
-    schema = ad.table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).option("pathGlobFilter", "events*.parquet").parquet(sf)
+    """The events as files that arrive over several micro-batches, so that state is carried between them."""
+    events = ad.table(spark, sf, "events")
+    path = scratch_path(spark, "arriving")
+    events.repartition(4, "event_id").write.parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 @query("stream_active_histogram", "SELECT CAST(hour(ts) AS INTEGER) AS bin, count(*) AS n FROM events GROUP BY 1")

@@ -6,14 +6,29 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .files import filesystem
+from .files import filesystem, qualified
+
+# The training parameters of a run document, in its order.
+PARAMS = """
+  architecture: string, feature_set: string, ft_in: bigint, ft_factorize: boolean, l0: bigint, l1: bigint, l2: bigint,
+  num_buckets: bigint, optimizer: string, bucket_mode: string, activation: string, progress_coeff: string,
+  lr: double, lr_gamma: double, lr_step: bigint, lr_schedule: string, batch_size: bigint,
+  batches_per_superbatch: bigint, superbatches: bigint, start_superbatch: bigint, wdl: double, start_wdl: double,
+  end_wdl: double, scale: double, weight_decay: double, ft_weight_decay: double, dense_weight_decay: double,
+  bias_weight_decay: double, ft_lr_mult: double, dense_lr_mult: double, bias_lr_mult: double,
+  norm_loss_factor: double, qa: int, qb: int, loss_kind: string, wrm_in_scaling: double, wrm_in_offset: double,
+  wrm_nnue2score: double, wrm_target_offset: double, wrm_target_scaling: double, wrm_pow_exp: double,
+  wrm_qp_asymmetry: double, wrm_weight_boost_w1: double, wrm_weight_boost_w2: double, score_drop_abs: int,
+  score_clamp_abs: int, prune_bands: string, prune_beta: double, prune_seed: decimal(20,0), init_from: string,
+  init_preset: string, test_data: string, test_positions: bigint, test_tail_positions: bigint, tf32: boolean,
+  ft_fp16: boolean, ft_fp16_out: boolean, fp16_opt_state: boolean, threads: bigint"""
 
 # The run document. Absent keys read as NULL; nothing is inferred.
-RUN_SCHEMA = """
+RUN_SCHEMA = f"""
   schema_version int, generator struct<name: string, version: string>, id string, name string,
   date string, status string, last_updated_at string, commit string, command string,
   lineage struct<parent_id: string, resumed_from_checkpoint: string, resumed_from_superbatch: bigint>,
-  params struct<architecture: string, superbatches: bigint, batch_size: bigint, lr: double, loss_kind: string>,
+  params struct<{PARAMS}>,
   data struct<name: string, positions: bigint, total_positions: bigint, dataset_passes: double>,
   results struct<training_time_seconds: bigint, fv_scale: int, best_loss: double, best_loss_superbatch: bigint,
     best_test_loss: double, best_test_loss_superbatch: bigint, mean_pos_per_sec: bigint, interrupted: boolean>,
@@ -26,8 +41,7 @@ def read_run_documents(spark: SparkSession, path: str, multi_line: bool = True,
     """Run documents under a declared schema; ``params`` replaces its parameter struct."""
     schema = RUN_SCHEMA
     if params:
-        head, tail = schema.split("  params struct<", 1)
-        schema = head + f"  params struct<{params}>" + tail[tail.index(">") + 1 :]
+        schema = schema.replace(f"params struct<{PARAMS}>", f"params struct<{params}>")
     docs = spark.read.schema(schema).option("multiLine", multi_line).json(path)
     return docs.withColumns({"started_at": F.try_to_timestamp("date"), "updated_at": F.try_to_timestamp("last_updated_at")})
 
@@ -84,7 +98,11 @@ def parse_train_log(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_train_log(spark: SparkSession, path: str) -> DataFrame:
-    return parse_train_log(spark.read.option("lineSep", "\n").text(path))
+    """The parsed lines of one or more logs; logs without any such line are an error."""
+    rows = parse_train_log(spark.read.option("lineSep", "\n").text(path))
+    if rows.isEmpty():  # stops at the first line that parses
+        raise ValueError(f"no throughput line in {path}")
+    return rows
 
 
 def write_epoch_weights(weights: DataFrame, path: str, epoch: int) -> None:
@@ -95,7 +113,10 @@ def write_epoch_weights(weights: DataFrame, path: str, epoch: int) -> None:
 
 
 def final_weights(spark: SparkSession, path: str) -> DataFrame:
-    """The weights of the last epoch stored (a partition listing, not a scan)."""
-    table = spark.read.parquet(path)
-    last = table.agg(F.max("epoch").alias("e")).first()["e"]
-    return table.where(F.col("epoch") == last).drop("epoch")
+    """The weights of the last epoch stored: the highest epoch folder, found by listing."""
+    fs, inner = filesystem(qualified(spark, path))
+    names = [f.base_name for f in fs.get_file_info(pafs.FileSelector(inner)) if f.type == pafs.FileType.Directory]
+    epochs = [int(n.removeprefix("epoch=")) for n in names if n.startswith("epoch=") and n[6:].isdigit()]
+    if not epochs:
+        raise FileNotFoundError(f"no epoch below {path}")
+    return spark.read.parquet(f"{path}/epoch={max(epochs)}")

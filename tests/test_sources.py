@@ -173,3 +173,23 @@ def test_scratch_must_be_shared_off_a_local_master(monkeypatch):
 
     with pytest.raises(ValueError, match="checkpoint"):
         session.shared_dir(Session())
+
+
+def test_log_without_a_line_is_refused(spark, tmp_path):
+    (tmp_path / "log.txt").write_text("nothing here\n")
+    with pytest.raises(ValueError, match="throughput"):
+        documents.read_train_log(spark, str(tmp_path))
+
+
+def test_all_parameters_are_declared(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"id": "a", "params": {"l2": 32, "prune_seed": 18446744073709551615, "tf32": true, "threads": 4, "wrm_pow_exp": 2.5}}')
+    p = documents.read_run_documents(spark, str(tmp_path)).first().params
+    assert len(p) == 59 and (p.l2, int(p.prune_seed), p.tf32, p.threads, p.wrm_pow_exp, p.lr) == (32, 2**64 - 1, True, 4, 2.5, None)
+
+
+def test_durations(spark):
+    from kifulake.functions import times
+
+    rows = [(42.9,), (725.0,), (5025.0,), (0.0,), (-1.0,), (float("inf"),), (float("nan"),), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "s double").select(times.duration(F.col("s"))).collect()]
+    assert got == ["42s", "12m05s", "1h23m45s", "0s", "??", "??", "??", "??"]
