@@ -15,11 +15,11 @@ def strided_sample(
     """One of every ``stride`` records from ``offset`` on, at most ``samples`` over all files.
 
     The cap counts in (file, index) order and is applied by position, not by a sort in one
-    task, so it may be as large as the caller likes.
+    task, so it may be as large as the caller likes; blocks past it are not shuffled.
     """
     i = F.col("rec_idx")
     picked = df.where((i >= offset) & ((i - offset) % stride == 0))
-    return with_ordinal(picked, out="_ord", block_rows=block_rows).where(F.col("_ord") < samples).drop("_ord")
+    return with_ordinal(picked, out="_ord", block_rows=block_rows, first=samples).drop("_ord")
 
 
 def tag_files(rows: DataFrame, path: str, files: list[str]) -> DataFrame:

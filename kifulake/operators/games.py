@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import epoch_term
-from .ordering import BLOCK_ROWS, block_of, with_ordinal
+from .ordering import BLOCK_ROWS, block_manifest, block_of, with_ordinal
 
 
 def segment_games(
@@ -118,18 +118,19 @@ def with_position_norm(df: DataFrame, games_per_step: int) -> DataFrame:
 def tail_split(df: DataFrame, holdout: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add ``split``: the last ``holdout`` records in order are 'holdout', the rest 'train'.
 
-    Fails when nothing is left to train on.
+    Fails when nothing is left to train on. The manifest decides whole blocks; only the block that
+    the boundary runs through is put in order.
     """
-    rows = with_ordinal(df, out="_ord", block_rows=block_rows)
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
-    rows = rows.crossJoin(F.broadcast(total))  # one row by construction
+    rows = df.withColumn("_blk", block_of("rec_idx", block_rows))
+    cut = F.col("_total") - holdout
     empty = F.raise_error(F.lit("tail split leaves no training records"))
-    return rows.withColumn(
-        "split",
-        F.when(F.col("_total") <= holdout, empty)
-        .when(F.col("_ord") >= F.col("_total") - holdout, "holdout")
-        .otherwise("train"),
-    ).drop("_ord", "_total")
+    side = F.when(F.col("_total") <= holdout, empty).when(F.col("_before") >= cut, "holdout").when(F.col("_before") + F.col("_n") <= cut, "train")
+    rows = rows.join(block_manifest(rows, "file_id"), ["file_id", "_blk"]).withColumn("split", side)
+    decided, split = rows.where(F.col("split").isNotNull()), rows.where(F.col("split").isNull())
+    in_block = Window.partitionBy("file_id", "_blk").orderBy("rec_idx")
+    place = F.col("_before") + F.row_number().over(in_block) - 1
+    split = split.withColumn("_ord", place).withColumn("split", F.when(F.col("_ord") >= cut, "holdout").otherwise("train")).drop("_ord")
+    return decided.unionByName(split).drop("_blk", "_n", "_before", "_total")
 
 
 def fixed_holdout(
@@ -141,9 +142,7 @@ def fixed_holdout(
     is an error.
     """
     want = max(math.ceil(positions / batch_size), 1) * batch_size
-    rows = with_ordinal(df, out="_ord", block_rows=block_rows).where(F.col("_ord") < want)
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
-    rows = rows.crossJoin(F.broadcast(total))  # one row by construction
+    rows = with_ordinal(df, out="_ord", block_rows=block_rows, first=want, total="_total")
     usable = F.expr(f"(least(_total, {want}L) div {batch_size}) * {batch_size}")
     short = F.raise_error(F.lit("holdout needs at least one full batch")).cast("bigint")
     limit = F.when(F.col("_total") < batch_size, short).otherwise(usable)

@@ -20,6 +20,18 @@ def block_of(idx: str, block_rows: int) -> Column:
     return F.expr(f"`{idx}` div {block_rows}")
 
 
+def block_manifest(rows: DataFrame, file_col: str) -> DataFrame:
+    """One row per (file, ``_blk``): its rows ``_n``, those before it ``_before``, and ``_total``."""
+    manifest = rows.groupBy(file_col, "_blk").agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.orderBy(file_col, "_blk")
+    return manifest.withColumns(
+        {
+            "_before": F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+            "_total": F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+        }
+    )
+
+
 def with_ordinal(
     df: DataFrame,
     file_col: str = "file_id",
@@ -27,23 +39,30 @@ def with_ordinal(
     out: str = "ordinal",
     within_file: str | None = None,
     block_rows: int = BLOCK_ROWS,
+    first: int | None = None,
+    total: str | None = None,
 ) -> DataFrame:
     """Add the 0-based position of each row in ``(file, index)`` order over all files.
 
-    ``within_file`` names a second column for the position inside the row's own file.
-    The rows are shuffled once, by (file, block); the manifest is the only global sort.
+    ``within_file`` names a second column for the position inside the row's own file, ``total`` one
+    for the number of all rows. ``first`` keeps the first so many rows: the manifest says which blocks
+    hold them, and only these are shuffled. The rows are shuffled once, by (file, block); the
+    manifest is the only global sort.
     """
     rows = df.withColumn("_blk", block_of(idx_col, block_rows))
-    manifest = rows.groupBy(file_col, "_blk").agg(F.count(F.lit(1)).alias("_n"))
-    whole = Window.orderBy(file_col, "_blk").rowsBetween(Window.unboundedPreceding, -1)
-    manifest = manifest.withColumn("_before", F.coalesce(F.sum("_n").over(whole), F.lit(0)))
+    manifest = block_manifest(rows, file_col)
+    if first is not None:
+        manifest = manifest.where(F.col("_before") < first)
     if within_file:
         per_file = Window.partitionBy(file_col)
         manifest = manifest.withColumn("_file_start", F.min("_before").over(per_file))
     in_block = Window.partitionBy(file_col, "_blk").orderBy(idx_col)
-    rows = rows.withColumn("_pos", F.row_number().over(in_block).cast("bigint") - 1)
     rows = rows.join(manifest.drop("_n"), [file_col, "_blk"])
+    rows = rows.withColumn("_pos", F.row_number().over(in_block).cast("bigint") - 1)
     rows = rows.withColumn(out, F.col("_before") + F.col("_pos"))
+    if first is not None:
+        rows = rows.where(F.col(out) < first)
+    rows = rows.withColumnRenamed("_total", total) if total else rows.drop("_total")
     if within_file:
         rows = rows.withColumn(within_file, F.col(out) - F.col("_file_start")).drop("_file_start")
     return rows.drop("_blk", "_pos", "_before")

@@ -107,3 +107,17 @@ def test_exact_ranks_match_sorting(spark):
     for r in got.collect():
         values = sorted(v for k, v in rows if k == r.name)
         assert r.p99 == values[int((len(values) - 1) * 0.99)] and r.mid == values[int((len(values) - 1) * 0.5)]
+
+
+def test_boundary_blocks_alone_are_ordered(spark):
+    """Whatever the block size, a prefix or suffix is the same; whole blocks carry no window."""
+    rows = spark.range(1000).select((F.col("id") % 3).cast("int").alias("file_id"), F.expr("id div 3").alias("rec_idx"), F.lit(5).alias("score"))
+    order = sorted((r.file_id, r.rec_idx) for r in rows.collect())
+    for block in (7, 64, 5000):
+        tail = {(r.file_id, r.rec_idx): r.split for r in games.tail_split(rows, 130, block_rows=block).collect()}
+        assert [tail[k] for k in order] == ["train"] * 870 + ["holdout"] * 130
+        got = games.fixed_holdout(rows, 100, 32, block_rows=block).collect()
+        assert sorted((r.file_id, r.rec_idx) for r in got) == order[:128]
+        assert {(r.file_id, r.rec_idx): r.batch_id for r in got} == {k: i // 32 for i, k in enumerate(order[:128])}
+    with pytest.raises(Exception, match="no training records"):
+        games.tail_split(rows, 1000).collect()
