@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 LONG_HEX = re.compile(r"[0-9a-f]{32,}")
 IDENTIFIER = re.compile(r"(?<![A-Za-z0-9])[A-Z0-9]{16,32}(?![A-Za-z0-9])")
 SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,128}={0,2}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]*://[A-Za-z0-9.-]+(?::[0-9]+)?[^\s\"'<>]*")
+ADDRESS = re.compile(r"://[A-Za-z0-9.-]+(?::[0-9]+)?[^\s\"'<>]*")
+_SCHEME = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+.-")
 BLANK = re.compile(r"\n[\x20\t\r]*\n")
 KEYWORDS = ("passw", "secret", "token", "api")
 
@@ -56,20 +58,42 @@ def _mixed(s: str) -> bool:
     return any(c.isdigit() for c in s) and any("A" <= c <= "Z" for c in s) and any("a" <= c <= "z" for c in s)
 
 
+def _endpoints(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of ``[a-z][a-z0-9+.-]*`` before an address, leftmost. Looking back from each ``://`` keeps
+    long runs of letters linear."""
+    at = 0
+    while (k := text.find("://", at)) >= 0:
+        start = k
+        while start > at and text[start - 1] in _SCHEME:
+            start -= 1
+        while start < k and not "a" <= text[start] <= "z":
+            start += 1
+        m = ADDRESS.match(text, k)
+        if m and start < k:
+            yield start, m.end()
+            at = m.end()
+        else:
+            at = k + 3
+
+
 class _Parts:
-    """Spans sorted by start, to ask for one near another span."""
+    """Spans sorted by start, to ask for one near another span, however long single spans are."""
 
     def __init__(self, spans: list[tuple[int, int]]):
         self.spans = sorted(spans)
         self.starts = [s for s, _ in self.spans]
-        self.longest = max((e - s for s, e in self.spans), default=0)
+        self.reach = list(accumulate((e for _, e in self.spans), max))  # furthest end up to each span
+
+    def overlap(self, start: int, end: int) -> bool:
+        i = bisect_left(self.starts, end) - 1
+        return i >= 0 and self.reach[i] > start
 
     def near(self, start: int, end: int, breaks: list[int]) -> bool:
         """Whether a span of these, other than this one, lies within reach and scope of [start, end)."""
-        i = bisect_left(self.starts, start - REACH - self.longest)
-        while i < len(self.spans) and self.starts[i] <= end + REACH:
+        i = bisect_right(self.starts, end + REACH) - 1
+        while i >= 0 and self.reach[i] >= start - REACH:
             s, e = self.spans[i]
-            i += 1
+            i -= 1
             apart = max(start - e, s - end)
             if 0 <= apart <= REACH and bisect_right(breaks, min(s, start)) == bisect_right(breaks, max(s, start)):
                 return True
@@ -85,16 +109,11 @@ def linked_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     """
     taken = _Parts([(s, e) for s, e, _ in base])
 
-    def free(m) -> bool:
-        i = bisect_left(taken.starts, m.start() - taken.longest)
-        while i < len(taken.spans) and taken.starts[i] < m.end():
-            if taken.spans[i][1] > m.start():
-                return False
-            i += 1
-        return True
+    def free(start: int, end: int) -> bool:
+        return not taken.overlap(start, end)
 
-    weak_ids = [m.span() for m in IDENTIFIER.finditer(text) if free(m) and not m[0].isdigit() and not m[0].isalpha()]
-    weak_secrets = [m.span() for m in SECRET.finditer(text) if _mixed(m[0]) and free(m)]
+    weak_ids = [m.span() for m in IDENTIFIER.finditer(text) if free(*m.span()) and not m[0].isdigit() and not m[0].isalpha()]
+    weak_secrets = [m.span() for m in SECRET.finditer(text) if _mixed(m[0]) and free(*m.span())]
     ids = _Parts(weak_ids + [(s, e) for s, e, k in base if k == 1])
     secrets = _Parts(weak_secrets + [(s, e) for s, e, k in base if k != 1])
     if not ids.spans or not secrets.spans:
@@ -103,9 +122,7 @@ def linked_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     out = [(s, e, 3) for s, e in weak_ids if secrets.near(s, e, breaks)]
     out += [(s, e, 4) for s, e in weak_secrets if ids.near(s, e, breaks)]
     out += [
-        (m.start(), m.end(), 5)
-        for m in ENDPOINT.finditer(text)
-        if free(m) and ids.near(m.start(), m.end(), breaks) and secrets.near(m.start(), m.end(), breaks)
+        (s, e, 5) for s, e in _endpoints(text) if free(s, e) and ids.near(s, e, breaks) and secrets.near(s, e, breaks)
     ]
     return out
 

@@ -1,6 +1,7 @@
 """Secret spans against plain regular expressions, and the links of weak parts."""
 
 import hashlib
+import random
 import re
 
 from rows import DOCS, docs
@@ -50,6 +51,24 @@ def test_links():
     assert kinds(f"{ID} token=abcdefgh12") == ["identifier"]
 
 
+def test_endpoints_match_the_pattern():
+    pattern = re.compile(r"[a-z][a-z0-9+.-]*://[A-Za-z0-9.-]+(?::[0-9]+)?[^\s\"'<>]*")
+    r = random.Random(1)
+    for _ in range(3000):
+        text = "".join(r.choice(["a", "b", "1", "+", "://", ":", "/", " ", "A", ".", ":80", '"', "é"]) for _ in range(r.randint(0, 25)))
+        assert list(secrets._endpoints(text)) == [m.span() for m in pattern.finditer(text)], text
+
+
+def test_links_beside_a_very_long_span():
+    """One value of a million characters neither hides nor slows the links around it."""
+    many = f"{ID} {WEAK}\n\n" * 2000
+    long = "token=" + "a" * 1_000_000
+    text = many + long + "\n\n" + many
+    base = secrets.base_spans(text)
+    found = secrets.linked_spans(text, base)
+    assert sum(k == 3 for *_, k in found) == sum(k == 4 for *_, k in found) == 4000
+
+
 def test_empty(spark):
     assert secrets.scan(spark.createDataFrame([], DOCS)).count() == 0
 
