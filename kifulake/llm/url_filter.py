@@ -2,11 +2,13 @@
 
 Level 0 encodes the listed keys. What else of the corpus's keys passes it goes into level 1, the
 listed keys that pass level 1 go into level 2, and so on until nothing passes by mistake. A key is
-settled by the first level that does not hold it.
+settled by the first level that does not hold it. Level 0 is made wide enough that no more keys pass
+it by mistake than are listed, so the levels grow with the list, not with the corpus.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -81,14 +83,18 @@ def _holds(key: Column, level: int, bits: int, words: tuple[int, ...]) -> Column
     return out
 
 
-def _level(keys: DataFrame, level: int) -> tuple[int, tuple[int, ...]] | None:
-    """Bloom filter of the distinct column ``key``, as wide as its keys need; None for no keys."""
+def _level(keys: DataFrame, level: int, per_key: int = BITS_PER_KEY) -> tuple[int, tuple[int, ...]] | None:
+    """Bloom filter of the distinct column ``key``, as wide as its keys need; None for no keys.
+
+    ``per_key`` bits a key are given up to the bound, ``BITS_PER_KEY`` or an error.
+    """
     n = keys.count()
     if not n:
         return None
     bits = -(-n * BITS_PER_KEY // 64) * 64
     if bits > MAX_BITS:
         raise ValueError(f"{n} keys need {bits} bits at level {level}, over the bound of {MAX_BITS}")
+    bits = min(MAX_BITS, -(-n * per_key // 64) * 64)
     words = (
         keys.select(F.explode(F.array(*_places(F.col("key"), level, bits))).alias("p"))
         .groupBy(F.shiftright("p", 6).alias("w"))
@@ -112,9 +118,18 @@ def build_cascade(listed: DataFrame, universe: DataFrame, max_levels: int = 40)
     first = _level(listed, 0)
     if first is None:
         return Cascade(())
+
+    def mistaken(level: tuple[int, tuple[int, ...]]) -> DataFrame:
+        passed = universe.select("key").where("key is not null").where(_holds(F.col("key"), 0, *level)).distinct()
+        return stash(passed.join(listed, "key", "left_anti"), "passed")
+
+    other = mistaken(first)
+    n, wrong = listed.count(), other.count()
+    while wrong > n and first[0] < MAX_BITS:  # mistakes fall with the power HASHES of the width
+        first = _level(listed, 0, math.ceil(first[0] / n * max(2.0, (wrong / n) ** (1 / HASHES))))
+        other = mistaken(first)
+        wrong = other.count()
     levels.append(first)
-    passed = universe.select("key").where("key is not null").where(_holds(F.col("key"), 0, *first)).distinct()
-    other = stash(passed.join(listed, "key", "left_anti"), "passed")
     inside = listed
     while len(levels) < max_levels:
         bits = _level(other, len(levels))

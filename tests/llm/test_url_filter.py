@@ -61,3 +61,12 @@ def test_keys_longest_first(spark):
     text = prose(1, 3)
     r = spark.range(1).select(uf.rule_keys(uf.F.lit("a.b.c"), uf.F.lit("/en/x" + text), [1, 4]).alias("k")).first()
     assert r.k[0] == "a.b.c/en/" and set(r.k) == {s + p for s in ("a.b.c", "b.c", "c") for p in ("/", "/en/")}
+
+
+def test_level_zero_widens_with_the_corpus(spark):
+    """Two keys among 300,000: the mistakes of the first level do not outnumber the list."""
+    universe = spark.range(300_000).selectExpr("concat('u', id) key")
+    listed = universe.where("key in ('u7', 'u70000')")
+    cascade = uf.build_cascade(listed, universe)
+    assert cascade.levels[0][0] > 2 * uf.BITS_PER_KEY and all(bits <= 64 for bits, _ in cascade.levels[1:])
+    assert [r.key for r in universe.where(cascade.has(uf.F.col("key"))).orderBy("key").collect()] == ["u7", "u70000"]
