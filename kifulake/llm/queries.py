@@ -73,7 +73,48 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
-@query("op8_feistel_shards")
+def _crc_table() -> str:
+    """The 16 remainders of half a byte."""
+    out = []
+    for c in range(16):
+        for _ in range(4):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        out.append(str(c))
+    return f"([{', '.join(out)}]::BIGINT[])"
+
+
+def _crc_half(c: str) -> str:
+    return f"xor({c} >> 4, {_crc_table()}[({c} & 15) + 1])"
+
+
+def _feistel_sql(source: str) -> str:
+    """``source`` (place, p, k) with p permuted once over the grid ``g`` (n, a, b)."""
+    text = f"SELECT place, k, n, a, b, p // b AS l, p % b AS r FROM {source}, g"
+    for i in range(sharding.ROUNDS):
+        half, other, size = ("l", "r", "a") if i % 2 == 0 else ("r", "l", "b")
+        digest = f"('0x' || substr(md5('{SHARD_SEED}:{i}:' || {other}), 1, 8))::BIGINT"
+        text = f"SELECT place, k, n, a, b, ({half} + {digest}) % {size} AS {half}, {other} FROM ({text})"
+    return f"SELECT place, l * b + r AS p, k + 1 AS k, n FROM ({text})"
+
+
+@query(
+    "op8_feistel_shards",
+    f"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id NULLS FIRST) - 1 AS place FROM documents),
+h AS (SELECT place, hex(encode(text)) AS h FROM t),
+y AS (SELECT place, list_transform(range(1, strlen(h) + 1, 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT) AS bytes FROM h),
+c AS (
+  SELECT place, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: {_crc_half(_crc_half('xor(c, x)'))}), 4294967295) AS crc FROM y),
+g AS (SELECT n, a, greatest(1, (n + a - 1) // a) AS b FROM (SELECT count(*) AS n, floor(sqrt(greatest(count(*) - 1, 0)))::BIGINT + 1 AS a FROM t)),
+w AS (
+  SELECT place, p, k, n FROM ({_feistel_sql('(SELECT place, place AS p, 0 AS k FROM t)')})
+  UNION ALL
+  SELECT place, p, k, n FROM ({_feistel_sql('(SELECT place, p, k FROM w WHERE p >= n)')}))
+SELECT doc_id, strlen(text)::BIGINT + 16 AS size, crc AS text_crc32, 'rows' AS law, (p % {SHARDS})::INTEGER AS shard,
+       p // {SHARDS} AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM t JOIN c USING (place) JOIN (SELECT place, p FROM w WHERE p < n) q USING (place)
+""",
+)
 def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = table(spark, sf_dir, "documents").select(
@@ -201,7 +242,21 @@ def op1_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-@query("op7_recompressed_repeats")
+@query(
+    "op7_recompressed_repeats",
+    r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+x AS (SELECT doc_id, p, array_to_string(list_slice(w, p, p + 19), ' ') AS win FROM d, unnest(range(1, len(w) - 18)) AS u(p)),
+r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY win ORDER BY doc_id, p) AS nth FROM x),
+g AS (SELECT DISTINCT doc_id, i FROM r, unnest(range(p, p + 20)) AS u(i) WHERE nth > 1),
+v AS (SELECT doc_id, w[i] AS word, i FROM d, unnest(range(1, len(w) + 1)) AS u(i)),
+k AS (
+  SELECT v.doc_id, count(g.i) AS gone, string_agg(word, ' ' ORDER BY v.i) FILTER (WHERE g.i IS NULL) AS kept
+  FROM v LEFT JOIN g ON v.doc_id = g.doc_id AND v.i = g.i GROUP BY v.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+""",
+)
 def op7_recompressed_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
