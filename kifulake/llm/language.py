@@ -290,8 +290,11 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
 def keep_identified(docs: DataFrame, net: Network, min_score: float) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose language is told with ``min_score`` or more.
 
-    One narrow pass: rows are judged and filtered where they are read.
+    One narrow pass: rows are judged and filtered where they are read. A network that has learnt no
+    language rejects only texts without a letter.
     """
+    if not net.labels:
+        return docs.where(has_letter(F.col("text").cast("string")))
     columns = docs.columns
     names = {"t": "_text_", "l": "_lettered_"}
     taken = {c.lower() for c in columns}

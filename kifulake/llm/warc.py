@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import scratch_path
-from ..sources.files import filesystem
+from ..sources.files import filesystem, qualified
 from .common import slices, stash
 
 REVISIT_BYTES = 1000
@@ -293,5 +293,5 @@ def archive(pages: DataFrame) -> tuple[DataFrame, str, str]:
     Null html is an empty payload, a null url an empty key; rows that repeat are records that repeat.
     """
     spark = pages.sparkSession
-    archives, index = scratch_path(spark, "warc"), scratch_path(spark, "warc-index")
+    archives, index = (qualified(spark, scratch_path(spark, x)) for x in ("warc", "warc-index"))
     return build_index(write_archives(pages, archives), index), index, archives

@@ -73,6 +73,8 @@ def test_empty(spark):
     net = language.fit(d)
     assert net.labels == [] and language.predict(d, net).count() == 0
     assert {r.lang_pred for r in language.predict(docs(spark), net).collect()} == {"und"}
+    kept = language.keep_identified(docs(spark), net, 0.0).collect()
+    assert kept and all(any(c.isalpha() for c in r.text) for r in kept)
 
 
 def test_held_out_accuracy(spark):
