@@ -20,6 +20,8 @@ from . import dims
 from .boards import explode_pieces
 
 MAX_RAY = 8
+# Percent of speed expected per percent of dead edges, from below and above.
+SPEED_GAIN = {"speed_gain_low": 0.2, "speed_gain_high": 0.3}
 
 
 def _square_at(path: Column, k: int) -> Column:
@@ -229,7 +231,7 @@ def edge_bin_breakdown(edges: DataFrame, bin_col: str, bins: list[int]) -> DataF
 
 
 def edge_reduction_summary(edges: DataFrame, positions: DataFrame, pos: str = "pos_id") -> DataFrame:
-    """Positions, edges, dead share, edges per position and the verdict, in one row.
+    """Positions, edges, dead share, edges per position, the expected gain in speed and the verdict, in one row.
 
     Positions come from their own table: one without edges still counts.
     """
@@ -240,6 +242,7 @@ def edge_reduction_summary(edges: DataFrame, positions: DataFrame, pos: str = "p
     return row.withColumn("pct", pct).select(
         "positions", "edges", "dead", "pct",
         F.when(F.col("positions") > 0, F.col("edges") / F.col("positions")).otherwise(0.0).alias("edges_per_position"),
+        *[(F.lit(share) * F.col("pct")).alias(name) for name, share in SPEED_GAIN.items()],
         F.when(F.col("pct") >= 15.0, "worthwhile").when(F.col("pct") < 10.0, "too little").otherwise("undecided").alias("verdict"),
     )
 

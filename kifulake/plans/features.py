@@ -386,13 +386,14 @@ def edge_ply_breakdown(spark, sf):
     "edge_reduction_summary",
     f"""s AS (SELECT (SELECT count(DISTINCT date_trunc('week', o_orderdate)) FROM orders) AS positions, count(*) AS edges, count(*) FILTER (WHERE dead) AS dead FROM v_trade)
         SELECT positions, edges, dead, {r('100.0 * dead / edges')} AS pct, {r('edges / positions::DOUBLE')} AS edges_per_position,
+               {r('0.2::DOUBLE * (100.0 * dead / edges)')} AS speed_gain_low, {r('0.3::DOUBLE * (100.0 * dead / edges)')} AS speed_gain_high,
                CASE WHEN 100.0 * dead / edges >= 15 THEN 'worthwhile' WHEN 100.0 * dead / edges < 10 THEN 'too little' ELSE 'undecided' END AS verdict FROM s""",
     ("v_trade",),
 )
 def edge_reduction_summary(spark, sf):
     weeks = ad.table(spark, sf, "orders").select(F.date_trunc("week", "o_orderdate").alias("week")).distinct()
     s = edges.edge_reduction_summary(trade(spark, sf), weeks)
-    return s.withColumns({"pct": rnd(F.col("pct")), "edges_per_position": rnd(F.col("edges_per_position"))})
+    return s.withColumns({c: rnd(F.col(c)) for c in ("pct", "edges_per_position", "speed_gain_low", "speed_gain_high")})
 
 
 @query(
