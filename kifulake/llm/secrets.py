@@ -23,7 +23,8 @@ ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 LONG_HEX = re.compile(r"[0-9a-f]{32,}")
 IDENTIFIER = re.compile(r"(?<![A-Za-z0-9])[A-Z0-9]{16,32}(?![A-Za-z0-9])")
-SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,128}={0,2}(?![A-Za-z0-9+/_=-])")
+# '=' may stand before a secret (NAME=value, url parameters); after it, it is padding
+SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,128}={0,2}(?![A-Za-z0-9+/_=-])")
 ADDRESS = re.compile(r"://[A-Za-z0-9.-]+(?::[0-9]+)?[^\s\"'<>]*")
 _SCHEME = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+.-")
 BLANK = re.compile(r"\n[\x20\t\r]*\n")

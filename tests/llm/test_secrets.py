@@ -51,6 +51,17 @@ def test_links():
     assert kinds(f"{ID} token=abcdefgh12") == ["identifier"]
 
 
+def test_secrets_after_an_equals_sign():
+    def found(text):
+        return [(secrets.KINDS[k], text[s:e]) for s, e, k in sorted(secrets.linked_spans(text, secrets.base_spans(text)))]
+
+    for name in ("aws_secret_access_key=", "AccountKey=", "KEY=", "export KEY='", "a==", "k ="):
+        assert found(f"{KEY}\n{name}{WEAK}") == [("secret", WEAK)], name
+    assert found(f"{ID}\nKEY={WEAK}==\nhttps://h.example/") == [("identifier", ID), ("secret", f"{WEAK}=="), ("endpoint", "https://h.example/")]
+    assert ("secret", WEAK) in found(f"{ID} https://h.example/x?v=1&sig={WEAK}&n=2")
+    assert found(f"{KEY} {WEAK}=x") == found(f"{KEY} {WEAK}===") == []  # a name, or no padding
+
+
 def test_endpoints_match_the_pattern():
     pattern = re.compile(r"[a-z][a-z0-9+.-]*://[A-Za-z0-9.-]+(?::[0-9]+)?[^\s\"'<>]*")
     r = random.Random(1)
