@@ -30,6 +30,11 @@ EMBED = 8
 STEPS = 400
 BATCH = 256
 CACHE = 1_000_000
+#: The least score told from the scores of held-out labelled documents (``least_score``).
+SCORED_DOCS = 2000
+LEAST_SCORED = 30
+LOW_QUANTILE = 0.01
+ABOVE_CHANCE = 0.25
 
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[ord("A") : ord("Z") + 1] += 32
@@ -169,15 +174,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(5)) == 0, F.lit(False))
 
 
+def _sample(usable: DataFrame, docs: int) -> DataFrame:
+    """(h, doc_id, lang, text) of at most ``docs`` rows, those of smallest hash of their id."""
+    usable = usable.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    # the last hash first, from ids alone: then no task merges more texts than the sample has
+    last = usable.select("h").orderBy("h").limit(docs).agg(F.max("h")).first()[0]
+    usable = usable.where(F.col("h") <= F.lit(last if last is not None else 0).cast("long"))
+    return usable.orderBy("h", "doc_id", "lang", F.xxhash64("text")).limit(docs)
+
+
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_segments: int = SAMPLE_SEGMENTS) -> Network:
     """Train on at most ``sample_docs`` labelled documents that are not held out, those of smallest hash
     of their id, and of these at most ``sample_segments`` distinct (language, segment) pairs."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    usable = usable.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    # the last hash first, from ids alone: then no task merges more texts than the sample has
-    last = usable.select("h").orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
-    usable = usable.where(F.col("h") <= F.lit(last if last is not None else 0).cast("long"))
-    picked = usable.orderBy("h", "doc_id", "lang", F.xxhash64("text")).limit(sample_docs)
+    picked = _sample(usable, sample_docs)
     schema = "lang string, segment binary, n long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,6 +297,24 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def least_score(docs: DataFrame, net: Network, sample_docs: int = SCORED_DOCS) -> float:
+    """The score from which on a language counts as told: a quarter of the way from chance (one by the
+    number of labels) to the score that 99 in 100 held-out labelled documents reach.
+
+    Found on at most ``sample_docs`` such documents, those of smallest hash of their id. Under
+    ``LEAST_SCORED`` of them, or under two labels, there is nothing to tell by and 0 is returned.
+    """
+    if len(net.labels) < 2:
+        return 0.0
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & held_out(F.col("doc_id")))
+    told = predict(_sample(usable, sample_docs), net).where(F.col("lang_pred") != UNKNOWN)
+    scores = [r.score for r in told.select("score").collect()]
+    if len(scores) < LEAST_SCORED:
+        return 0.0
+    chance = 1 / len(net.labels)
+    return chance + ABOVE_CHANCE * (float(np.quantile(scores, LOW_QUANTILE)) - chance)
+
+
 def keep_identified(docs: DataFrame, net: Network, min_score: float) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose language is told with ``min_score`` or more.
 

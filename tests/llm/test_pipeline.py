@@ -1,5 +1,7 @@
 """The pipeline against a brute-force composition, and the SQL of the other queries."""
 
+import base64
+import random
 import re
 from collections import Counter
 
@@ -11,7 +13,7 @@ from test_mixing import targets
 from test_simhash import classes, fingerprint
 
 import corpus_pipeline
-from kifulake.llm import mixing, stages
+from kifulake.llm import language, mixing, stages
 from kifulake.llm.queries import QUERIES, SQL
 
 
@@ -51,6 +53,33 @@ def test_stages_on_awkward_rows(spark, tmp_path):
     assert max(counts.values()) <= 1 + min([counts.get(s, 0) for s in range(40)])
 
 
+def test_language_stage_follows_the_network(spark, monkeypatch):
+    """Wordless texts with letters go, clean ones stay, and another network keeps other rows."""
+    r = random.Random(1)
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    noise = [" ".join("".join(r.choices(letters, k=r.randint(3, 9))) for _ in range(500)) for _ in range(8)]
+    noise += [base64.b64encode(r.randbytes(4000)).decode() for _ in range(8)]
+    both = d.union(spark.createDataFrame([(10**6 + i, t, None) for i, t in enumerate(noise)], d.schema))
+    ids = lambda: sorted(x.doc_id for x in stages.identify_language(spark, both, "").collect())
+    want = sorted(x.doc_id for x in d.collect())
+    assert ids() == want
+    fit = language.fit
+
+    def blind(docs):
+        net = fit(docs)
+        return language.Network(net.labels, {k: v * (k == "out_b") for k, v in net.w.items()})
+
+    monkeypatch.setattr(language, "fit", blind)
+    assert ids() != want
+
+
+def test_least_score_without_enough_to_tell_by(spark):
+    d = docs(spark)
+    assert language.least_score(d, language.fit(d)) == 0
+    assert language.least_score(d, language.Network.fresh(["a"])) == language.least_score(d, language.Network.fresh([])) == 0
+
+
 def test_empty(spark, tmp_path):
     d = spark.createDataFrame([], DOCS)
     write(d, tmp_path, "documents")
