@@ -24,7 +24,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 LONG_HEX = re.compile(r"[0-9a-f]{32,}")
 IDENTIFIER = re.compile(r"(?<![A-Za-z0-9])[A-Z0-9]{16,32}(?![A-Za-z0-9])")
 # '=' may stand before a secret (NAME=value, url parameters); after it, it is padding
-SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,128}={0,2}(?![A-Za-z0-9+/_=-])")
+SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+={0,2}(?![A-Za-z0-9+/_=-])")
 ADDRESS = re.compile(r"://[A-Za-z0-9.-]+(?::[0-9]+)?[^\s\"'<>]*")
 _SCHEME = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+.-")
 BLANK = re.compile(r"\n[\x20\t\r]*\n")
@@ -105,7 +105,7 @@ def linked_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     """Weak parts that have their complements nearby, besides the ``base`` spans.
 
     An identifier (16 to 32 capitals and digits, both present) needs a secret in its scope, a secret
-    (24 characters or more of mixed case with digits) an identifier, an endpoint both. Base spans
+    (24 characters or more, however many, of mixed case with digits) an identifier, an endpoint both. Base spans
     serve as complements: access keys as identifiers, the other kinds as secrets.
     """
     taken = _Parts([(s, e) for s, e, _ in base])

@@ -62,6 +62,17 @@ def test_secrets_after_an_equals_sign():
     assert found(f"{KEY} {WEAK}=x") == found(f"{KEY} {WEAK}===") == []  # a name, or no padding
 
 
+def test_long_secrets():
+    def found(text):
+        return [(s, e) for s, e, k in secrets.linked_spans(text, secrets.base_spans(text)) if k == 4]
+
+    for n in (23, 24, 128, 129, 130, 1000, 1_000_000):
+        long = (WEAK * (n // len(WEAK) + 1))[:n]
+        for pad in ("", "=", "=="):
+            assert found(f"{KEY} {long}{pad} x") == ([(17, 17 + n + len(pad))] if n >= 24 else []), n
+        assert found(f"{KEY} {long}=== x") == []
+
+
 def test_endpoints_match_the_pattern():
     pattern = re.compile(r"[a-z][a-z0-9+.-]*://[A-Za-z0-9.-]+(?::[0-9]+)?[^\s\"'<>]*")
     r = random.Random(1)
