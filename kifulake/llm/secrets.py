@@ -89,14 +89,15 @@ class _Parts:
         i = bisect_left(self.starts, end) - 1
         return i >= 0 and self.reach[i] > start
 
-    def near(self, start: int, end: int, breaks: list[int]) -> bool:
-        """Whether a span of these, other than this one, lies within reach and scope of [start, end)."""
+    def near(self, start: int, end: int, breaks: list[int], inside: bool = False) -> bool:
+        """Whether a span of these, other than this one, lies within reach and scope of [start, end);
+        with ``inside`` one that overlaps it counts as well."""
         i = bisect_right(self.starts, end + REACH) - 1
         while i >= 0 and self.reach[i] >= start - REACH:
             s, e = self.spans[i]
             i -= 1
             apart = max(start - e, s - end)
-            if 0 <= apart <= REACH and bisect_right(breaks, min(s, start)) == bisect_right(breaks, max(s, start)):
+            if (inside or apart >= 0) and apart <= REACH and bisect_right(breaks, min(s, start)) == bisect_right(breaks, max(s, start)):
                 return True
         return False
 
@@ -106,7 +107,8 @@ def linked_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
 
     An identifier (16 to 32 capitals and digits, both present) needs a secret in its scope, a secret
     (24 characters or more, however many, of mixed case with digits) an identifier, an endpoint both. Base spans
-    serve as complements: access keys as identifiers, the other kinds as secrets.
+    serve as complements: access keys as identifiers, the other kinds as secrets. Parts in an endpoint
+    are spans of their own and count as its complements.
     """
     taken = _Parts([(s, e) for s, e, _ in base])
 
@@ -123,7 +125,7 @@ def linked_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     out = [(s, e, 3) for s, e in weak_ids if secrets.near(s, e, breaks)]
     out += [(s, e, 4) for s, e in weak_secrets if ids.near(s, e, breaks)]
     out += [
-        (s, e, 5) for s, e in _endpoints(text) if free(s, e) and ids.near(s, e, breaks) and secrets.near(s, e, breaks)
+        (s, e, 5) for s, e in _endpoints(text) if ids.near(s, e, breaks, inside=True) and secrets.near(s, e, breaks, inside=True)
     ]
     return out
 

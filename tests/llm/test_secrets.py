@@ -73,6 +73,18 @@ def test_long_secrets():
         assert found(f"{KEY} {long}=== x") == []
 
 
+def test_endpoints_that_hold_their_credentials():
+    def found(text):
+        return [text[s:e] for s, e, k in secrets.linked_spans(text, secrets.base_spans(text)) if k == 5]
+
+    for url in (f"https://h/x?id={ID}&token=abcdefgh12", f"https://h/{KEY}?sig={WEAK}", f"https://h/?k={KEY}&h=" + "0f" * 16):
+        assert found(f"see {url} x") == [url], url
+    assert found(f"{KEY} https://h/x?token=abcdefgh12") == ["https://h/x?token=abcdefgh12"]
+    assert found(f"{WEAK} https://h/x?id={KEY}") == [f"https://h/x?id={KEY}"]
+    assert found("https://h/x?token=abcdefgh12") == found(f"https://h/{KEY}") == []  # one part alone
+    assert found(f"{KEY}\n\nhttps://h/x?token=abcdefgh12") == []  # another scope
+
+
 def test_endpoints_match_the_pattern():
     pattern = re.compile(r"[a-z][a-z0-9+.-]*://[A-Za-z0-9.-]+(?::[0-9]+)?[^\s\"'<>]*")
     r = random.Random(1)
