@@ -69,24 +69,30 @@ def numbered(df: DataFrame, order: list[Column], out: str, label: str, groups: l
     Rows are dealt into ranges and sorted inside them, so no task sees more than its range however
     the keys are skewed, provided ``order`` tells rows apart; equal rows may swap places, which no
     result can show. With ``groups`` (leading columns of ``order``) places restart in each group.
-    What crosses ranges is one count per range and group; the manifest (``_part``, groups, ``_n``,
-    ``_before``, ``_first``) is as long as the job has partitions plus one row per group, so its
-    join is broadcast: the scheduler bounds it, not the data.
+    What crosses ranges is one count per range and group. Without groups the manifest (its rows are in
+    ``_n``) has a row per partition, which the scheduler bounds, so its join is broadcast; with
+    groups it grows with their number, and the optimiser chooses. Helper columns take names that
+    ``df`` has not, so every column of ``df`` stays as it is.
     """
     groups = groups or []
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    rows = stash(rows, label).withColumn("_part", F.shiftrightunsigned("_at", 33))
-    manifest = rows.groupBy("_part", *groups).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
-    by = ", ".join(f"`{g}`" for g in groups)
-    running = f"sum(_n) over ({'partition by ' + by if by else ''} order by _part rows between unbounded preceding and 1 preceding)"
+    at, part, p, first, before = (free_name(df, f"_{x}") for x in ("at", "part", "p", "first", "before"))
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    rows = stash(rows, label).withColumn(part, F.shiftrightunsigned(at, 33))
+    keys = [F.col(f"`{g}`").alias(f"_g{i}") for i, g in enumerate(groups)]
+    manifest = rows.groupBy(F.col(part).alias("_p"), *keys).agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_first"))
+    by = ", ".join(f"_g{i}" for i in range(len(groups)))
+    running = f"sum(_n) over ({'partition by ' + by if by else ''} order by _p rows between unbounded preceding and 1 preceding)"
     manifest = stash(manifest.withColumn("_before", F.expr(f"coalesce({running}, 0L)")), f"{label}-manifest")
-    lookup = manifest.select(F.col("_part").alias("_p"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], "_first", "_before")
-    on = F.col("_part") == F.col("_p")
-    for i, g in enumerate(groups):
-        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    joined = rows.join(F.broadcast(lookup), on)
-    joined = joined.withColumn(out, F.col("_before") + F.col("_at") - F.col("_first"))
-    return joined.drop("_p", "_at", "_part", "_first", "_before", *[f"_g{i}" for i in range(len(groups))]), manifest
+    own = [free_name(df, f"_g{i}") for i in range(len(groups))]
+    lookup = manifest.select(
+        F.col("_p").alias(p), *[F.col(f"_g{i}").alias(g) for i, g in enumerate(own)], F.col("_first").alias(first), F.col("_before").alias(before)
+    )
+    on = F.col(part) == F.col(p)
+    for g, mine in zip(groups, own, strict=True):
+        on = on & F.col(f"`{g}`").eqNullSafe(F.col(mine))
+    joined = rows.join(lookup if groups else F.broadcast(lookup), on)
+    place = (F.col(before) + F.col(at) - F.col(first)).alias(out)
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], place), manifest
 
 
 # ---- words of a batch of texts, as numpy arrays -------------------------------------------------
@@ -182,3 +188,17 @@ def word_codes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
         out[i:j] = Polynomial(BYTE_CODES[raw[lo:hi]]).span(start[i:j] - lo, end[i:j] - lo)
         i = j
     return out
+
+
+def word_ids(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(id of each word, the distinct words in order of their ids), compared byte by byte."""
+    lengths = end - start
+    offsets = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    edge = np.zeros(len(raw) + 1, np.int8)
+    np.add.at(edge, start, 1)  # a word may begin where another ends, at a row's edge
+    np.add.at(edge, end, -1)
+    data = raw[np.cumsum(edge[:-1], dtype=np.int8) > 0]
+    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = words.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary

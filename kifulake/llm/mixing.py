@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, numbered, row_hash, stash, word_count
@@ -16,30 +16,26 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
 
     Sources take the weights in turn in code point order, null last. A target stops at
     ``max_repeats`` times its source's size; the excess is shared again by weight until none is
-    above. That ends where the sources with the smallest cap per weight are at their cap: sorted by
-    that ratio, source i is capped if the level left by those before it reaches its ratio.
-    One row per source. The windows run over that table alone.
+    above. Each round is one aggregate: the level left by the sources at their cap can only rise, so
+    the set of these grows until it stays. One row per source and no window over them, so there may be
+    as many as there are sites.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1
-    t = sizes.withColumn("w", F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), turn))
-    t = t.withColumn("cap", F.lit(max_repeats).cast("long") * F.col("source_size"))
-    ratio = F.col("cap").cast("double") / F.col("w")
-    order = Window.orderBy(ratio, F.col("source").asc_nulls_last())
-    before, onward = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    t = t.withColumns(
-        {
-            "left": F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0)),
-            "open": F.sum("w").over(onward),
-        }
-    )
-    # exact in integers: cap * open <= left * w says that the level reaches this source's cap
-    t = t.withColumn("capped", (F.col("cap").cast("decimal(38,0)") * F.col("open")) <= (F.col("left").cast("decimal(38,0)") * F.col("w")))
-    # the level is that of the first source that is not capped
-    t = t.withColumn("level_left", F.min_by(F.struct("left", "open"), F.when(~F.col("capped"), F.struct(ratio, F.col("left")))).over(everything))
-    level = F.col("level_left.left").cast("double") * F.col("w") / F.col("level_left.open")
-    return t.select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(level).alias("target"))
+    sizes, _ = numbered(sizes, [F.col("source").asc_nulls_last()], "_turn", "mix-turns")
+    w = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (F.pmod("_turn", F.lit(len(weights))) + 1).cast("int"))
+    t = stash(sizes.select("source", "source_size", w.alias("w"), (F.lit(max_repeats).cast("long") * F.col("source_size")).alias("cap")), "mix-caps")
+    whole = "decimal(38,0)"
+    left = t.agg(F.sum(F.col("source_size").cast(whole))).first()[0] or 0
+    total, open_, n = int(left), int(t.agg(F.sum("w")).first()[0] or 0), -1
+    left = total
+    while True:
+        # exact in integers: cap * open <= left * w says that the level reaches this source's cap
+        capped = F.col("cap").cast(whole) * F.lit(open_).cast("decimal(19,0)") <= F.lit(left).cast(whole) * F.col("w").cast("decimal(19,0)")
+        now = t.agg(F.count_if(capped), F.sum(F.when(capped, F.col("cap").cast(whole))), F.sum(F.when(~capped, F.col("w")))).first()
+        if now[0] == n or not now[2]:
+            break
+        n, left, open_ = now[0], total - int(now[1] or 0), int(now[2])
+    level = F.lit(float(left)) * F.col("w") / F.lit(open_)
+    return t.select("source", "source_size", F.when(capped, F.col("cap").cast("double")).otherwise(level).alias("target"))
 
 
 def offset(source: Column, seed: int) -> Column:
@@ -74,18 +70,19 @@ def mix(
     group = free_name(docs, "_mix_group")
     rows = docs.withColumns({size_col: word_count(F.col("text")) if size is None else size, tie: row_hash(docs), group: F.col("source")})
     order = [F.col(group).asc_nulls_last(), F.col(size_col), F.col("doc_id"), F.col(tie), F.monotonically_increasing_id()]
-    rows, manifest = numbered(rows, order, place, "mix", [group])
+    rows, _ = numbered(rows, order, place, "mix", [group])
     # sizes per source from the numbered table: narrow scan, partial sums, one row per source
-    sizes = rows.groupBy(F.col(group).alias("source")).agg(F.sum(size_col).alias("source_size"))
+    sizes = rows.groupBy(F.col(f"`{group}`").alias("source")).agg(F.sum(size_col).alias("source_size"))
     plan = stash(source_targets(stash(sizes, "mix-sizes"), weights, max_repeats), "mix-targets")
+    name, each, start = (free_name(rows, x) for x in ("_s", "_each", "_start"))
     plan = plan.select(
-        F.col("source").alias("_s"),
+        F.col("source").alias(name),
         F.col("source_size").alias(source_size),
         F.col("target").alias(target),
-        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).cast("decimal(14,12)").alias("_each"),
-        offset(F.col("source"), seed).alias("_start"),
+        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).cast("decimal(14,12)").alias(each),
+        offset(F.col("source"), seed).alias(start),
     )
-    rows = rows.join(plan, F.col(group).eqNullSafe(F.col("_s")))
-    at = lambda p: F.floor(F.col("_start") + F.col("_each") * p.cast("decimal(18,0)"))
-    rows = rows.withColumn(copies, (at(F.col(place) + 1) - at(F.col(place))).cast("int"))
-    return rows.drop("_s", "_each", "_start", place, tie, group)
+    rows = rows.join(plan, F.col(group).eqNullSafe(F.col(name)))
+    at = lambda p: F.floor(F.col(start) + F.col(each) * p.cast("decimal(18,0)"))
+    taken = (at(F.col(place) + 1) - at(F.col(place))).cast("int").alias(copies)
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], size_col, source_size, target, taken)

@@ -4,6 +4,9 @@ import random
 
 from pyspark.sql import types as T
 
+#: Helper columns of operators, as an input may call its own.
+CLASHES = ("_at", "_part", "_p", "_first", "_before", "_g0", "_n", "_s", "_each", "_start", "_tie", "_turn", "_permuted", "_mix_group", "rank", "toks")
+
 DOCS = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -15,6 +18,7 @@ DOCS = T.StructType(
         T.StructField("size", T.StringType()),
         T.StructField("_place", T.StringType()),
         T.StructField("shard", T.StringType()),
+        *[T.StructField(c, T.StringType()) for c in CLASHES],
     ]
 )
 
@@ -39,9 +43,9 @@ def awkward_texts():
 def docs(spark, texts=None, sources=("s1", "s0", None), repeat=True):
     texts = awkward_texts() if texts is None else texts
     data = [
-        (i * 3 % 101 if t is not None else i, t, None if i % 7 == 0 else ("en", "de")[i % 2], sources[i % len(sources)], i, "k", "z", "p", "h")
+        (i * 3 % 101 if t is not None else i, t, None if i % 7 == 0 else ("en", "de")[i % 2], sources[i % len(sources)], i, "k", "z", "p", "h", *CLASHES)
         for i, t in enumerate(texts)
     ]
     if repeat and data:
-        data += [data[5], (None, data[5][1], "en", "s1", None, None, None, None, None)]
+        data += [data[5], (None, data[5][1], "en", "s1", None, None, None, None, None, *CLASHES)]
     return spark.createDataFrame(data, DOCS)

@@ -4,7 +4,7 @@ import re
 from collections import Counter, defaultdict
 from fractions import Fraction
 
-from rows import DOCS, docs, prose
+from rows import CLASHES, DOCS, docs, prose
 
 from kifulake.llm import mixing
 
@@ -45,6 +45,7 @@ def compare(d):
     plain = lambda rs: Counter((r.doc_id, r.text, r.source, r._mix_copies) for r in rs)
     assert plain(got) == plain(again)
     assert [f for f in d.columns if f not in got[0].asDict()] == []
+    assert all(r[c] == c for r in got for c in CLASHES)
 
 
 def test_awkward(spark):
@@ -66,3 +67,13 @@ def test_hot_source_is_not_one_task(spark):
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert manifest.count() > 1 and manifest.agg({"_n": "max"}).first()[0] < 4000
     assert sorted(r.n for r in rows.select("n").collect()) == list(range(4000))
+
+
+def test_a_source_per_site(spark):
+    """Many sources: shares by exact rounds, and no window or hinted broadcast over them."""
+    sizes = spark.range(3000).selectExpr("if(id = 7, null, concat('site-', id)) source", "(id * id * 7919) % 5003 * (id % 3) source_size")
+    plan = mixing.source_targets(sizes)
+    got = {r.source: r for r in plan.collect()}
+    want = targets({s: r.source_size for s, r in got.items()})
+    assert all(abs(r.target - float(want[s])) <= 1e-6 for s, r in got.items())
+    assert "Window" not in plan._jdf.queryExecution().toString()

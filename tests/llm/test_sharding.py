@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
-from rows import DOCS, docs
+from rows import CLASHES, DOCS, docs
 
 from kifulake.llm import sharding
 from kifulake.llm.queries import QUERIES, SHARD_SEED, SHARDS
@@ -43,6 +43,7 @@ def test_awkward(spark):
     rows = sharding.shard(d, 4, 5).collect()
     counts = Counter(r.shard for r in rows)
     assert len(rows) == d.count() and max(counts.values()) - min(counts.values()) <= 1
+    assert all(r[c] == c for r in rows for c in CLASHES)
     assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(c)) for s, c in counts.items())
     plain = lambda rs: Counter((r.doc_id, r.text, r.n_chars, r.shard, r.slot) for r in rs)
     assert plain(rows) == plain(sharding.shard(d.repartition(3), 4, 5).collect())
