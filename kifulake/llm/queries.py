@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontaminate, language, mixing, quality, secrets, sharding, simhash, substrings, url_filter, warc
+from . import decontaminate, language, mixing, quality, resampling, secrets, sharding, simhash, substrings, url_filter, warc
 from .common import table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -260,3 +260,38 @@ FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 def op7_recompressed_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _resample_features(name: str) -> str:
+    return f"""SELECT {name}_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM {name}"""
+
+
+@query(
+    "op13_resample_target",
+    rf"""
+WITH doc AS (SELECT doc_id, {_BENCH_WORDS} AS w FROM documents),
+item AS (SELECT item_id, {_BENCH_WORDS} AS w FROM benchmark),
+df AS (SELECT doc_id, f, count(*) AS n FROM ({_resample_features('doc')}) GROUP BY 1, 2),
+tf AS (SELECT f, count(*) AS n FROM ({_resample_features('item')}) GROUP BY 1),
+u AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM df UNION SELECT f FROM tf)),
+y AS (SELECT f, list_transform(range(1, strlen(h) + 1, 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT) AS bytes FROM u),
+c AS MATERIALIZED (
+  SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: {_crc_half(_crc_half('xor(c, x)'))}), 4294967295) % 10000 AS b FROM y),
+n AS (
+  SELECT b, coalesce(sum(s), 0)::DOUBLE AS s, coalesce(sum(t), 0)::DOUBLE AS t
+  FROM (SELECT f, sum(n) AS s, NULL AS t FROM df GROUP BY 1 UNION ALL SELECT f, NULL, n FROM tf) JOIN c USING (f) GROUP BY 1),
+g AS (
+  SELECT b, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM n) + 10000) / ((s + 1) * ((SELECT sum(t) FROM n) + 10000))))::BIGINT AS gain FROM n),
+w AS (SELECT doc_id, sum(df.n)::BIGINT AS n_features, floor(sum(df.n * gain) / sum(df.n)::DOUBLE)::BIGINT AS weight FROM df JOIN c USING (f) JOIN g USING (b) GROUP BY 1),
+h AS (SELECT doc_id, len(w) AS n_words, ('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT AS h FROM doc),
+s AS (
+  SELECT doc_id, n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         (coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))))::BIGINT AS score
+  FROM h LEFT JOIN w USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) FROM r) * 25 // 100 THEN rank END AS rank FROM s LEFT JOIN r USING (doc_id)
+""",
+)
+def op13_resample_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return resampling.resample(docs, target).select("doc_id", "n_features", "weight", "score", "rank")
