@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontaminate, language, mixing, negatives, quality, resampling, secrets, sharding, simhash, substrings, url_filter, warc
+from . import decontaminate, language, mixing, negatives, quality, resampling, secrets, set_join, sharding, simhash, substrings, url_filter, warc
 from .common import table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -318,3 +318,8 @@ SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
 )
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_parity_join")
+def op11_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.linked_sets(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
