@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401 - loads pa.compute
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +37,16 @@ def stash(df: DataFrame, label: str) -> DataFrame:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stash_path = path
+    return out
+
+
+def discard(stashed: DataFrame) -> None:
+    """Delete the folder of a stashed table that nothing still to be computed reads."""
+    spark = stashed.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(stashed._stash_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -202,3 +212,11 @@ def word_ids(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
     coded = words.dictionary_encode()
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
+def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit codes per word: the halves of XXH3's 128 bits over its bytes, taken once per distinct word."""
+    ids, words = word_ids(raw, start, end)
+    both = b"".join(xxhash.xxh3_128_digest(w) for w in words.to_pylist())
+    halves = np.frombuffer(both, ">u8").astype(np.uint64).reshape(-1, 2)
+    return halves[ids, 0], halves[ids, 1]

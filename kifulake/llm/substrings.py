@@ -19,12 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BASE, WHITE, Polynomial, mix, numbered, slices, stash, text_bytes, word_codes, word_spans
+from .common import BASE, WHITE, Polynomial, mix, numbered, slices, stash, text_bytes, word_hashes, word_spans
 
 WINDOW = 20
 ROUNDS = 4
 _FAR = np.int64(1) << 40
 _INDEX_BITS = 26
+PIECE = 1 << 24  # words that are worked at a time
 _SECOND = 0xD6E8FEB86659FD93  # base of the second window hash
 
 
@@ -99,8 +100,6 @@ def elect(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     name, lo, hi = recompress(codes, first)
     good = hi - lo <= WINDOW
     name, lo, hi = name[good], lo[good], hi[good]
-    if len(name) >= 1 << _INDEX_BITS:
-        raise ValueError("a text has more symbols than a stretch number can hold")
     key = mix(poly.span(lo, hi) ^ name)
     best = np.full(n, np.iinfo(np.uint64).max)
     packed = (key >> np.uint64(_INDEX_BITS) << np.uint64(_INDEX_BITS)) | np.arange(len(key), dtype=np.uint64)
@@ -125,6 +124,20 @@ def elect(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys, place[head], size
 
 
+def elect_in_pieces(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`elect`, ``PIECE`` windows at a time.
+
+    What a window elects depends on its own words alone, so a piece only needs the words of its windows. A
+    stretch that a cut runs through becomes two of one key, which are then compared like any found again.
+    """
+    parts = []
+    for a in range(0, max(1, len(codes)), PIECE):
+        z = min(len(codes), a + PIECE + WINDOW - 1)
+        key, head, size = elect(codes[a:z], np.clip(first, a, z) - a)
+        parts.append((key, head + a, size))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def _words(texts: pa.Array):
     raw, offsets = text_bytes(texts)
     start, end, first = word_spans(raw, offsets, ~WHITE[raw])
@@ -139,7 +152,7 @@ def _stretches(rows: DataFrame) -> DataFrame:
         for whole in batches:
             for b in slices(whole, "text"):
                 raw, start, end, first = _words(b.column("text"))
-                key, head, size = elect(word_codes(raw, start, end), first)
+                key, head, size = elect_in_pieces(word_hashes(raw, start, end)[0], first)
                 at = np.searchsorted(first, head, "right") - 1
                 span = (head - first[at]) * 32 + size
                 take = pa.array(at)
@@ -210,12 +223,12 @@ def _window_rows(rows: DataFrame, start_bits: int) -> DataFrame:
         for whole in batches:
             for b in slices(whole, "text"):
                 raw, start, end, first = _words(b.column("text"))
-                codes = word_codes(raw, start, end)
+                codes, others = word_hashes(raw, start, end)
                 at = np.flatnonzero(_unpack_open(first, *_lists(b.column("open"))))
                 row = np.searchsorted(first, at, "right") - 1
                 doc = b.column("doc_no").to_numpy(zero_copy_only=False).astype(np.int64)[row]
                 k1 = Polynomial(codes).span(at, at + WINDOW)
-                k2 = Polynomial(mix(codes), _SECOND).span(at, at + WINDOW)
+                k2 = Polynomial(others, _SECOND).span(at, at + WINDOW)
                 place = doc << start_bits | (at - first[row])
                 for i in range(0, len(at), 1 << 18):
                     cut = slice(i, i + (1 << 18))
@@ -287,6 +300,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     minimised, before the shuffle where possible, so a passage in a third of all documents is no hot
     task. Texts move once for (2), and those with open windows once more for (4).
 
+    Words are told apart by 128 bits over their bytes, however long they are. Texts are worked in pieces,
+    so a row may have any number of words that a task can hold.
+
     Null and word-free texts keep nothing and lose nothing. Rows equal in doc_id and text are one
     document and get the same result.
     """

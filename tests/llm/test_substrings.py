@@ -84,6 +84,31 @@ def test_equal_windows_elect_alike():
     assert sum(size.tolist()) == int(substrings.window_starts(first).sum())
 
 
+def test_words_of_equal_hash_structure(spark):
+    """Long words that a polynomial modulo 2^64 cannot tell apart: the Thue-Morse text and its complement."""
+    lead = " ".join(f"w{i}" for i in range(19))
+    texts = []
+    for n in (1024, 2048, 4096):
+        bits = [bin(i).count("1") & 1 for i in range(n)]
+        texts += [f"{lead} " + "".join("ab"[b ^ flip] for b in bits) for flip in (0, 1)]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = run(d)
+    assert all(g[2] == 0 for g in got)
+    compare(d, got)
+
+
+def test_pieces(monkeypatch):
+    """A text worked in pieces elects the same keys window by window."""
+    r = np.random.default_rng(5)
+    codes = r.integers(1, 30, 2000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    first = np.array([0, 90, 90, 1900, 2000])
+    spread = lambda parts: {h + j: k for k, h, s in zip(*(x.tolist() for x in parts), strict=True) for j in range(s)}
+    whole = spread(substrings.elect(codes, first))
+    for piece in (1, 64, 777):
+        monkeypatch.setattr(substrings, "PIECE", piece)
+        assert spread(substrings.elect_in_pieces(codes, first)) == whole
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     got = [((r.doc_id is not None, r.doc_id or 0), r.n_words, r.n_removed, r.kept_sha256) for r in QUERIES["op7_recompressed_repeats"](spark, sf).collect()]
