@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITE, mix, numbered, slices, stash, text_bytes, word_ids, word_spans
+from .common import WHITE, discard, mix, numbered, slices, stash, text_bytes, word_ids, word_spans
 from .components import components
 from .decontaminate import FOLD
 
@@ -127,13 +127,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, n, k1, k2, signatures) per row: size, 128-bit identity and block signatures of its set.
+    """(doc_id, text_hash, n, k1, k2, signatures, sketch) per row: size, 128-bit identity, block signatures
+    and short sketch of its set.
 
     Identity is two sums over the hashes; sets that agree in both and in size are one.
     """
     rows = _keyed(docs)
     longs = [T.StructField(c, T.LongType()) for c in ("text_hash", "n", "k1", "k2")]
-    schema = T.StructType([rows.schema["doc_id"], *longs, T.StructField("signatures", T.ArrayType(T.LongType()))])
+    schema = T.StructType([rows.schema["doc_id"], *longs, *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("signatures", "sketch")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -147,9 +148,9 @@ def sets(docs: DataFrame) -> DataFrame:
                 upto = np.concatenate(([0], np.cumsum([len(x) for x in sig]))).astype(np.int32)
                 flat = np.concatenate(sig) if sig else np.zeros(0, np.uint64)
                 lists = pa.ListArray.from_arrays(pa.array(upto), pa.array(flat.view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), b.column("text_hash"), pa.array(n), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), lists], schema.names
-                )
+                short = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * SMALL), pa.array(_small(h, first).view(np.int64)))
+                longs = [pa.array(x) for x in (n, k1.view(np.int64), k2.view(np.int64))]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), *longs, lists, short], schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -183,27 +184,15 @@ def _linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * shared >= PERCENT * (len(both) - shared)
 
 
-def _sketch_table(toks: DataFrame) -> DataFrame:
-    """(node, n, sketch): a sketch of about one bit per shingle to bound a pair's difference before its sets move."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            col = b.column("toks")
-            out = [_small(_list(col, i).view(np.uint64)).view(np.int64) for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("node"), pa.array([len(_list(col, i)) for i in range(b.num_rows)], pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["node", "n", "sketch"]
-            )
-
-    return toks.mapInArrow(run, "node long, n long, sketch array<long>")
-
-
-#: Words of the sketches that pairs are held against: sets of any size meet, so one width for all.
+#: Words of the short sketches that all pairs are held against; blocks tell large sets apart.
 SMALL = 8
 
 
-def _small(h: np.ndarray) -> np.ndarray:
-    out = np.zeros(SMALL, np.uint64)
-    np.bitwise_xor.at(out, (h % np.uint64(SMALL)).astype(np.int64), np.uint64(1) << ((h >> np.uint64(20)) & np.uint64(63)))
+def _small(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Parity sketches of ``SMALL`` words of the sets that ``first`` delimits, one after the other."""
+    out = np.zeros((len(first) - 1) * SMALL, np.uint64)
+    at = np.repeat(np.arange(len(first) - 1), np.diff(first)) * SMALL + (h % np.uint64(SMALL)).astype(np.int64)
+    np.bitwise_xor.at(out, at, np.uint64(1) << ((h >> np.uint64(20)) & np.uint64(63)))
     return out
 
 
@@ -219,8 +208,11 @@ def _near(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     return both.where((apart <= allowed) & (F.abs(F.col("n_u") - F.col("n_v")) <= allowed)).select("u", "v")
 
 
-def _verified(pairs: DataFrame, toks: DataFrame) -> DataFrame:
-    """The pairs whose sets are linked."""
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose sets are linked. Only texts that stand in a pair are read into sets again."""
+    pairs = stash(pairs, "near-pairs")
+    wanted = stash(nodes.select("node", *KEYS).join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi"), "wanted-sets")
+    toks = stash(_arrays(docs, wanted), "shingle-sets")
     p = lambda side: toks.select(F.col("node").alias(side), F.col("toks").alias(f"t_{side}"))
     both = pairs.join(p("u"), "u").join(p("v"), "v")
 
@@ -231,7 +223,9 @@ def _verified(pairs: DataFrame, toks: DataFrame) -> DataFrame:
             ok = pa.array([_linked(_list(x, i), _list(y, i)) for i in range(b.num_rows)], pa.bool_())
             yield from t.select(["u", "v"]).filter(ok).to_batches()
 
-    return both.mapInArrow(run, "u long, v long")
+    found = stash(both.mapInArrow(run, "u long, v long"), "set-links")
+    discard(toks)
+    return found
 
 
 def _roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -281,7 +275,7 @@ def _strays(members: DataFrame, prints: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(u, v) over ``nodes`` (node, doc_id, text_hash, n, signatures): links that join up all linked sets.
+    """(u, v) over ``nodes`` (node, doc_id, text_hash, n, signatures, sketch): links that join up all linked sets.
 
     Sets meet in the buckets of their block signatures. Buckets of up to ``BUCKET`` sets pair their
     members. A larger one is settled without pairs: its most central member, the one that lies in most
@@ -295,7 +289,6 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     few = members.where(F.col("m") <= BUCKET).select("key", "node")
     other = few.select("key", F.col("node").alias("v"))
     pairs = few.withColumnRenamed("node", "u").join(other, "key").where("u > v").select("u", "v").distinct()
-    pairs = stash(pairs, "set-pairs")
 
     dense = members.where(F.col("m") > BUCKET)
     centrality = dense.groupBy("node").agg(F.sum("m").alias("w"))
@@ -304,11 +297,8 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     family = stash(dense.join(pivot(dense, ["key"]), "key").select("centre", "node").distinct(), "families")
 
     star = lambda f: f.where("centre <> node").select(F.greatest("centre", "node").alias("u"), F.least("centre", "node").alias("v")).distinct()
-    pairs = pairs.union(star(family)).distinct()
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).union(family.select("node")).distinct()
-    toks = stash(_arrays(docs, nodes.join(wanted, "node", "left_semi")), "shingle-sets")
-    prints = stash(_sketch_table(toks), "small-sketches")
-    found = stash(_verified(stash(_near(pairs, prints), "near-pairs"), toks), "set-links")
+    prints = nodes.select("node", "n", "sketch")
+    found = _verified(_near(pairs.union(star(family)).distinct(), prints), docs, nodes)
     if family.isEmpty():
         return found
     slim = nodes.select("node")
@@ -320,14 +310,15 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             return found
         strays = strays.withColumnRenamed("centre", "old").join(weight, "node")
         again = strays.join(pivot(strays, ["old"]), "old").select("centre", "node").distinct()
-        more = stash(_verified(_near(star(again), prints), toks), "set-links")
+        more = _verified(_near(star(again), prints), docs, nodes)
+        if more.isEmpty():
+            break
         found = stash(found.union(more).distinct(), "set-links")
     roots = stash(_roots(slim, found), "set-roots")
     rest = stash(_remaining(family, roots), "open-families")
     if rest.isEmpty():
         return found
-    last = stash(_strays(rest, prints).distinct(), "stray-pairs")
-    return stash(found.union(_verified(last, toks)).distinct(), "set-links")
+    return stash(found.union(_verified(_strays(rest, prints).distinct(), docs, nodes)).distinct(), "set-links")
 
 
 def linked_sets(docs: DataFrame) -> DataFrame:
@@ -342,8 +333,11 @@ def linked_sets(docs: DataFrame) -> DataFrame:
     rows = stash(sets(docs), "sets")
     identity = ["n", "k1", "k2"]
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
-    nodes = rows.where("n > 0").groupBy(*identity).agg(least.alias("m"), F.any_value("signatures").alias("signatures"))
-    nodes, _ = numbered(nodes.select("m.*", *identity, "signatures"), [F.col(c) for c in ("k1", "k2", "n")], "node", "set-nodes")
+    nodes = rows.where("n > 0").groupBy(*identity).agg(least.alias("m"), *[F.any_value(c).alias(c) for c in ("signatures", "sketch")])
+    nodes, _ = numbered(nodes.select("m.*", *identity, "signatures", "sketch"), [F.col(c) for c in ("k1", "k2", "n")], "node", "set-nodes")
+    whole, rows = rows, stash(rows.select(*KEYS, *identity), "set-identities")
+    nodes = stash(nodes, "set-nodes")
+    discard(whole)
     roots = _roots(nodes.select("node"), links(docs, nodes))
     named = nodes.select("node", "doc_id", *identity).join(roots, "node")
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
