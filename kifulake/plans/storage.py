@@ -9,7 +9,7 @@ from ..functions.scores import r as rnd
 from ..operators import boards, filters, games
 from ..session import scratch_path
 from ..sources import documents, records
-from ..streaming import snapshots
+from ..streaming import games as stream_games, snapshots
 from . import adapters as ad
 from .oracle_text import games as games_sql, r
 from .positions import as_text
@@ -212,3 +212,41 @@ def games_from_files(spark, sf):
     back = back.select(F.lit(0).alias("file_id"), F.col("global_idx").alias("rec_idx"), "game_ply")
     g = games.segment_games(back, ply_col="game_ply", block_rows=1024)
     return g.groupBy("game_seq").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _arrivals(spark, sf, label, flow):
+    """The events as record files that come in two waves. ``flow`` (stream -> stream) runs to the end of each
+    from one checkpoint, so the second is a restart; the table it wrote. ``move16`` holds the game file."""
+    rows = ad.v_pos(spark, sf).select(
+        "rec_idx", F.lit(b"\0" * 32).alias("sfen"), F.col("score").cast("smallint").alias("score"), F.col("file_id").alias("move16"),
+        F.col("ply").alias("game_ply"), F.col("result").cast("tinyint").alias("game_result"),
+    )
+    half = (rows.agg(F.max("rec_idx")).first()[0] or 0) // 2
+    folder, table, checkpoint = (scratch_path(spark, f"{label}-{x}") for x in ("files", "table", "checkpoint"))
+    for wave in (F.col("rec_idx") < half, F.col("rec_idx") >= half):
+        records.write_records(rows.where(wave), folder, "psv", ["rec_idx"], files=3)
+        stream = records.stream_records(spark, folder, record="psv", columns="global_idx,score,move16,game_ply,game_result", recordsPerPartition=4096)
+        stream_games.run_to_table(flow(stream), table, checkpoint)
+    return spark.read.parquet(table)
+
+
+@query(
+    "stream_record_scan",
+    "SELECT rec_idx AS global_idx, file_id AS move16, CAST(score AS SMALLINT) AS score, ply AS game_ply, CAST(result AS TINYINT) AS game_result FROM v_pos",
+    ("v_pos",),
+)
+def stream_record_scan(spark, sf):
+    """Record files read as they arrive, over a restart, with their global record numbers."""
+    return _arrivals(spark, sf, "arriving-records", lambda s: s)
+
+
+@query(
+    "stream_games",
+    """SELECT file_id, rec_idx, ply, CAST(sum(CASE WHEN ply <= coalesce(prev, 1000000) THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY rec_idx) - 1 AS BIGINT) AS game
+       FROM (SELECT *, lag(ply) OVER (PARTITION BY file_id ORDER BY rec_idx) AS prev FROM v_pos)""",
+    ("v_pos",),
+)
+def stream_game_cutting(spark, sf):
+    """Games of eight files whose records arrive in two waves: those that straddle a wave go on."""
+    cut = lambda s: stream_games.segment_games_stream(s.select(F.col("move16").alias("file_id"), F.col("global_idx").alias("rec_idx"), F.col("game_ply").alias("ply")))
+    return _arrivals(spark, sf, "arriving-games", cut)

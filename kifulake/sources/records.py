@@ -5,16 +5,18 @@ records, so one huge file is read by many tasks; record indices come from the by
 and need no pass over the data, nor do global numbers (``global_idx``: file sizes in list order
 before the file, plus the place in it). ``df.write.format("position_records")`` writes one file per
 partition, named by write and partition, and publishes them only on commit; a later append
-sorts behind what is there.
+sorts behind what is there. ``spark.readStream`` follows a folder as files come: offsets are a file
+and a record in it, so that a query that stops goes on from its checkpoint in mid-file.
 
 Options: ``record`` (psv, hcpe or f64; default by file extension), ``start`` and ``end``
 (aligned byte range within one file), ``trailing`` (error or ignore), ``columns`` (comma list;
-unlisted fields are never built), ``recordsPerPartition``, ``expectedRecords``.
+unlisted fields are never built), ``recordsPerPartition``, ``expectedRecords``; for streams ``recordsPerTrigger``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import re
@@ -26,6 +28,7 @@ from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
+    DataSourceStreamReader,
     EqualTo,
     GreaterThan,
     GreaterThanOrEqual,
@@ -41,6 +44,7 @@ from .files import filesystem, list_files, qualified
 FORMAT = "position_records"
 CHUNK = 65_536  # records per Arrow batch
 PER_PARTITION = 4_000_000  # 160 MB of 40-byte records
+COMMIT_THREADS = 16  # renames at a time
 MAX_PARTITIONS = 100_000  # the driver plans one object each; ranges grow beyond that many
 
 # Record layouts, little endian.
@@ -168,6 +172,72 @@ class RecordReader(DataSourceReader):
         return pa.RecordBatch.from_pydict(cols)
 
 
+class RecordStream(DataSourceStreamReader):
+    """The records of a growing list of files, in list order.
+
+    An offset ``{file, record, name}`` stands for all files before number ``file`` and the first
+    ``record`` records of it. The last file may still grow, by whole records; new files must sort
+    behind it, as those of the sink do, else the query fails rather than skip or repeat any.
+    ``recordsPerTrigger`` bounds a micro-batch, counted from what this reader has handed out: the first
+    batch after a restart takes all that has come meanwhile.
+    """
+
+    def __init__(self, kind: str, columns: list[str], options):
+        self.reader, self.options, self.at = RecordReader(kind, columns, options), options, None
+        self.size_of = LAYOUTS[kind].itemsize
+
+    def _files(self) -> list[tuple[str, int]]:
+        try:
+            return [(path, size // self.size_of) for path, size in list_files(self.options["path"])]
+        except FileNotFoundError:  # nothing has come yet
+            return []
+
+    def initialOffset(self) -> dict:
+        self.at = {"file": 0, "record": 0, "name": ""}
+        return self.at
+
+    def latestOffset(self) -> dict:
+        files = self._files()
+        if not files:
+            return self.at or self.initialOffset()
+        file, record = len(files) - 1, files[-1][1]
+        most = self.options.get("recordspertrigger")
+        if most is not None and self.at is not None:
+            file, record, left = self.at["file"], self.at["record"], int(most)
+            while True:
+                take = min(left, files[file][1] - record)
+                record, left = record + take, left - take
+                if not left or file + 1 == len(files):
+                    break
+                file, record = file + 1, 0
+        self.at = {"file": file, "record": record, "name": _name(files[file][0])}
+        return self.at
+
+    def partitions(self, start: dict, end: dict):
+        files, self.at = self._files(), end
+        for offset in (start, end):
+            if offset["name"] and (offset["file"] >= len(files) or _name(files[offset["file"]][0]) != offset["name"]):
+                raise ValueError(f"{offset['name']} is no longer file {offset['file']}: a file was removed, or one came that sorts before it")
+        per = int(self.options.get("recordsperpartition", PER_PARTITION))
+        parts, before = [], sum(n for _, n in files[: start["file"]])
+        for i in range(start["file"], min(end["file"] + 1, len(files))):
+            path, n = files[i]
+            low = start["record"] if i == start["file"] else 0
+            high = end["record"] if i == end["file"] else n
+            if high > n:
+                raise ValueError(f"{path} has become shorter than what was read of it")
+            parts += [RecordRange(path, i, s, min(s + per, high), before) for s in range(low, high, per)]
+            before += n
+        return parts
+
+    def read(self, part: RecordRange) -> Iterator[pa.RecordBatch]:
+        return self.reader.read(part)
+
+
+def _name(path: str) -> str:
+    return path.rsplit("/", 1)[-1]
+
+
 @dataclass
 class Written(WriterCommitMessage):
     temporary: str
@@ -227,11 +297,9 @@ class RecordWriter(DataSourceArrowWriter):
         taken = [f.path for f in fs.get_file_info([m.final for m in moves]) if f.type != pafs.FileType.NotFound] if moves else []
         if taken:
             raise FileExistsError(f"another write has published {taken[0]}")
-        for m in moves:
-            fs.move(m.temporary, m.final)
-        for m in messages:
-            if m and not m.records:
-                fs.delete_file(m.temporary)
+        with ThreadPoolExecutor(COMMIT_THREADS) as pool:
+            list(pool.map(lambda m: fs.move(m.temporary, m.final), moves))
+            list(pool.map(lambda m: fs.delete_file(m.temporary), [m for m in messages if m and not m.records]))
         fs.open_output_stream(f"{base}/_SUCCESS").close()
 
     def abort(self, messages) -> None:
@@ -265,6 +333,10 @@ class PositionRecords(DataSource):
         kind, columns = self._columns()
         return RecordReader(kind, columns, {k.lower(): v for k, v in self.options.items()})
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        kind, columns = self._columns()
+        return RecordStream(kind, columns, {k.lower(): v for k, v in self.options.items()})
+
     def writer(self, schema, overwrite: bool):
         path = self.options["path"]
         return RecordWriter(record_kind(path, self.options), path, overwrite)
@@ -285,6 +357,12 @@ def read_records(spark, path: str, **options):
     return spark.read.format(FORMAT).options(path=qualified(spark, path), **{k: str(v) for k, v in options.items()}).load()
 
 
+def stream_records(spark, path: str, **options):
+    """The records of files that arrive, as a stream; columns and options as in :func:`read_records`."""
+    _register(spark)
+    return spark.readStream.format(FORMAT).options(path=qualified(spark, path), **{k: str(v) for k, v in options.items()}).load()
+
+
 def read_psv(spark, path: str, **options):
     return read_records(spark, path, record="psv", **options)
 
