@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import squares
 from ..functions.scores import sigmoid
 from ..session import materialise
-from ..sources.documents import write_epoch_weights
+from ..sources.documents import latest_snapshot, write_epoch_weights, write_version
 from . import games
 from .features import with_kp_ids
 from .surveys import score_bucket
@@ -126,13 +128,43 @@ def training_table(positions: DataFrame, fraction: float, games_per_step: int, m
     return seq.join(ids, "pos_id").select("is_val", "step_id", "game_seq", "pos_id", "idx", "target", "norm")
 
 
-def store_steps(rows: DataFrame) -> DataFrame:
-    """The training table with a folder per side and step, so that a step reads its own files alone.
+@dataclass(frozen=True)
+class StepStore:
+    """The training table clustered by side and step, with the steps that each of its files holds.
 
-    Rows are dealt into ranges of (side, step) first: a task writes few folders, and a large step
-    is spread over tasks by position.
+    There are as many files as write tasks, however many steps: nothing is listed per step. ``spans`` has
+    a row per file and side, (path, is_val, first step, last step).
     """
-    return materialise(rows.repartitionByRange("is_val", "step_id", "pos_id"), "progress-steps", ["is_val", "step_id"])
+
+    spark: SparkSession
+    schema: T.StructType
+    spans: tuple[tuple[str, bool, int, int], ...]
+
+    def files(self, is_val: bool, step: int | None = None) -> list[str]:
+        return sorted(p for p, side, lo, hi in self.spans if side == is_val and (step is None or lo <= step <= hi))
+
+    def read(self, is_val: bool, step: int | None = None) -> DataFrame:
+        """The rows of a side, or of one of its steps: only the files that hold them are opened."""
+        files = self.files(is_val, step)
+        if not files:
+            return self.spark.createDataFrame([], self.schema)
+        rows = self.spark.read.schema(self.schema).parquet(*files).where(F.col("is_val") == is_val)
+        return rows if step is None else rows.where(F.col("step_id") == step)
+
+    def last_step(self) -> int | None:
+        return max((hi for _, side, _, hi in self.spans if not side), default=None)
+
+
+def store_steps(rows: DataFrame) -> StepStore:
+    """Write the training table in ranges of (side, step, position), sorted inside.
+
+    A large step is spread over many files, many small steps share one, where row groups and pages are
+    skipped by their bounds.
+    """
+    order = ["is_val", "step_id", "pos_id"]
+    table = materialise(rows.repartitionByRange(*order).sortWithinPartitions(*order), "progress-steps")
+    spans = table.groupBy(F.col("_metadata.file_path").alias("path"), "is_val").agg(F.min("step_id").alias("lo"), F.max("step_id").alias("hi")).collect()
+    return StepStore(rows.sparkSession, table.schema, tuple((r.path, r.is_val, r.lo, r.hi) for r in spans))
 
 
 def _forward(batch: pa.RecordBatch, w: np.ndarray):
@@ -184,6 +216,54 @@ def step_gradient(rows: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, flo
     return grad, extra.get(-1, 0.0), int(extra.get(-2, 0)), hist
 
 
+@dataclass
+class TrainState:
+    """Where a training stands: weights, both moments, steps taken, and the epoch and step that come next."""
+
+    w: np.ndarray
+    m: np.ndarray
+    v: np.ndarray
+    t: int = 0
+    epoch: int = 1
+    step: int = 0
+    loss: float = 0.0  # of the epoch so far
+    samples: int = 0
+
+    @classmethod
+    def start(cls, init: np.ndarray | None = None) -> TrainState:
+        w = np.zeros(N_WEIGHTS) if init is None else init.astype(float).copy()
+        return cls(w, np.zeros_like(w), np.zeros_like(w))
+
+    def take(self, g: np.ndarray, rate: float) -> None:
+        """One Adam step."""
+        self.t += 1
+        self.m, self.v = BETA1 * self.m + (1 - BETA1) * g, BETA2 * self.v + (1 - BETA2) * g * g
+        self.w = self.w - rate * (self.m / max(1 - BETA1**self.t, FLOOR)) / (np.sqrt(self.v / max(1 - BETA2**self.t, FLOOR)) + EPS)
+
+
+_STATE = ("t", "epoch", "step", "loss", "samples")
+
+
+def save_state(spark: SparkSession, state: TrainState, path: str) -> None:
+    """Write a training's state as the next version below ``path``; readers see it once it is complete."""
+    columns = {"idx": pa.array(np.arange(len(state.w), dtype=np.int32)), **{c: pa.array(getattr(state, c)) for c in "wmv"}}
+    rows = spark.createDataFrame(pa.table(columns)).withColumns({c: F.lit(getattr(state, c)) for c in _STATE})
+    write_version(rows.coalesce(1), path, "parquet")
+
+
+def load_state(spark: SparkSession, path: str) -> TrainState | None:
+    """The newest complete state below ``path``, None if there is none yet."""
+    try:
+        rows = spark.read.parquet(latest_snapshot(path, spark)).toArrow()
+    except FileNotFoundError:
+        return None
+    if rows.num_rows != N_WEIGHTS:
+        raise ValueError(f"a stored state has {rows.num_rows} weights, a model {N_WEIGHTS}")
+    rows = rows.sort_by("idx")
+    scalars = {c: rows[c][0].as_py() for c in _STATE}
+    return TrainState(*[np.array(rows[c]) for c in "wmv"], **scalars)
+
+
 def progress_train(
     positions: DataFrame,
     epochs: int,
@@ -194,38 +274,48 @@ def progress_train(
     max_games: int = 0,
     init: np.ndarray | None = None,
     on_epoch=None,
+    state_path: str | None = None,
+    save_every: int = 0,
 ) -> tuple[np.ndarray, list[dict]]:
-    """Train the model and return its weights and one record per epoch.
+    """Train the model up to ``epochs`` epochs and return its weights and one record per epoch run.
 
     One job per optimiser step: choose ``games_per_step`` so that a step fills the cluster.
     ``on_epoch(epoch, weights)`` is called after each epoch; :func:`store_epochs` makes one that
     writes to the checkpoint sink, and :func:`start_weights` reads an earlier model's table as
     ``init``. Fails when no training game is left.
+
+    With ``state_path`` the whole state is stored after every epoch, and every ``save_every`` steps, each
+    time as a new version. A call that finds a state there goes on from it, in mid-epoch too, and ends
+    where an unbroken run would; ``init`` then counts for nothing. An epoch's ``on_epoch`` runs before its state is
+    stored, so one that is run again writes the same epoch again.
     """
-    table = store_steps(training_table(positions, fraction, games_per_step, max_games))
-    steps = table.where(~F.col("is_val")).agg(F.max("step_id").alias("last")).first()["last"]
+    spark = positions.sparkSession
+    state = load_state(spark, state_path) if state_path else None
+    state = state or TrainState.start(init)
+    store = store_steps(training_table(positions, fraction, games_per_step, max_games))
+    steps = store.last_step()
     if steps is None:
         raise ValueError("no training positions: no training games are left")
-    w = np.zeros(N_WEIGHTS) if init is None else init.astype(float).copy()
-    m, v, t = np.zeros_like(w), np.zeros_like(w), 0
     rate = effective_lr(lr, lr_scale, games_per_step)
     log = []
-    for epoch in range(1, epochs + 1):
-        loss, n = 0.0, 0
-        for step in range(steps + 1):
-            g, step_loss, step_n, _ = step_gradient(table.where(~F.col("is_val") & (F.col("step_id") == step)), w)
-            t += 1
-            m, v = BETA1 * m + (1 - BETA1) * g, BETA2 * v + (1 - BETA2) * g * g
-            w = w - rate * (m / max(1 - BETA1**t, FLOOR)) / (np.sqrt(v / max(1 - BETA2**t, FLOOR)) + EPS)
-            loss, n = loss + step_loss, n + step_n
-        record = {"epoch": epoch, "train_samples": n, "train_loss": loss / n}
+    while state.epoch <= epochs:
+        while state.step <= steps:
+            g, step_loss, step_n, _ = step_gradient(store.read(False, state.step), state.w)
+            state.take(g, rate)
+            state.loss, state.samples, state.step = state.loss + step_loss, state.samples + step_n, state.step + 1
+            if state_path and save_every and state.step % save_every == 0 and state.step <= steps:
+                save_state(spark, state, state_path)
+        record = {"epoch": state.epoch, "train_samples": state.samples, "train_loss": state.loss / state.samples}
         if fraction > 0:
-            _, val_loss, val_n, hist = step_gradient(table.where("is_val"), w)
+            _, val_loss, val_n, hist = step_gradient(store.read(True), state.w)
             record |= {"val_samples": val_n, "val_loss": val_loss / val_n if val_n else 0.0, "val_hist": hist.tolist()}
         log.append(record)
         if on_epoch:
-            on_epoch(epoch, w)
-    return w, log
+            on_epoch(state.epoch, state.w)
+        state.epoch, state.step, state.loss, state.samples = state.epoch + 1, 0, 0.0, 0
+        if state_path:
+            save_state(spark, state, state_path)
+    return state.w, log
 
 
 def store_epochs(spark: SparkSession, path: str):

@@ -51,28 +51,36 @@ def run_history(docs: DataFrame) -> DataFrame:
     return docs.select("id", F.explode("history").alias("h")).select("id", "h.*")
 
 
-def _versions(base: str) -> list[str]:
-    """Complete snapshot folders, oldest first: those whose write left a success marker."""
-    fs, inner = filesystem(base)
+def _versions(spark: SparkSession, base: str) -> list[str]:
+    """Complete version folders, oldest first: those whose write left a success marker."""
+    fs, inner = filesystem(qualified(spark, base))
     found = fs.get_file_info(pafs.FileSelector(inner, allow_not_found=True))
     names = sorted(f.base_name for f in found if f.type == pafs.FileType.Directory and f.base_name.startswith("v"))
     marks = fs.get_file_info([f"{inner}/{n}/_SUCCESS" for n in names]) if names else []
     return [n for n, m in zip(names, marks) if m.type == pafs.FileType.File]
 
 
-def write_snapshot(docs: DataFrame, base: str) -> str:
-    """Write a new snapshot beside the earlier ones; readers switch when it is complete."""
-    fs, inner = filesystem(base)
+def write_version(rows: DataFrame, base: str, format: str) -> str:
+    """Write a new version beside the earlier ones; readers switch when it is complete.
+
+    ``base`` is listed where Spark writes: a path without a scheme lies in the default file system.
+    """
+    fs, inner = filesystem(qualified(rows.sparkSession, base))
     found = fs.get_file_info(pafs.FileSelector(inner, allow_not_found=True))
     taken = [int(f.base_name[1:]) for f in found if f.base_name[:1] == "v" and f.base_name[1:].isdigit()]
     path = f"{base}/v{max(taken, default=0) + 1:010d}"
-    docs.write.json(path)
+    rows.write.format(format).save(path)
     return path
 
 
-def latest_snapshot(base: str) -> str:
-    """The newest complete snapshot; one that is still being written is not seen."""
-    names = _versions(base)
+def write_snapshot(docs: DataFrame, base: str) -> str:
+    """Write documents as a new snapshot below ``base``."""
+    return write_version(docs, base, "json")
+
+
+def latest_snapshot(base: str, spark: SparkSession | None = None) -> str:
+    """The newest complete version; one that is still being written is not seen."""
+    names = _versions(spark or SparkSession.active(), base)
     if not names:
         raise FileNotFoundError(f"no complete snapshot below {base}")
     return f"{base}/{names[-1]}"

@@ -30,15 +30,46 @@ def test_training_equals_a_plain_loop(spark, sf):
     assert len(log) == 2 and log[0]["train_samples"] == len(train) and log[0]["val_samples"] == len(rows) - len(train)
 
 
-def test_a_step_reads_its_own_files(spark, sf):
-    """The training table has a folder per step, and a step's filter opens no other."""
-    table = progress.store_steps(progress.training_table(ad.v_board(spark, sf).where("pos_id < 300"), 0.25, 20))
-    every = {f for f in table.inputFiles()}
-    step = table.where("NOT is_val AND step_id = 1")
-    own = {r[0] for r in step.select(F.col("_metadata.file_path")).distinct().collect()}
-    assert own and len(own) < len(every) and all("is_val=false/step_id=1/" in f for f in own)
-    plan = step._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [" in plan and "step_id" in plan.split("PartitionFilters: [")[1].split("]")[0]
+def test_files_of_a_step_do_not_grow_with_the_steps(spark, sf):
+    """The training table has files by write tasks; a step opens a constant number of them."""
+    pos = ad.v_board(spark, sf).where("pos_id < 600")
+    stores = [progress.store_steps(progress.training_table(pos, 0.25, per)) for per in (100, 5)]
+    steps = [s.last_step() + 1 for s in stores]
+    assert steps[1] >= 8 * steps[0]
+    files = [{p for p, *_ in s.spans} for s in stores]
+    most = [max(len(s.files(False, i)) for i in range(n)) for s, n in zip(stores, steps, strict=True)]
+    assert len(files[1]) <= len(files[0]) + 1 and most[1] <= most[0] <= 5
+    for s, n in zip(stores, steps, strict=True):
+        every = s.read(False).groupBy("step_id").count().collect()
+        assert {r.step_id: r["count"] for r in every} == {i: s.read(False, i).count() for i in range(n)}
+
+
+@pytest.mark.parametrize("save_every", [0, 1])
+def test_a_stopped_training_goes_on(spark, sf, tmp_path, monkeypatch, save_every):
+    """Stopped in the middle of the second epoch, a training ends with the weights of an unbroken one."""
+    pos, path = ad.v_board(spark, sf).where("pos_id < 120"), str(tmp_path / "state")
+    args = {"epochs": 2, "games_per_step": 20, "lr": 0.01}
+    want, log = progress.progress_train(pos, **args)
+    plain, calls = progress.step_gradient, []
+    steps = progress.store_steps(progress.training_table(pos, 0.0, 20)).last_step() + 1
+    assert steps > 2
+
+    def stopping(*a):
+        calls.append(1)
+        if len(calls) == steps + 2:
+            raise KeyboardInterrupt
+        return plain(*a)
+
+    monkeypatch.setattr(progress, "step_gradient", stopping)
+    with pytest.raises(KeyboardInterrupt):
+        progress.progress_train(pos, **args, state_path=path, save_every=save_every)
+    monkeypatch.setattr(progress, "step_gradient", plain)
+    found = progress.load_state(spark, path)
+    assert (found.epoch, found.step, found.t) == (2, save_every, steps + save_every)
+    got, rest = progress.progress_train(pos, **args, state_path=path, save_every=save_every)
+    assert np.allclose(got, want, atol=1e-12) and rest[-1]["train_samples"] == log[-1]["train_samples"]
+    assert rest[-1]["train_loss"] == pytest.approx(log[-1]["train_loss"]) and len(rest) == 1
+    assert progress.progress_train(pos, **args, state_path=path)[1] == []  # nothing left to do
 
 
 def test_training_starts_from_a_stored_table(spark, sf, tmp_path):
