@@ -165,6 +165,80 @@ def _hits(boards: np.ndarray) -> np.ndarray:
     return out
 
 
+def _board_edges(boards: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, square, square): every attack of one piece on another, neither of them a king."""
+    out = []
+    row, sq = np.nonzero((boards > 1) & (boards >> 1 != dims.KING))
+    code = boards[row, sq].astype(np.int64)
+    order = np.argsort(code * 81 + sq, kind="stable")
+    row, key = row[order], (code * 81 + sq)[order]
+    cuts = np.flatnonzero(np.diff(key, prepend=-1))
+    for lo, hi in zip(cuts.tolist(), np.append(cuts[1:], len(key)).tolist(), strict=True):
+        c, s = divmod(int(key[lo]), 81)
+        for path in dims.rays_of(c // 2, c % 2, s):
+            going = row[lo:hi]
+            for to in path:
+                met = boards[going, to]
+                hit = going[(met > 1) & (met >> 1 != dims.KING)]
+                if len(hit):
+                    out.append((hit, np.full(len(hit), s), np.full(len(hit), to)))
+                going = going[met <= 1]
+                if not len(going):
+                    break
+    if not out:
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
+    return tuple(np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True))
+
+
+def with_edge_ids(positions: DataFrame, profile: str, first: int, stm_out: str, nstm_out: str) -> DataFrame:
+    """Positions with the ids of :func:`edge_feature_index` from ``first`` on as two arrays per row.
+
+    The edges of a row come from its own board: no piece or edge is a row of its own and nothing is
+    regrouped. The tables of places and pair bases are fixed (26,244 cells a class and colour, 324 pairs).
+    Both arrays hold the same edges in one order.
+    """
+    n_classes = len(dims.CLASS_TYPE)
+    place = np.full((n_classes, 2, 81, 81), -1, np.int64)
+    for cls, color, a, b, offset in dims.reach_rows():
+        place[cls, color, a, b] = offset
+    base = np.full((2, n_classes, 2, n_classes), -1, np.int64)
+    for r in dims.pair_ranges(positions.sparkSession, profile).collect():
+        base[r.attacker_side, r.ac, r.attacked_side, r.dc] = r.base
+    class_of = np.array([-1 if c // 2 in (0, dims.KING) else dims.class_of(c // 2) for c in range(30)])
+    schema = T.StructType([*positions.schema.fields, *[T.StructField(c, T.ArrayType(T.IntegerType())) for c in (stm_out, nstm_out)]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = lambda c: np.asarray(batch.column(batch.schema.get_field_index(c)))  # noqa: B023,E731
+            boards = np.asarray(batch.column(batch.schema.get_field_index("board")).flatten()).reshape(-1, 81)
+            row, a, b = _board_edges(boards)
+            order = np.lexsort((b, a, row))
+            row, a, b = row[order], a[order], b[order]
+            attacker, attacked = boards[row, a].astype(np.int64), boards[row, b].astype(np.int64)
+            ac, dc, a_color, d_color = class_of[attacker], class_of[attacked], attacker % 2, attacked % 2
+            stm, kings = column("stm").astype(np.int64), (column("bk_sq").astype(np.int64), 80 - column("wk_sq").astype(np.int64))
+            keep = (kings[0] < 81) & (kings[1] >= 0)
+            keep = keep[row]
+            if profile == "full-symdedup":
+                keep &= ~((place[dc, d_color, b, a] >= 0) & (ac < dc))
+            ids = []
+            for view in (stm[row], 1 - stm[row]):
+                flip = np.where(view == 0, kings[0][row], kings[1][row]) // 9 >= 5
+                ends = []
+                for sq in (a, b):
+                    seen = np.where(view == 0, sq, 80 - sq)
+                    ends.append(np.where(flip, (8 - seen // 9) * 9 + seen % 9, seen))
+                orient = np.where(view == 0, a_color, 1 - a_color)
+                pair = base[(a_color != view).astype(np.int64), ac, (d_color != view).astype(np.int64), dc]
+                keep &= pair >= 0
+                ids.append(first + pair + place[ac, orient, ends[0], ends[1]])
+            upto = np.concatenate(([0], np.cumsum(np.bincount(row[keep], minlength=len(boards))))).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(upto), pa.array(x[keep].astype(np.int32))) for x in ids]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(batch.num_columns)], *lists], schema.names)
+
+    return positions.mapInArrow(run, schema)
+
+
 def with_attack_counts(positions: DataFrame, keep: list[str]) -> DataFrame:
     """``keep``, ``board``, and per square ``black_hits`` and ``white_hits``: one pass over the rows, no shuffle."""
     rows = positions.select(*keep, "board")

@@ -207,18 +207,18 @@ def with_kp_ids(positions: DataFrame, out: str = "idx") -> DataFrame:
 def with_half_ids(positions: DataFrame, name: str, stm_out: str = "stm_ids", nstm_out: str = "nstm_ids") -> DataFrame:
     """Positions with both kings and their :func:`half_features` as two arrays per row.
 
-    For sets without kings, where both arrays hold the same pieces in one order.
+    Both arrays hold the same pieces in one order. In sets with kings each view has its own king and the
+    other's, as its ids stand for; which of them is paired with which does not matter to a sum.
     """
     fs = FEATURE_SETS[name]
-    if fs.kings != "none":
-        raise ValueError("arrays are made for sets without king features")
-    rows = bind(_valid(positions), "_items", F.filter(_items(), lambda i: F.shiftright(i["code"], 1) != dims.KING))
+    items = _items() if fs.kings != "none" else F.filter(_items(), lambda i: F.shiftright(i["code"], 1) != dims.KING)
+    rows = bind(_valid(positions), "_items", items)
     stm = F.col("stm").cast("int")
     for view, out in ((stm, stm_out), (1 - stm, nstm_out)):
         bucket, flip = king_context(view, F.col("bk_sq"), F.col("wk_sq"), fs.mirrored)
         rows = bind(rows, "_k", F.struct((bucket * fs.piece_inputs).alias("base"), flip.alias("flip"), view.alias("view")))
         one = lambda i: (
-            F.col("_k.base") + piece_square(i["code"], i["sq"], i["nth"], F.col("_k.view"), F.col("_k.flip"), False)
+            F.col("_k.base") + piece_square(i["code"], i["sq"], i["nth"], F.col("_k.view"), F.col("_k.flip"), fs.kings == "merged")
         ).cast("int")
         rows = bind(rows, out, F.transform("_items", one))
     return rows.drop("_items", "_k")

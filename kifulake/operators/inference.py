@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .features import with_half_ids
+from .edges import with_edge_ids
+from .features import FEATURE_SETS, with_half_ids
 
 # Quantisation of activations and weights, and the skip output of layer one.
 QA, QB, SKIP = 127, 64, 1
@@ -96,13 +97,19 @@ def forward(net: Net, stm: np.ndarray, nstm: np.ndarray, offsets: np.ndarray, bu
     return np.einsum("ni,ni->n", act, net.l3[bucket]) + net.l3_b[bucket] + skip
 
 
-def batch_score_positions(positions: DataFrame, net: Net, feature_set: str, fv_scale: int) -> DataFrame:
+def batch_score_positions(positions: DataFrame, net: Net, feature_set: str, fv_scale: int, profile: str | None = None) -> DataFrame:
     """``(pos_id, raw, cp)``: the net's raw output and ``raw / fv_scale`` for every position.
 
-    ``positions`` has ``bucket``. A position's ids are arrays of its own row (at most 40 each), scored
-    in Arrow batches against the broadcast net, whose feature table is held in 16 bits.
+    ``positions`` has ``bucket``. A position's ids are arrays of its own row, at most 40 of the feature set
+    (with or without kings) and the edges of ``profile`` behind them, scored in Arrow batches against the
+    broadcast net, whose feature table is held in 16 bits.
     """
-    rows = with_half_ids(positions, feature_set, "s", "n").select("pos_id", "bucket", "s", "n")
+    rows = positions
+    if profile:
+        rows = with_edge_ids(rows, profile, FEATURE_SETS[feature_set].ft_in, "_es", "_en")
+    rows = with_half_ids(rows, feature_set, "s", "n")
+    ids = [F.concat(c, e).alias(c) if profile else F.col(c) for c, e in (("s", "_es"), ("n", "_en"))]
+    rows = rows.select("pos_id", "bucket", *ids)
     shared = positions.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

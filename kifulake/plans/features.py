@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.scores import r as rnd
 from ..operators import checks, dims, edges, features, filters, inference, progress, surveys
 from ..operators.features import FEATURE_SETS
+from ..session import scratch_path
+from ..sources import documents
 from . import adapters as ad
 from .corpus import BANDS, LIMIT_SQL, SEED
 from .oracle_text import draws, games as games_sql, r, sig
@@ -516,14 +518,14 @@ def progress_train(spark, sf):
 
 
 _FULL_BATCH = f"""
-  v AS (SELECT pos_id, idx FROM ({_index_sql('halfkp')})),
+  v AS MATERIALIZED (SELECT pos_id, idx FROM ({_index_sql('halfkp')})),
   o AS (SELECT pos_id, file_id, rec_idx, ply FROM v_board), {games_sql('g', 'o')},
-  t AS (SELECT pos_id, game_seq, count(*) OVER (PARTITION BY game_seq) AS len, row_number() OVER (PARTITION BY game_seq ORDER BY rec_idx) - 1 AS i FROM g),
-  y AS (SELECT pos_id, CASE WHEN len > 1 THEN i / (len - 1)::DOUBLE ELSE 0.0 END AS target,
-               1.0::DOUBLE / (len * (SELECT count(DISTINCT game_seq) FROM t)) AS norm FROM t),
+  t AS MATERIALIZED (SELECT pos_id, game_seq, count(*) OVER (PARTITION BY game_seq) AS len, row_number() OVER (PARTITION BY game_seq ORDER BY rec_idx) - 1 AS i FROM g),
+  n AS MATERIALIZED (SELECT count(DISTINCT game_seq) AS games FROM t),
+  y AS MATERIALIZED (SELECT pos_id, CASE WHEN len > 1 THEN i / (len - 1)::DOUBLE ELSE 0.0 END AS target, 1.0::DOUBLE / (len * games) AS norm FROM t, n),
   g1 AS (SELECT idx, sum(2.0::DOUBLE * (0.5 - target) * 0.25 * norm) AS g FROM v JOIN y USING (pos_id) GROUP BY 1),
-  a1 AS (SELECT idx, 0.1::DOUBLE * g AS m, 0.001::DOUBLE * g * g AS v, -0.001 * g / (abs(g) + 1e-8) AS w FROM g1),
-  p2 AS (SELECT pos_id, {sig('sum(w)')} AS p FROM v JOIN a1 USING (idx) GROUP BY 1),
+  a1 AS MATERIALIZED (SELECT idx, 0.1::DOUBLE * g AS m, 0.001::DOUBLE * g * g AS v, -0.001 * g / (abs(g) + 1e-8) AS w FROM g1),
+  p2 AS MATERIALIZED (SELECT pos_id, {sig('sum(w)')} AS p FROM v JOIN a1 USING (idx) GROUP BY 1),
   g2 AS (SELECT idx, sum(2.0::DOUBLE * (p - target) * p * (1 - p) * norm) AS g FROM v JOIN y USING (pos_id) JOIN p2 USING (pos_id) GROUP BY 1),
   a2 AS (SELECT idx, w, 0.9::DOUBLE * m + 0.1 * g AS m, 0.999::DOUBLE * v + 0.001 * g * g AS v FROM a1 JOIN g2 USING (idx))"""
 
@@ -535,78 +537,124 @@ _FULL_BATCH = f"""
     ("v_board", "v_seen"),
 )
 def progress_train_steps(spark, sf):
-    """Two full-batch steps from zero weights, stored per epoch by the sink and read back for the result.
-
-    The second epoch starts from the first one's table, as a run that is continued does not: its
-    moments go on, so both steps run in one training.
-    """
-    kept = []
-    progress.progress_train(
-        ad.v_board(spark, sf), epochs=2, games_per_step=1 << 40, lr=0.001, lr_scale="none", on_epoch=lambda e, w: kept.append(progress.weight_table(spark, w, exact=True))
-    )
-    return kept[-1].where(F.col("w") != 0).select("idx", rnd(F.col("w")).alias("w"))
+    """Two full-batch steps from zero weights in two runs: the first stops after one epoch, the second finds
+    its state and goes on; the result is read from the files of the second."""
+    path = scratch_path(spark, "train-state")
+    for epochs in (1, 2):
+        progress.progress_train(ad.v_board(spark, sf), epochs=epochs, games_per_step=1 << 40, lr=0.001, lr_scale="none", state_path=path)
+    stored = spark.read.parquet(documents.latest_snapshot(path))
+    return stored.where(F.col("w") != 0).select("idx", rnd(F.col("w")).alias("w"))
 
 
 _WIDTH, _L1, _L2, _BUCKETS = 8, 3, 4, 9
-_NET = {
-    "ft_w": FEATURE_SETS["halfkp"].ft_in * _WIDTH, "ft_b": _WIDTH, "l1_w": _BUCKETS * _L1 * _WIDTH, "l1_b": _BUCKETS * _L1,
-    "l2_w": _BUCKETS * _L2 * 2 * (_L1 - 1), "l2_b": _BUCKETS * _L2, "l3_w": _BUCKETS * _L2, "l3_b": _BUCKETS,
-}
-_NET_SIZE = sum(_NET.values())
-_NET_SPANS = [(name, sum(list(_NET.values())[:i]), n) for i, (name, n) in enumerate(_NET.items())]
 
 
-def net_table(spark, sf):
+def _net_sizes(inputs: int) -> dict[str, int]:
+    """Values of each tensor of a small net over ``inputs`` features."""
+    return {
+        "ft_w": inputs * _WIDTH, "ft_b": _WIDTH, "l1_w": _BUCKETS * _L1 * _WIDTH, "l1_b": _BUCKETS * _L1,
+        "l2_w": _BUCKETS * _L2 * 2 * (_L1 - 1), "l2_b": _BUCKETS * _L2, "l3_w": _BUCKETS * _L2, "l3_b": _BUCKETS,
+    }
+
+
+def _net_spans(inputs: int) -> list[tuple[str, int, int]]:
+    sizes = _net_sizes(inputs)
+    return [(name, sum(list(sizes.values())[:i]), n) for i, (name, n) in enumerate(sizes.items())]
+
+
+def net_table(spark, sf, inputs: int):
     """A small net as ``(name, idx, v)``, from the whole tensor table.
 
     The table is folded to the net's size at most (the largest of the elements that meet), and
     repeated where it is shorter.
     """
     t = ad.v_tensor(spark, sf)
-    size = min(_NET_SIZE, t.count())
+    whole = sum(_net_sizes(inputs).values())
+    size = min(whole, t.count())
     folded = t.groupBy((F.col("idx") % size).alias("k")).agg(F.max("v").alias("v"))
-    spans = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a).alias("a"), F.lit(c).alias("c")) for n, a, c in _NET_SPANS])
-    cells = spark.range(_NET_SIZE).withColumn("s", F.filter(spans, lambda x: (F.col("id") >= x["a"]) & (F.col("id") < x["a"] + x["c"]))[0])
+    spans = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a).alias("a"), F.lit(c).alias("c")) for n, a, c in _net_spans(inputs)])
+    cells = spark.range(whole).withColumn("s", F.filter(spans, lambda x: (F.col("id") >= x["a"]) & (F.col("id") < x["a"] + x["c"]))[0])
     return cells.withColumn("k", F.col("id") % size).join(folded, "k").select("s.name", (F.col("id") - F.col("s.a")).alias("idx"), "v")
 
 
-def _tensor_sql(name: str, scale: int) -> str:
-    a, n = next((a, n) for x, a, n in _NET_SPANS if x == name)
-    y = f"(CAST(v AS FLOAT) * CAST({scale} AS FLOAT))"
-    return f"(SELECT j - {a} AS i, CAST(sign({y}) * floor(abs({y}) + CAST(0.5 AS FLOAT)) AS BIGINT) AS q FROM net WHERE j >= {a} AND j < {a + n})"
+def _net(spark, sf, inputs: int) -> inference.Net:
+    return inference.Net.from_table(net_table(spark, sf, inputs), _WIDTH, _BUCKETS, sum(_net_sizes(inputs).values()))
+
+
+_KING_RANK_SQL = """SELECT pos_id, CAST(CASE WHEN stm = 0 THEN (bk % 9 // 3) * 3 + ((80 - wk) % 9) // 3 ELSE (((80 - wk) % 9) // 3) * 3 + bk % 9 // 3 END AS INTEGER) AS b
+         FROM v_board JOIN v_kings USING (pos_id)"""
+
+
+def _forward(inputs: int, features_sql: str, buckets_sql: str) -> str:
+    """The net's integer forward pass over ``features_sql`` (pos_id, is_stm, idx) and ``buckets_sql`` (pos_id, b)."""
+    whole = sum(_net_sizes(inputs).values())
 
+    def tensor(name: str, scale: int) -> str:
+        a, n = next((a, n) for x, a, n in _net_spans(inputs) if x == name)
+        y = f"(CAST(v AS FLOAT) * CAST({scale} AS FLOAT))"
+        return f"(SELECT j - {a} AS i, CAST(sign({y}) * floor(abs({y}) + CAST(0.5 AS FLOAT)) AS BIGINT) AS q FROM net WHERE j >= {a} AND j < {a + n})"
 
-_FORWARD = f"""
-  sz AS (SELECT least({_NET_SIZE}, count(*)) AS size FROM v_tensor),
+    return f"""
+  sz AS (SELECT least({whole}, count(*)) AS size FROM v_tensor),
   fold AS (SELECT idx % size AS k, max(v) AS v FROM v_tensor, sz GROUP BY 1),
-  cells AS MATERIALIZED (SELECT range AS j, range % size AS k FROM range({_NET_SIZE}), sz),
+  cells AS MATERIALIZED (SELECT range AS j, range % size AS k FROM range({whole}), sz),
   net AS MATERIALIZED (SELECT j, v FROM cells JOIN fold USING (k)),
-  f AS (SELECT pos_id, is_stm, idx FROM ({_index_sql('halfkp')})),
-  bk AS (SELECT pos_id, CAST(CASE WHEN stm = 0 THEN (bk % 9 // 3) * 3 + ((80 - wk) % 9) // 3 ELSE (((80 - wk) % 9) // 3) * 3 + bk % 9 // 3 END AS INTEGER) AS b
-         FROM v_board JOIN v_kings USING (pos_id)),
-  acc AS (SELECT pos_id, is_stm, w.i % {_WIDTH} AS k, sum(w.q) AS s FROM f JOIN {_tensor_sql('ft_w', 127)} w ON w.i // {_WIDTH} = f.idx GROUP BY ALL),
-  clip AS (SELECT pos_id, is_stm, k, greatest(least(s + c.q, 127), 0) AS x FROM acc JOIN {_tensor_sql('ft_b', 127)} c ON c.i = k),
+  f AS ({features_sql}),
+  bk AS ({buckets_sql}),
+  acc AS (SELECT pos_id, is_stm, w.i % {_WIDTH} AS k, sum(w.q) AS s FROM f JOIN {tensor('ft_w', 127)} w ON w.i // {_WIDTH} = f.idx GROUP BY ALL),
+  clip AS (SELECT pos_id, is_stm, k, greatest(least(s + c.q, 127), 0) AS x FROM acc JOIN {tensor('ft_b', 127)} c ON c.i = k),
   half AS (SELECT a.pos_id, (CASE WHEN a.is_stm THEN 0 ELSE {_WIDTH // 2} END) + a.k AS k, greatest(least(CAST(a.x * b.x AS BIGINT) >> 7, 126), 0) AS x
            FROM clip a JOIN clip b ON a.pos_id = b.pos_id AND a.is_stm = b.is_stm AND b.k = a.k + {_WIDTH // 2}),
   one AS (SELECT pos_id, b, o.range AS o, CAST(sum(x * w.q) AS BIGINT) + any_value(c.q) AS s
-          FROM half JOIN bk USING (pos_id), range({_L1}) o JOIN {_tensor_sql('l1_w', 64)} w ON w.i = (b * {_L1} + o.range) * {_WIDTH} + half.k
-          JOIN {_tensor_sql('l1_b', 127 * 64)} c ON c.i = b * {_L1} + o.range GROUP BY ALL),
+          FROM half JOIN bk USING (pos_id), range({_L1}) o JOIN {tensor('l1_w', 64)} w ON w.i = (b * {_L1} + o.range) * {_WIDTH} + half.k
+          JOIN {tensor('l1_b', 127 * 64)} c ON c.i = b * {_L1} + o.range GROUP BY ALL),
   act AS (SELECT pos_id, b, o AS k, least((s * s) >> 19, 127) AS x FROM one WHERE o < {_L1 - 1}
           UNION ALL SELECT pos_id, b, o + {_L1 - 1}, greatest(least(s >> 6, 127), 0) FROM one WHERE o < {_L1 - 1}),
   two AS (SELECT pos_id, b, o.range AS o, CAST(sum(x * w.q) AS BIGINT) + any_value(c.q) AS s
-          FROM act, range({_L2}) o JOIN {_tensor_sql('l2_w', 64)} w ON w.i = (b * {_L2} + o.range) * {2 * (_L1 - 1)} + act.k
-          JOIN {_tensor_sql('l2_b', 127 * 64)} c ON c.i = b * {_L2} + o.range GROUP BY ALL),
-  three AS (SELECT pos_id, b, CAST(sum(greatest(least(s >> 6, 127), 0) * w.q) AS BIGINT) AS s FROM two JOIN {_tensor_sql('l3_w', 64)} w ON w.i = b * {_L2} + o GROUP BY ALL)
+          FROM act, range({_L2}) o JOIN {tensor('l2_w', 64)} w ON w.i = (b * {_L2} + o.range) * {2 * (_L1 - 1)} + act.k
+          JOIN {tensor('l2_b', 127 * 64)} c ON c.i = b * {_L2} + o.range GROUP BY ALL),
+  three AS (SELECT pos_id, b, CAST(sum(greatest(least(s >> 6, 127), 0) * w.q) AS BIGINT) AS s FROM two JOIN {tensor('l3_w', 64)} w ON w.i = b * {_L2} + o GROUP BY ALL)
   SELECT three.pos_id, CAST(three.s + c.q + one.s AS BIGINT) AS raw, (three.s + c.q + one.s) / 24.0::DOUBLE AS cp
-  FROM three JOIN {_tensor_sql('l3_b', 127 * 64)} c ON c.i = three.b JOIN one ON one.pos_id = three.pos_id AND one.o = {_L1 - 1}"""
+  FROM three JOIN {tensor('l3_b', 127 * 64)} c ON c.i = three.b JOIN one ON one.pos_id = three.pos_id AND one.o = {_L1 - 1}"""
 
 
-@query("batch_score_positions", _FORWARD, ("v_tensor", "v_board", "v_kings", "v_seen"))
+_HALFKP = FEATURE_SETS["halfkp"].ft_in
+
+
+@query(
+    "batch_score_positions",
+    _forward(_HALFKP, f"SELECT pos_id, is_stm, idx FROM ({_index_sql('halfkp')})", _KING_RANK_SQL),
+    ("v_tensor", "v_board", "v_kings", "v_seen"),
+)
 def batch_score_positions(spark, sf):
     """Every position scored by a small net that the whole tensor table makes up."""
-    net = inference.Net.from_table(net_table(spark, sf), _WIDTH, _BUCKETS, _NET_SIZE)
     pos = progress.bucket_assign(ad.v_board(spark, sf), "kingrank9")
-    return inference.batch_score_positions(pos, net, "halfkp", 24)
+    return inference.batch_score_positions(pos, _net(spark, sf, _HALFKP), "halfkp", 24)
+
+
+_KINGS, _PROFILE = "halfka-hm-merged", "step-attacker"
+_KINGS_IN = FEATURE_SETS[_KINGS].ft_in
+_WITH_EDGES_IN = _KINGS_IN + 33_408  # the features of the profile's pairs
+
+
+@query(
+    "batch_score_with_edges",
+    f"""{_NORMAL}, {_pairs_sql('ac NOT IN (1, 5, 6, 7, 8)')},
+        i AS (SELECT pos_id, is_stm, CAST({_KINGS_IN} + pbase + off AS BIGINT) AS idx FROM q JOIN place ON cls = q.ac AND place.color = orient AND place.from_sq = fn AND place.to_sq = tn
+              JOIN pr ON pr.attacker_side = a_s AND pr.ac = q.ac AND pr.attacked_side = d_s AND pr.dc = q.dc
+              UNION ALL SELECT pos_id, is_stm, idx FROM ({_index_sql(_KINGS)})),
+        pw AS (SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, v FROM v_tensor),
+        pz AS (SELECT pos_id, {sig('sum(coalesce(v, 0.0))')} AS p FROM ({_index_sql('halfkp')}) h LEFT JOIN pw ON pw.idx = h.idx GROUP BY 1),
+        {_forward(_WITH_EDGES_IN, "SELECT pos_id, is_stm, idx FROM i", "SELECT pos_id, CAST(greatest(least(floor(p * 9), 8), 0) AS INTEGER) AS b FROM pz")}""",
+    ("v_tensor", "v_board", "v_kings", "v_seen", "v_mutual", "v_pairs"),
+)
+def batch_score_with_edges(spark, sf):
+    """Every position scored with king features and edges, in the buckets of the progress model."""
+    board = ad.v_board(spark, sf)
+    ids = features.with_kp_ids(board).select("pos_id", F.explode("idx").alias("idx"))
+    weights = ad.v_tensor(spark, sf).select("idx", F.col("v").alias("w"))
+    pos = progress.bucket_assign(board, "progress", 9, progress.progress_score(ids, weights))
+    return inference.batch_score_positions(pos, _net(spark, sf, _WITH_EDGES_IN), _KINGS, 24, _PROFILE)
 
 
 @query(

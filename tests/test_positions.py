@@ -177,3 +177,30 @@ def test_moves(spark):
     assert r.black_hand[5] == 0 and r.white_hand[5] == 1  # the promoted bishop went back plain
     back = boards.to_sfen(from_text(spark, text).drop("sfen_text", "error")).first().sfen_text
     assert back == "lnsgkg1nl/1r5s1/pppppp1pp/6p2/5B3/2P6/PP1PPPPPP/7R1/LNSGKGSNL w b 6"
+
+
+@pytest.mark.parametrize("name", ["halfka-hm-merged", "halfka-split", "halfkp"])
+def test_id_arrays_equal_feature_rows(spark, sf, name):
+    """Row-local ids of every set are the ids that the row form has, views kept apart."""
+    from kifulake.plans import adapters as ad
+
+    board = ad.v_board(spark, sf)
+    arrays = features.with_half_ids(board, name).select("pos_id", F.sort_array("stm_ids").alias("s"), F.sort_array("nstm_ids").alias("n"))
+    rows = features.half_features(board, name, ["pos_id"]).groupBy("pos_id").agg(
+        F.sort_array(F.collect_list("stm_idx")).alias("s"), F.sort_array(F.collect_list("nstm_idx")).alias("n")
+    )
+    assert arrays.exceptAll(rows).isEmpty() and rows.exceptAll(arrays).isEmpty()
+
+
+@pytest.mark.parametrize("profile", ["full", "full-symdedup", "cross-side", "same-class-major-pawn"])
+def test_edge_arrays_equal_edge_rows(spark, sf, profile):
+    from kifulake.operators import edges
+    from kifulake.plans import adapters as ad
+
+    board = ad.v_board(spark, sf)
+    arrays = edges.with_edge_ids(board, profile, 0, "s", "n").where(F.size("s") > 0).select("pos_id", F.sort_array("s").alias("s"), F.sort_array("n").alias("n"))
+    e = edges.attack_edges(board, ["pos_id", "stm", "bk_sq", "wk_sq"])
+    rows = edges.edge_feature_index(edges.canonical_dead_edge(edges.mutual_edge_flag(e)), profile).groupBy("pos_id").agg(
+        F.sort_array(F.collect_list(F.col("stm_idx").cast("int"))).alias("s"), F.sort_array(F.collect_list(F.col("nstm_idx").cast("int"))).alias("n")
+    )
+    assert arrays.exceptAll(rows).isEmpty() and rows.exceptAll(arrays).isEmpty()
