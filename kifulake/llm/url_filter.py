@@ -30,26 +30,34 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and each of its parents, longest first."""
-    labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def label_count(host: Column) -> Column:
+    return F.length(host) - F.length(F.replace(host, F.lit("."))) + 1
 
 
-def rule_keys(host: Column, path: Column, path_lengths: list[int]) -> Column:
+def host_suffixes(host: Column, counts: list[int]) -> Column:
+    """The host or parents of it that have one of these numbers of labels, longest first.
+
+    Only keys of as many labels as some listed one has are worth looking up, so a host of any number of labels
+    costs its length per entry of ``counts``.
+    """
+    fit = [F.when(label_count(host) >= n, F.substring_index(host, ".", -n)) for n in sorted(set(counts), reverse=True)]
+    return F.array_compact(F.array(*fit)) if fit else F.array().cast("array<string>")
+
+
+def rule_keys(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
     """Every key ``host suffix + path prefix`` that a rule for this URL could have, longest first.
 
-    Only prefix lengths that some rule's path has are made. A path starts with ``/`` or is empty
+    ``shapes`` are the (labels, path length) of the rules. A path starts with ``/`` or is empty
     and a host has no ``/``, so the joined key is unambiguous.
     """
-    cut = F.transform(
-        F.filter(F.array(*[F.lit(n) for n in sorted(set(path_lengths), reverse=True)]), lambda n: n <= F.length(path)),
-        lambda n: F.substring(path, F.lit(1), n),
-    )
-    keys = F.flatten(F.transform(host_suffixes(host), lambda s: F.transform(cut, lambda p: F.concat(s, p))))
-    return F.transform(
-        F.sort_array(F.transform(keys, lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))), asc=False), lambda s: s["k"]
-    )
+    fit = [
+        F.when((label_count(host) >= n) & (F.length(path) >= m), F.concat(F.substring_index(host, ".", -n), F.substring(path, 1, m)))
+        for n, m in sorted(set(shapes))
+    ]
+    if not fit:
+        return F.array().cast("array<string>")
+    keys = F.transform(F.array_compact(F.array(*fit)), lambda k: F.struct(F.length(k).alias("n"), k.alias("k")))
+    return F.transform(F.sort_array(keys, asc=False), lambda s: s["k"])
 
 
 @dataclass(frozen=True)
@@ -147,19 +155,25 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame
     with theirs, and the longest wins (of equal length, the one later in code point order).
     Without a rule the verdict is ``block`` if the host or a parent of it is a ``key`` of
     ``listed``, else ``allow``. Input columns of those four names are replaced, others stay.
-    A null url, or one without ``://``, has empty parts, no rule and is allowed.
+    A null url, or one without ``://``, has empty parts, no rule and is allowed. A host may have any
+    number of labels: it is looked up at the label counts of the rules and of ``listed`` alone.
     """
     host, path = url_parts(F.col("url"))
-    lengths = [len(p) for _, _, p in rules]
+    shapes = [(h.count(".") + 1, len(p)) for _, h, p in rules]
     rows = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
     spark = pages.sparkSession
-    every = rows.select(F.explode(rule_keys(F.col("host"), F.col("path"), lengths)).alias("key"))
+    every = rows.select(F.explode(rule_keys(F.col("host"), F.col("path"), shapes)).alias("key"))
     found = {}
     for verdict in sorted({v for v, _, _ in rules}):
-        keys = spark.createDataFrame([(h + p,) for v, h, p in rules if v == verdict], "key string")
+        own = F.array(*[F.lit(h + p) for v, h, p in rules if v == verdict])
+        keys = spark.range(1).select(F.explode(own).alias("key"))  # literals: no row comes from Python
         cascade = build_cascade(keys, every)
-        found[verdict] = F.filter(rule_keys(F.col("host"), F.col("path"), lengths), cascade.has)
-    hosts = build_cascade(listed, rows.select(F.explode(host_suffixes(F.col("host"))).alias("key")))
+        found[verdict] = F.filter(rule_keys(F.col("host"), F.col("path"), shapes), cascade.has)
+    listed = stash(listed.select("key").where("key is not null").distinct(), "listed-hosts")
+    # as many rows as listed hosts have different label counts
+    counts = [r[0] for r in listed.select(label_count(F.col("key"))).distinct().collect()]
+    suffixes = host_suffixes(F.col("host"), counts)
+    hosts = build_cascade(listed, rows.select(F.explode(suffixes).alias("key")))
     best = [
         F.struct(F.length(F.get(k, F.lit(0))).alias("n"), F.get(k, F.lit(0)).alias("k"), F.lit(v).alias("v")) for v, k in found.items()
     ]
@@ -168,5 +182,5 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame
         rows = rows.withColumns({"rule": longest["k"], "verdict": longest["v"]})
     else:
         rows = rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(None).cast("string")})
-    by_list = F.when(F.exists(host_suffixes(F.col("host")), hosts.has), "block").otherwise("allow")
+    by_list = F.when(F.exists(suffixes, hosts.has), "block").otherwise("allow")
     return rows.withColumn("verdict", F.coalesce("verdict", by_list))

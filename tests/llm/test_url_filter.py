@@ -59,7 +59,7 @@ def test_cascade_is_exact_and_deep(spark):
 
 def test_keys_longest_first(spark):
     text = prose(1, 3)
-    r = spark.range(1).select(uf.rule_keys(uf.F.lit("a.b.c"), uf.F.lit("/en/x" + text), [1, 4]).alias("k")).first()
+    r = spark.range(1).select(uf.rule_keys(uf.F.lit("a.b.c"), uf.F.lit("/en/x" + text), [(n, m) for n in (1, 2, 3, 9) for m in (1, 4)]).alias("k")).first()
     assert r.k[0] == "a.b.c/en/" and set(r.k) == {s + p for s in ("a.b.c", "b.c", "c") for p in ("/", "/en/")}
 
 
@@ -70,3 +70,22 @@ def test_level_zero_widens_with_the_corpus(spark):
     cascade = uf.build_cascade(listed, universe)
     assert cascade.levels[0][0] > 2 * uf.BITS_PER_KEY and all(bits <= 64 for bits, _ in cascade.levels[1:])
     assert [r.key for r in universe.where(cascade.has(uf.F.col("key"))).orderBy("key").collect()] == ["u7", "u70000"]
+
+
+def test_hosts_of_many_labels(spark):
+    """A host of 100,000 labels is judged by its rule and by the list like any other, and in seconds."""
+    long = ".".join(["a"] * 100_000)
+    urls = [f"http://{long}.net/x", f"http://{long}.bad.io/x", f"http://{long}.good.io/", f"http://{long}.example.com/de/1"]
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    keys = spark.createDataFrame([("bad.io",), ("x.y.z.bad.example",)], "key string")
+    got = uf.judge(d, RULES, keys).orderBy("page_id").collect()
+    assert [(r.rule, r.verdict) for r in got] == [("net/", "block"), (None, "block"), (None, "allow"), ("example.com/de/", "block")]
+    assert got[0].host == f"{long}.net"
+
+
+def test_no_row_comes_from_python(spark, monkeypatch):
+    pages = spark.range(50).selectExpr("id page_id", "concat('http://h', id % 9, '.io/', id) url")
+    listed = spark.range(1).selectExpr("'h3.io' key")
+    monkeypatch.setattr(type(spark), "createDataFrame", None)
+    got = uf.judge(pages, RULES, listed)
+    assert got.where("verdict = 'block'").count() == 6
