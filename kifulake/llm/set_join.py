@@ -30,7 +30,7 @@ BAND = 140
 WORDS = 4  # 64-bit words of a sketch block
 #: Buckets of up to this many sets pair their members; larger ones go by centres.
 BUCKET = 32
-ROUNDS = 3
+ROUNDS = 1
 #: Sets of a block of the last comparison.
 SIDE = 1024
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -214,7 +214,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     wanted = stash(nodes.select("node", *KEYS).join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi"), "wanted-sets")
     toks = stash(_arrays(docs, wanted), "shingle-sets")
     p = lambda side: toks.select(F.col("node").alias(side), F.col("toks").alias(f"t_{side}"))
-    both = pairs.join(p("u"), "u").join(p("v"), "v")
+    # the sets grow with the input: their joins are the same at every size
+    both = pairs.join(p("u").hint("merge"), "u").join(p("v").hint("merge"), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -274,8 +275,8 @@ def _strays(members: DataFrame, prints: DataFrame) -> DataFrame:
     return left.groupBy("centre", "i", "j").cogroup(right.groupBy("centre", "i", "j")).applyInArrow(run, "u long, v long")
 
 
-def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(u, v) over ``nodes`` (node, doc_id, text_hash, n, signatures, sketch): links that join up all linked sets.
+def set_roots(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, root): the component of every node (node, doc_id, text_hash, n, sketch); ``rows`` has the signatures.
 
     Sets meet in the buckets of their block signatures. Buckets of up to ``BUCKET`` sets pair their
     members. A larger one is settled without pairs: its most central member, the one that lies in most
@@ -283,8 +284,11 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     elect centres among themselves ``ROUNDS`` times; what then is still in another component than its centre
     is compared with all members of other components of its family, in blocks.
     """
-    held = nodes.select("node", F.explode("signatures").alias("key"))
-    shared = stash(held.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "shared-blocks")
+    mine = nodes.select("node", F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"))
+    said = rows.select(*KEYS, "signatures").join(mine.hint("merge"), rows["doc_id"].eqNullSafe(mine["_d"]) & (rows["text_hash"] == mine["_h"]))
+    # dealt once by key: the counts and the rows they go back to read the same shuffle
+    held = said.select("node", F.explode("signatures").alias("key")).repartition("key")
+    shared = held.groupBy("key").agg(F.count("node").alias("m")).where("m > 1")
     members = stash(held.join(shared, "key"), "block-members")
     few = members.where(F.col("m") <= BUCKET).select("key", "node")
     other = few.select("key", F.col("node").alias("v"))
@@ -297,28 +301,28 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     family = stash(dense.join(pivot(dense, ["key"]), "key").select("centre", "node").distinct(), "families")
 
     star = lambda f: f.where("centre <> node").select(F.greatest("centre", "node").alias("u"), F.least("centre", "node").alias("v")).distinct()
-    prints = nodes.select("node", "n", "sketch")
+    prints, slim = nodes.select("node", "n", "sketch"), nodes.select("node")
     found = _verified(_near(pairs.union(star(family)).distinct(), prints), docs, nodes)
+    roots = stash(_roots(slim, found), "set-roots")
     if family.isEmpty():
-        return found
-    slim = nodes.select("node")
+        return roots
     weight = dense.select("node", "w").distinct()
     for _ in range(ROUNDS):
-        roots = stash(_roots(slim, found), "set-roots")
         strays = stash(_remaining(family, roots).where("stray").select("centre", "node"), "strays-left")
         if strays.isEmpty():
-            return found
+            return roots
         strays = strays.withColumnRenamed("centre", "old").join(weight, "node")
         again = strays.join(pivot(strays, ["old"]), "old").select("centre", "node").distinct()
         more = _verified(_near(star(again), prints), docs, nodes)
         if more.isEmpty():
             break
-        found = stash(found.union(more).distinct(), "set-links")
-    roots = stash(_roots(slim, found), "set-roots")
+        found = found.union(more)
+        roots = stash(_roots(slim, found), "set-roots")
     rest = stash(_remaining(family, roots), "open-families")
     if rest.isEmpty():
-        return found
-    return stash(found.union(_verified(_strays(rest, prints).distinct(), docs, nodes)).distinct(), "set-links")
+        return roots
+    last = _verified(_strays(rest, prints).distinct(), docs, nodes)
+    return roots if last.isEmpty() else stash(_roots(slim, found.union(last)), "set-roots")
 
 
 def linked_sets(docs: DataFrame) -> DataFrame:
@@ -333,12 +337,10 @@ def linked_sets(docs: DataFrame) -> DataFrame:
     rows = stash(sets(docs), "sets")
     identity = ["n", "k1", "k2"]
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
-    nodes = rows.where("n > 0").groupBy(*identity).agg(least.alias("m"), *[F.any_value(c).alias(c) for c in ("signatures", "sketch")])
-    nodes, _ = numbered(nodes.select("m.*", *identity, "signatures", "sketch"), [F.col(c) for c in ("k1", "k2", "n")], "node", "set-nodes")
-    whole, rows = rows, stash(rows.select(*KEYS, *identity), "set-identities")
+    nodes = rows.where("n > 0").groupBy(*identity).agg(least.alias("m"), F.any_value("sketch").alias("sketch"))
+    nodes, _ = numbered(nodes.select("m.doc_id", "m.text_hash", *identity, "sketch"), [F.col(c) for c in ("k1", "k2", "n")], "node", "set-nodes")
     nodes = stash(nodes, "set-nodes")
-    discard(whole)
-    roots = _roots(nodes.select("node"), links(docs, nodes))
+    roots = set_roots(docs, rows, nodes)
     named = nodes.select("node", "doc_id", *identity).join(roots, "node")
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = stash(named.join(smallest, "root").select(*identity, "root", "component_id"), "set-components")
