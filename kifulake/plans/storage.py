@@ -250,3 +250,26 @@ def stream_game_cutting(spark, sf):
     """Games of eight files whose records arrive in two waves: those that straddle a wave go on."""
     cut = lambda s: stream_games.segment_games_stream(s.select(F.col("move16").alias("file_id"), F.col("global_idx").alias("rec_idx"), F.col("game_ply").alias("ply")))
     return _arrivals(spark, sf, "arriving-games", cut)
+
+
+_FILE_ROWS = 4096
+
+
+@query(
+    "file_list_union",
+    f"""n AS (SELECT max(event_id) // {_FILE_ROWS} AS last FROM events),
+        o AS (SELECT CAST(last - rec_idx // {_FILE_ROWS} AS INTEGER) AS file_id, rec_idx % {_FILE_ROWS} AS rec_idx, ply FROM v_pos, n), {games_sql('g', 'o')}
+        SELECT file_id, rec_idx, game_seq FROM g""",
+    ("v_pos",),
+)
+def file_list_union(spark, sf):
+    """Files of a fixed number of records read as a comma list, the newest first: list order numbers the files,
+    game state restarts with each and numbering goes on."""
+    rows = ad.v_pos(spark, sf).select("rec_idx", F.lit(b"\0" * 32).alias("sfen"), F.col("ply").alias("game_ply"))
+    last = (rows.agg(F.max("rec_idx")).first()[0] or 0) // _FILE_ROWS
+    path = scratch_path(spark, "listed-files")
+    dealt = rows.repartitionById(last + 1, F.expr(f"CAST(rec_idx div {_FILE_ROWS} AS INT)"))  # a file per block of records
+    records.write_records(dealt, path, "psv", ["rec_idx"], ranged=True)
+    named = [f for f, _ in records.list_files(records.qualified(spark, path))]
+    back = records.read_psv(spark, ",".join(reversed(named)), columns="file_id,rec_idx,game_ply")
+    return games.segment_games(back, ply_col="game_ply", block_rows=1024).select("file_id", "rec_idx", "game_seq")
