@@ -48,10 +48,10 @@ def test_files_of_a_step_do_not_grow_with_the_steps(spark, sf):
 def test_a_stopped_training_goes_on(spark, sf, tmp_path, monkeypatch, save_every):
     """Stopped in the middle of the second epoch, a training ends with the weights of an unbroken one."""
     pos, path = ad.v_board(spark, sf).where("pos_id < 120"), str(tmp_path / "state")
-    args = {"epochs": 2, "games_per_step": 20, "lr": 0.01}
+    args = {"epochs": 2, "games_per_step": 10, "lr": 0.01}
     want, log = progress.progress_train(pos, **args)
     plain, calls = progress.step_gradient, []
-    steps = progress.store_steps(progress.training_table(pos, 0.0, 20)).last_step() + 1
+    steps = progress.store_steps(progress.training_table(pos, 0.0, 10)).last_step() + 1
     assert steps > 2
 
     def stopping(*a):
