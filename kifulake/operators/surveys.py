@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 
 def score_bucket(progress: Column, n: int) -> Column:
     """``clamp(floor(p * n), 0, n - 1)`` for 1 <= n <= 256."""
@@ -73,17 +78,61 @@ def active_count_stats(df: DataFrame, value: str) -> DataFrame:
     return _rank_stats(count_histogram(df, value), [], "value", "n")
 
 
-def cumulative_snapshots(df: DataFrame, superbatch: str, value: str) -> DataFrame:
-    """The same statistics after each superbatch, over everything seen so far.
+#: Superbatches whose statistics one task works out.
+SNAPSHOT_BLOCK = 64
+
 
-    The corpus is reduced to a (superbatch, value) histogram first. A value's count runs on from one
-    superbatch to the next, so each superbatch has a row per value seen by then: the size of what
-    the statistics are taken of.
+def _snapshot_rows(rows: pa.Table) -> pa.Table:
+    """Statistics of one block's superbatches: ``before`` rows (null superbatch) are in every one of them.
+
+    One count per distinct value is held and goes on from superbatch to superbatch.
+    """
+    distinct = pc.unique(rows["value"])
+    distinct = distinct.take(pc.array_sort_indices(distinct))
+    place = pc.index_in(rows["value"], distinct).to_numpy(zero_copy_only=False)
+    amount = rows["value"].cast(pa.float64()).to_numpy()
+    n = rows["n"].to_numpy()
+    steps = rows["superbatch"].combine_chunks()
+    old = pc.is_null(steps).to_numpy(zero_copy_only=False)
+    held = np.bincount(place[old], n[old], len(distinct)).astype(np.int64)
+    total, weight = int(n[old].sum()), float((amount[old] * n[old]).sum())
+    labels = pc.unique(steps.drop_null())
+    labels = labels.take(pc.array_sort_indices(labels))
+    which = pc.fill_null(pc.index_in(steps, labels), -1).to_numpy(zero_copy_only=False)
+    order = np.argsort(which, kind="stable")
+    cuts = np.searchsorted(which[order], np.arange(len(labels) + 1))
+    counts, means, picks = [], [], []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        new = order[a:b]
+        np.add.at(held, place[new], n[new])
+        total, weight = total + int(n[new].sum()), weight + float((amount[new] * n[new]).sum())
+        ranks = [-(-total * p // 100) for p in (50, 90, 99, 100)]  # nearest rank: ceil(p n)
+        picks.append(np.searchsorted(np.cumsum(held), ranks))
+        counts.append(total)
+        means.append(weight / total)
+    chosen = np.array(picks, np.int64).reshape(-1, 4)
+    found = [distinct.take(pa.array(chosen[:, k])) for k in range(4)]
+    return pa.Table.from_arrays([labels, pa.array(counts, pa.int64()), pa.array(means, pa.float64()), *found], names=["superbatch", "n", "mean", "p50", "p90", "p99", "max"])
+
+
+def cumulative_snapshots(df: DataFrame, superbatch: str, value: str, block: int = SNAPSHOT_BLOCK) -> DataFrame:
+    """The same statistics after each superbatch, over everything seen so far; null values and superbatches are left out.
+
+    The corpus is reduced to a (superbatch, value) histogram first. Superbatches are cut into blocks of
+    ``block`` in order; histograms add up, so a block gets the sum of all earlier ones as one row per value
+    and works its superbatches out one after the other. A task holds its block's rows and a count per distinct
+    value; no row is made per superbatch and value seen by then.
     """
-    hist = df.groupBy(F.col(superbatch).alias("superbatch"), F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("_c"))
-    present = hist.select("superbatch").distinct()
-    born = hist.groupBy("value").agg(F.min("superbatch").alias("_born"))
-    grid = born.join(present, present["superbatch"] >= born["_born"]).select("superbatch", "value")
-    run = Window.partitionBy("value").orderBy("superbatch").rowsBetween(Window.unboundedPreceding, 0)
-    so_far = grid.join(hist, ["superbatch", "value"], "left").withColumn("n", F.sum(F.coalesce("_c", F.lit(0))).over(run)).drop("_c")
-    return _rank_stats(so_far, ["superbatch"], "value", "n")
+    rows = df.select(F.col(superbatch).alias("superbatch"), F.col(value).alias("value")).where("superbatch is not null and value is not null")
+    hist = rows.groupBy("superbatch", "value").agg(F.count(F.lit(1)).alias("n"))
+    number = F.row_number().over(Window.orderBy("superbatch")) - 1  # one row per superbatch
+    blocks = hist.select("superbatch").distinct().withColumn("_block", F.floor(number / F.lit(block)).cast("int"))
+    hist = materialise(hist.join(blocks, "superbatch"), "snapshots")
+    last = hist.agg(F.max("_block")).first()[0] or 0
+    summed = hist.groupBy("_block", "value").agg(F.sum("n").alias("n"))
+    before = summed.where(F.col("_block") < last).withColumn("_block", F.explode(F.sequence(F.col("_block") + 1, F.lit(last))))
+    before = before.groupBy("_block", "value").agg(F.sum("n").alias("n"))
+    both = hist.unionByName(before.withColumn("superbatch", F.lit(None).cast(hist.schema["superbatch"].dataType)))
+    types = dict(hist.dtypes)
+    out = ", ".join([f"superbatch {types['superbatch']}", "n bigint", "mean double", *[f"{c} {types['value']}" for c in ("p50", "p90", "p99", "max")]])
+    return both.groupBy("_block").applyInArrow(_snapshot_rows, out)
