@@ -1,19 +1,18 @@
 """Static dimensions of the game: pieces, moves, reach, pair ranges. All are small and fixed.
 
-Every table here has a size set by the rules (at most 216,720 rows for the expanded edge
-index), independent of the corpus, so operators may broadcast them.
+Every table here has a size set by the rules, independent of the corpus, so operators may broadcast them.
 """
 
 from __future__ import annotations
 
 import functools
 
-from functools import cache
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import bind
+
 # Piece type numbers.
 PAWN, LANCE, KNIGHT, SILVER, BISHOP, ROOK, GOLD, KING = range(1, 9)
 PRO_PAWN, PRO_LANCE, PRO_KNIGHT, PRO_SILVER, HORSE, DRAGON = range(9, 15)
@@ -83,7 +82,6 @@ def _walk(sq: int, df: int, dr: int, far: bool) -> list[int]:
     return path
 
 
-@cache
 @functools.cache
 def rays_of(ptype: int, color: int, sq: int) -> tuple[tuple[int, ...], ...]:
     """Empty-board paths of a piece, nearest square first, one per direction."""
@@ -195,7 +193,32 @@ def pair_ranges(spark: SparkSession, profile: str) -> DataFrame:
     return edge_pair_ranges(widths, len(CLASS_TYPE), profile)
 
 
-def pair_rows(spark: SparkSession, profile: str) -> DataFrame:
-    """One row per edge feature with its pair: at most 216,720 rows, so equi-joinable by broadcast."""
-    p = pair_ranges(spark, profile)
-    return F.broadcast(p.withColumn("row", F.explode(F.expr("sequence(base, base + width - 1)"))))
+_PAIRS: dict[str, list] = {}
+
+
+def pair_list(spark: SparkSession, profile: str) -> list:
+    """The rows of :func:`pair_ranges` by ``base``, at most 324, worked out once."""
+    if profile not in _PAIRS:
+        _PAIRS[profile] = sorted(pair_ranges(spark, profile).collect(), key=lambda r: r.base)
+    return _PAIRS[profile]
+
+
+PAIR_KEY = ("attacker_side", "ac", "attacked_side", "dc")
+
+
+def with_pair(rows: DataFrame, profile: str, row: str = "row") -> DataFrame:
+    """Add the pair (:data:`PAIR_KEY`) whose range holds the feature number in ``row``, without a join.
+
+    Bisection over the bases of the pairs (at most 324, a literal of the plan); a number that the
+    profile does not have fails the job.
+    """
+    pairs = pair_list(rows.sparkSession, profile)
+    bases = F.array(*[F.lit(r.base) for r in pairs])
+    size = pairs[-1].base + pairs[-1].width
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(pairs).bit_length()))])
+    number = F.col(row).cast("bigint")
+    outside = F.raise_error(F.format_string(f"feature row %s is outside profile {profile} of {size} rows", F.coalesce(number.cast("string"), F.lit("null")))).cast("int")
+    found = F.aggregate(steps, F.lit(-1), lambda at, step: F.when(F.get(bases, at + step) <= number, at + step).otherwise(at))
+    rows = bind(rows, "_pair", F.when(number.between(0, size - 1), found).otherwise(outside))
+    parts = {k: F.get(F.array(*[F.lit(r[k]) for r in pairs]), F.col("_pair")) for k in PAIR_KEY}
+    return rows.withColumns(parts).drop("_pair")

@@ -97,15 +97,8 @@ def edge_row_norms(df: DataFrame, ft_out: int) -> DataFrame:
     return df.groupBy(F.expr(f"idx div {ft_out}").alias("row")).agg(F.sum(F.col("v") * F.col("v")).alias("ss"))
 
 
-def inside_profile(rows: DataFrame, profile: str) -> DataFrame:
-    """``rows`` as they are; a ``row`` that the profile does not have fails the job."""
-    size = profile_rows(rows.sparkSession, profile)
-    outside = F.raise_error(F.format_string(f"feature row %d is outside profile {profile} of {size} rows", F.col("row"))).cast("bigint")
-    return rows.withColumn("row", F.when(F.col("row").between(0, size - 1), F.col("row")).otherwise(outside))
-
-
 def profile_rows(spark: SparkSession, profile: str) -> int:
-    return sum(r["width"] for r in dims.pair_ranges(spark, profile).collect())  # at most 324 rows
+    return sum(r["width"] for r in dims.pair_list(spark, profile))
 
 
 def _axis(name: str, key: Column) -> Column:
@@ -115,12 +108,11 @@ def _axis(name: str, key: Column) -> Column:
 def pair_norm_breakdown(df: DataFrame, ft_out: int, profile: str) -> DataFrame:
     """Sum of squares by attacker class, attack/defense, slider/step and same/cross class.
 
-    Feature rows are summed first (at most 216,720 rows), then mapped to their pair by a
-    broadcast of the fixed row dimension, then folded along all four axes at once. A tensor with
-    rows outside the profile is an error.
+    Feature rows are summed first, then find their pair by bisection in the row, then are folded
+    along all four axes at once. A tensor with rows outside the profile is an error.
     """
     spark = df.sparkSession
-    rows = inside_profile(edge_row_norms(df, ft_out), profile).join(dims.pair_rows(spark, profile), "row")
+    rows = dims.with_pair(edge_row_norms(df, ft_out), profile)
     names = F.array(*[F.lit(n) for n in dims.CLASS_NAMES])
     ac, dc = F.col("ac"), F.col("dc")
     axes = F.array(
@@ -158,10 +150,19 @@ def ablation_predicate(spec: str) -> Column:
     return table[spec]
 
 
-def random_rows(spark: SparkSession, n_rows: int, seed: int, k: int) -> DataFrame:
-    """``k`` of ``n_rows`` feature rows, chosen by the rank of a seeded hash."""
+def with_random_rows(rows: DataFrame, n_rows: int, seed: int, k: int, out: str) -> DataFrame:
+    """Add ``out``: whether ``row`` is among the ``k`` of ``n_rows`` feature rows that rank first by a seeded hash.
+
+    The last of them is found once; a row then compares its own draw with it, so nothing is joined.
+    """
+    if k < 1:
+        return rows.withColumn(out, F.lit(False))
+    spark = rows.sparkSession
     drawn = with_unit24(spark.range(n_rows).withColumnRenamed("id", "row"), "row", seed)
-    return drawn.orderBy("u24", "row").limit(k).select("row")
+    last = drawn.orderBy("u24", "row").limit(k).agg(F.max(F.struct("u24", "row")).alias("m")).first()["m"]
+    mine = with_unit24(rows, "row", seed, out="_u24")
+    first = (F.col("_u24") < last["u24"]) | ((F.col("_u24") == last["u24"]) & (F.col("row") <= last["row"]))
+    return mine.withColumn(out, first).drop("_u24")
 
 
 def ablate_rows(df: DataFrame, ft_out: int, profile: str, spec: str) -> DataFrame:
@@ -169,18 +170,14 @@ def ablate_rows(df: DataFrame, ft_out: int, profile: str, spec: str) -> DataFram
 
     ``spec`` is one of :data:`ABLATIONS` or ``random:<seed>:<rows>``.
     """
-    spark = df.sparkSession
-    rows = inside_profile(df.withColumn("row", F.expr(f"idx div {ft_out}")), profile)
-    pairs = dims.pair_rows(spark, profile)
+    rows = dims.with_pair(df.withColumn("row", F.expr(f"idx div {ft_out}")), profile)
     if spec.startswith("random:"):
         _, seed, k = spec.split(":")
-        n_rows = profile_rows(spark, profile)
-        hit = random_rows(spark, n_rows, int(seed), min(int(k), n_rows)).withColumn("zeroed", F.lit(True))
+        n_rows = profile_rows(df.sparkSession, profile)
+        out = with_random_rows(rows, n_rows, int(seed), min(int(k), n_rows), "zeroed")
     else:
-        hit = pairs.where(ablation_predicate(spec)).select("row", F.lit(True).alias("zeroed"))
-    out = rows.join(F.broadcast(hit), "row", "left")  # at most 216,720 rows
-    out = out.withColumn("zeroed", F.coalesce("zeroed", F.lit(False)))
-    return out.withColumn("v", F.when(F.col("zeroed"), 0.0).otherwise(F.col("v")))
+        out = rows.withColumn("zeroed", ablation_predicate(spec))
+    return out.drop(*dims.PAIR_KEY).withColumn("v", F.when(F.col("zeroed"), 0.0).otherwise(F.col("v")))
 
 
 def ablation_report(df: DataFrame, ft_out: int, profile: str) -> DataFrame:
@@ -191,9 +188,8 @@ def ablation_report(df: DataFrame, ft_out: int, profile: str) -> DataFrame:
     """
     spark = df.sparkSession
     values = df.groupBy(F.expr(f"idx div {ft_out}").alias("row")).agg(F.sum(F.col("v") * F.col("v")).alias("ss"), F.count("v").alias("n"))
-    key = ["attacker_side", "ac", "attacked_side", "dc"]
-    held = inside_profile(values, profile).join(dims.pair_rows(spark, profile), "row")
-    held = held.groupBy(*key).agg(F.sum("ss").alias("ss"), F.sum("n").alias("n"))
+    key = list(dims.PAIR_KEY)
+    held = dims.with_pair(values, profile).groupBy(*key).agg(F.sum("ss").alias("ss"), F.sum("n").alias("n"))
     pairs = dims.pair_ranges(spark, profile).select(*key, "width").join(held, key, "left")
     specs = F.array(*[F.struct(F.lit(s).alias("spec"), ablation_predicate(s).alias("hit")) for s in ABLATIONS])
     zero = F.lit(0)
