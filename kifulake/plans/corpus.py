@@ -121,6 +121,23 @@ def position_crosscheck(spark, sf):
     return checks.crosscheck(left, right, "rec_idx", ["score", "result", "ply"])
 
 
+@query(
+    "block_crosscheck",
+    """r AS (SELECT *, rec_idx // 1024 AS block FROM v_pos),
+       s AS (SELECT *, block % 5 = 2 AND rec_idx % 97 = 5 AS gone, CASE WHEN block % 5 = 3 AND rec_idx % 13 = 0 THEN NULL ELSE result END AS other FROM r)
+       SELECT block, count(*) AS n_left, count(*) FILTER (WHERE NOT gone) AS n_right,
+              count(*) FILTER (WHERE gone OR other IS DISTINCT FROM result) = 0 AS same FROM s GROUP BY 1""",
+    ("v_pos",),
+)
+def block_crosscheck(spark, sf):
+    """Which blocks of 1,024 records differ between positions and a copy that lost or changed some."""
+    left = ad.v_pos(spark, sf).select("rec_idx", "score", "result", "ply")
+    i, block = F.col("rec_idx"), F.floor(F.col("rec_idx") / 1024)
+    right = left.where(~((block % 5 == 2) & (i % 97 == 5)))
+    right = right.withColumn("result", F.when((block % 5 == 3) & (i % 13 == 0), F.lit(None)).otherwise(F.col("result")))
+    return checks.block_differences(left, right, "rec_idx", ["score", "result", "ply"], 1024)
+
+
 @query(
     "corpus_quality_check",
     """SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE ply > 1024) AS BIGINT) AS bad_ply,

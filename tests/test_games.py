@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kifulake.operators import checks, games, ordering
+from kifulake.operators import checks, games, ordering, surveys
 
 
 def stream(spark, files):
@@ -121,3 +121,56 @@ def test_boundary_blocks_alone_are_ordered(spark):
         assert {(r.file_id, r.rec_idx): r.batch_id for r in got} == {k: i // 32 for i, k in enumerate(order[:128])}
     with pytest.raises(Exception, match="no training records"):
         games.tail_split(rows, 1000).collect()
+
+
+def _side(spark, rows):
+    return spark.createDataFrame(rows, "k long, score int, result int")
+
+
+def test_crosscheck_by_block_digests(spark):
+    left = [(i, i % 7, None if i % 5 == 0 else i % 3) for i in range(400)] + [(None, 1, 1), (-3, 2, 2)]
+    right = [(k, s, r) for k, s, r in left if k is None or k % 50 != 9]
+    right = [(k, s + 1 if k == 130 else s, 0 if k in (140, 145) else r) for k, s, r in right] + [(900, 1, 1), (-2, 2, 2)]
+    mine = {k: (s, r) for k, s, r in left if k is not None}
+    other = {k: (s, r) for k, s, r in right if k is not None}
+    both = mine.keys() & other.keys()
+    want = {
+        "n_left": len(left), "n_right": len(right), "only_left": len(mine.keys() - other.keys()) + 1, "only_right": len(other.keys() - mine.keys()) + 1,
+        "diff_score": sum(mine[k][0] != other[k][0] for k in both), "diff_result": sum(mine[k][1] != other[k][1] for k in both),
+    }
+    for sent in (0, 100):
+        got = checks.crosscheck(_side(spark, left), _side(spark, right), "k", ["score", "result"], block_rows=16, sent=sent)
+        assert got.first().asDict() == want
+    empty = checks.crosscheck(_side(spark, []), _side(spark, []), "k", ["score"]).first()
+    assert (empty.n_left, empty.n_right, empty.only_left, empty.diff_score) == (0, 0, 0, 0)
+
+
+def test_equal_blocks_are_not_shuffled(spark):
+    left = spark.range(1000).select(F.col("id").alias("k"), F.lit(1).alias("score"))
+    right = left.withColumn("score", F.when(F.col("k") == 517, 2).otherwise(1))
+    blocks = checks.block_differences(left, right, "k", ["score"], 100)
+    apart = blocks.where("not same")
+    assert [r.block for r in apart.collect()] == [5] and blocks.count() == 10
+    kept = checks.differing_records(left, spark.createDataFrame(apart.collect(), apart.schema), "k", 100)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "BroadcastExchange" in plan
+    assert sorted(r.k for r in kept.collect()) == list(range(500, 600))
+    nulls = checks.block_differences(_side(spark, [(1, None, 1)]), _side(spark, [(1, 1, None)]), "k", ["score", "result"], 100)
+    assert not nulls.first().same  # a null in another field is another record
+
+
+@pytest.mark.parametrize("block", [1, 3, 64])
+def test_cumulative_snapshots_match_sorting(spark, block):
+    rnd = random.Random(5)
+    rows = [(rnd.randrange(9) * 2, None if rnd.random() < 0.1 else rnd.randrange(30)) for _ in range(500)] + [(None, 3)]
+    df = spark.createDataFrame(rows, "sb int, v int")
+    snapshots = surveys.cumulative_snapshots(df, "sb", "v", block=block)
+    assert "NestedLoop" not in snapshots._jdf.queryExecution().executedPlan().toString()
+    got = {r.superbatch: tuple(r)[1:] for r in snapshots.collect()}
+    want = {}
+    for sb in sorted({s for s, v in rows if s is not None and v is not None}):
+        seen = sorted(v for s, v in rows if s is not None and s <= sb and v is not None)
+        at = lambda p: seen[-(-len(seen) * p // 100) - 1]  # noqa: E731, B023
+        want[sb] = (len(seen), pytest.approx(sum(seen) / len(seen)), at(50), at(90), at(99), seen[-1])
+    assert got == want
+    assert surveys.cumulative_snapshots(df.where("false"), "sb", "v").count() == 0
