@@ -28,19 +28,6 @@ WDL_SQL = "(CASE WHEN result > 0 THEN 1.0 WHEN result = 0 THEN 0.5 ELSE 0.0 END)
 # ------------------------------------------------------------------------------ scans
 
 
-@query(
-    "record_range_scan",
-    "SELECT file_id, rec_idx, score FROM v_pos WHERE rec_idx >= (SELECT count(*) // 4 FROM events) AND rec_idx < (SELECT 3 * count(*) // 4 FROM events)",
-    ("v_pos",),
-)
-def record_range_scan(spark, sf):
-    """Records in [n/4, 3n/4); the bounds come from the parquet row count, the filter is pushed."""
-    n = ad.table(spark, sf, "events").count()
-    return ad.v_pos(spark, sf).where((F.col("rec_idx") >= n // 4) & (F.col("rec_idx") < 3 * n // 4)).select(
-        "file_id", "rec_idx", "score"
-    )
-
-
 @query(
     "strided_sample_scan",
     """SELECT file_id, rec_idx, score FROM (

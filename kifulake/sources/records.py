@@ -9,7 +9,7 @@ sorts behind what is there. ``spark.readStream`` follows a folder as files come:
 and a record in it, so that a query that stops goes on from its checkpoint in mid-file.
 
 Options: ``record`` (psv, hcpe or f64; default by file extension), ``start`` and ``end``
-(aligned byte range within one file), ``trailing`` (error or ignore), ``columns`` (comma list;
+(aligned byte range of the listed files, one behind the other), ``trailing`` (error or ignore), ``columns`` (comma list;
 unlisted fields are never built), ``recordsPerPartition``, ``expectedRecords``; for streams ``recordsPerTrigger``.
 """
 
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import itertools
 import re
 
 import numpy as np
@@ -113,23 +114,28 @@ class RecordReader(DataSourceReader):
                 raise ValueError(f"{path}: size {size} is not a multiple of the {size_of}-byte record")
         ranges = [(i, path, 0, size // size_of) for i, (path, size) in enumerate(files)]
         if opts.get("start") is not None or opts.get("end") is not None:
-            if len(files) != 1:
-                raise ValueError("a byte range needs exactly one file")
-            path, size = files[0]
-            start, end = int(opts.get("start", 0)), int(opts.get("end", size))
-            if start % size_of or (end % size_of and end != size):
+            whole = sum(size for _, size in files)
+            if len(files) > 1 and any(size % size_of for _, size in files):
+                raise ValueError("a byte range over several files needs whole records in each")
+            start, end = int(opts.get("start", 0)), int(opts.get("end", whole))
+            if start % size_of or (end % size_of and end != whole):
                 raise ValueError("byte range is not aligned to records")
-            if not 0 <= start <= end <= size:
+            if not 0 <= start <= end <= whole:
                 raise ValueError("byte range must satisfy 0 <= start <= end <= size")
-            ranges = [(0, path, start // size_of, end // size_of)]
+            cut, at = [], 0  # bytes of the listed files, one behind the other
+            for i, path, _, n in ranges:
+                low, high = max(start // size_of - at, 0), min(end // size_of - at, n)
+                cut += [(i, path, low, high)] if low < high else []
+                at += n
+            ranges = cut
         expected = opts.get("expectedrecords")
         if expected is not None and sum(r[3] - r[2] for r in ranges) != int(expected):
             raise ValueError(f"expected {expected} records, found {sum(r[3] - r[2] for r in ranges)}")
         total = sum(size // size_of for _, size in files)
         per = int(opts.get("recordsperpartition", max(PER_PARTITION, -(-total // MAX_PARTITIONS))))
-        parts, before = [], 0
+        parts, firsts = [], [0, *itertools.accumulate(size // size_of for _, size in files)]
         for file_id, path, start, end in ranges:
-            base, before = before, before + files[file_id][1] // size_of
+            base = firsts[file_id]
             if self.files is not None and file_id not in self.files:
                 continue
             start = start if self.low is None else max(start, self.low)
