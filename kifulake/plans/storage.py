@@ -8,7 +8,7 @@ from ..functions import times
 from ..functions.scores import r as rnd
 from ..operators import boards, filters, games
 from ..session import scratch_path
-from ..sources import documents, records
+from ..sources import documents, records, versions
 from ..streaming import games as stream_games, snapshots
 from . import adapters as ad
 from .oracle_text import games as games_sql, r
@@ -38,6 +38,22 @@ def psv_scan(spark, sf):
     return rows.select("global_idx", "move16", "score", "game_ply", "game_result")
 
 
+@query(
+    "record_range_scan",
+    "SELECT file_id, rec_idx, score FROM v_pos WHERE rec_idx >= (SELECT count(*) // 4 FROM events) AND rec_idx < (SELECT 3 * count(*) // 4 FROM events)",
+    ("v_pos",),
+)
+def record_range_scan(spark, sf):
+    """Records [n/4, 3n/4) of a stream in several files, as a byte range of the source: no other record is read."""
+    rows = ad.v_pos(spark, sf).select("rec_idx", F.lit(b"\0" * 32).alias("sfen"), F.col("score").cast("smallint").alias("score"), F.col("file_id").alias("move16"))
+    path = scratch_path(spark, "ranged")
+    records.write_records(rows, path, "psv", ["rec_idx"])
+    size = records.LAYOUTS["psv"].itemsize
+    n = sum(b for _, b in records.list_files(records.qualified(spark, path))) // size
+    back = records.read_psv(spark, path, start=n // 4 * size, end=3 * n // 4 * size, columns="global_idx,score,move16")
+    return back.select(F.col("move16").alias("file_id"), F.col("global_idx").alias("rec_idx"), F.col("score").cast("int").alias("score"))
+
+
 @query(
     "training_view",
     f"""t AS (SELECT * FROM v_text), g AS (SELECT pos_id, greatest(least(score, 3000), -3000) AS score FROM v_board WHERE abs(score) < 32000)
@@ -122,6 +138,24 @@ def run_document_source(spark, sf):
     return h.select("id", "superbatch", rnd(F.col("loss"), 9).alias("loss"), rnd(F.col("test_loss"), 9).alias("test_loss"), "lr", "l1", "batch_size", "prune_bands")
 
 
+@query(
+    "prune_versions",
+    """SELECT run, CAST(superbatch AS BIGINT) AS superbatch, loss FROM (
+         SELECT run, superbatch, round(loss, 9) + 0.0 AS loss, row_number() OVER (PARTITION BY run ORDER BY superbatch DESC) AS rn FROM v_hist)
+       WHERE rn <= 3""",
+    ("v_hist",),
+)
+def prune_versions(spark, sf):
+    """A folder per run and superbatch, pruned twice to the three newest of each run; what is left on disk."""
+    base = scratch_path(spark, "versions")
+    rows = ad.v_hist(spark, sf).select(F.format_string("%s-%d", "run", "superbatch").alias("version"), "run", F.col("superbatch").cast("bigint").alias("superbatch"), "loss")
+    rows.write.partitionBy("version").parquet(base)
+    for _ in range(2):
+        versions.prune(spark, base, r"^version=(.+)-(\d+)$", 3)
+    left = spark.read.schema(rows.schema).parquet(base)
+    return left.select("run", "superbatch", rnd(F.col("loss"), 9).alias("loss"))
+
+
 _CLOCK = "CAST(epoch(ts) // 1 AS BIGINT)"
 _LONG = "CAST(floor(value * 37) AS BIGINT)"
 
