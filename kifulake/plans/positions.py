@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import boards, dims
+from ..session import scratch_path
 from . import adapters as ad
 from .registry import query
 
@@ -89,6 +90,23 @@ def hcpe_quarantine_report(spark, sf):
     return rejected.groupBy("error").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "hcpe_quarantine_counters",
+    f"""{_LANCE}, k AS (SELECT CASE WHEN NOT ({_FLAW} AND ((pos_id // 50) % 4 <> 2 OR pos_id IN (SELECT pos_id FROM lance))) THEN 'sound'
+                                WHEN (pos_id // 50) % 4 = 0 THEN 'king squares' WHEN (pos_id // 50) % 4 = 1 THEN 'game result' WHEN (pos_id // 50) % 4 = 2 THEN 'piece inventory'
+                                ELSE '256-bit boundary' END AS reason FROM v_board)
+        SELECT reason, count(*) AS n_counted, count(*) AS n_stored FROM k GROUP BY 1""",
+    ("v_board", "v_cell"),
+)
+def hcpe_quarantine_counters(spark, sf):
+    """Sound and rejected records written in one decode: what its counters saw, and what the two tables hold."""
+    decoded = boards.decode_huffman(_huffman(spark, sf))
+    sound, rejected, counters = boards.write_quarantine(decoded, scratch_path(spark, "quarantine"))
+    stored = rejected.select(F.col("error").alias("reason")).union(sound.select(F.lit("sound"))).groupBy("reason").agg(F.count(F.lit(1)).alias("n_stored"))
+    counted = F.coalesce(*[F.when(F.col("reason") == k, F.lit(n)) for k, n in counters.items()])
+    return stored.select("reason", counted.cast("bigint").alias("n_counted"), "n_stored")
+
+
 @query(
     "sfen_to_positions",
     "SELECT * FROM v_text",
@@ -99,6 +117,44 @@ def sfen_to_positions(spark, sf):
     return as_text(boards.sfen_to_positions(text))
 
 
+#: How texts of each kind are spoilt (``pos_id mod 19``; the last kind is sound) and what is wrong with them.
+_EMPTY = "9/9/9/9/9/9/9/9/9"
+_SPOILT = [
+    ("concat(sfen_text, ' moves 7g7z')", "move text: 7g7z"),
+    ("concat(b, '/9 ', s, ' ', h, ' 1')", "ranks"),
+    ("concat('++P', sfen_text)", "promotion twice"),
+    ("concat('+1', sfen_text)", "promotion of nothing"),
+    ("concat(replace(b, '/', '+/'), ' ', s, ' ', h, ' 1')", "promotion at end"),
+    ("concat('x', sfen_text)", "piece letter"),
+    ("concat('1', sfen_text)", "long rank"),
+    ("concat(regexp_replace(b, '^[^/]*', '8'), ' ', s, ' ', h, ' 1')", "short rank"),
+    ("'moves 7g7f'", "no board"),
+    ("concat('sfen ', b)", "no side"),
+    ("concat('position sfen ', b, ' ', s)", "no hand"),
+    ("concat(b, ' ', s, ' ', h)", "no ply"),
+    ("concat(b, ' x ', h, ' 1')", "side letter"),
+    ("concat(b, ' ', s, ' ', h, ' 65536')", "ply number"),
+    ("concat(b, ' ', s, ' 2Q 1')", "hand letters"),
+    ("concat(b, ' ', s, ' - 1 moves P*5e')", "nothing to drop: P*5e"),
+    (f"concat('{_EMPTY} ', s, ' ', h, ' 1 moves 5e5d')", "nothing to move: 5e5d"),
+    ("CAST(NULL AS STRING)", "no board"),
+    ("sfen_text", None),
+]
+_REASONS = " ".join(f"WHEN {i} THEN '{e}'" for i, (_, e) in enumerate(_SPOILT) if e)
+
+
+@query(
+    "sfen_rejects",
+    f"SELECT pos_id, CASE pos_id % {len(_SPOILT)} {_REASONS} END AS error FROM v_board",
+    ("v_board",),
+)
+def sfen_rejects(spark, sf):
+    """Every position's text, most of them spoilt in one of the ways a text is rejected for, and the reason."""
+    text = boards.to_sfen(ad.v_board(spark, sf)).select("pos_id", "sfen_text", *[F.split_part("sfen_text", F.lit(" "), F.lit(i + 1)).alias(c) for i, c in enumerate("bsh")])
+    kinds = " ".join(f"WHEN {i} THEN {t}" for i, (t, _) in enumerate(_SPOILT))
+    return boards.sfen_to_positions(text.select("pos_id", F.expr(f"CASE pos_id % {len(_SPOILT)} {kinds} END").alias("sfen_text"))).select("pos_id", "error")
+
+
 _SQ_TEXT = "chr(CAST(49 + {s} // 9 AS INTEGER)) || chr(CAST(97 + {s} % 9 AS INTEGER))"
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kifulake.operators import boards
 from kifulake.sources import documents, records, versions
 from kifulake.streaming import snapshots
 
@@ -193,3 +194,58 @@ def test_durations(spark):
     rows = [(42.9,), (725.0,), (5025.0,), (0.0,), (-1.0,), (float("inf"),), (float("nan"),), (None,)]
     got = [r[0] for r in spark.createDataFrame(rows, "s double").select(times.duration(F.col("s"))).collect()]
     assert got == ["42s", "12m05s", "1h23m45s", "0s", "??", "??", "??", "??"]
+
+
+def test_byte_range_over_listed_files(spark, tmp_path):
+    import numpy as np
+
+    layout = records.LAYOUTS["psv"]
+    for i, n in enumerate((3, 0, 5, 2)):
+        rows = np.zeros(n, layout)
+        rows["score"] = np.arange(n) + 100 * i
+        (tmp_path / f"f{i}.bin").write_bytes(rows.tobytes())
+    listed = ",".join(str(tmp_path / f"f{i}.bin") for i in (2, 0, 1, 3))  # list order, not name order
+    every = [200, 201, 202, 203, 204, 0, 1, 2, 300, 301]
+    for low, high in [(0, 10), (4, 9), (5, 5), (5, 8), (9, 10)]:
+        got = records.read_psv(spark, listed, start=low * layout.itemsize, end=high * layout.itemsize, columns="global_idx,score").collect()
+        assert sorted((r.global_idx, r.score) for r in got) == list(enumerate(every))[low:high]
+    for start, end in [(1, 40), (0, 41), (0, 440)]:
+        with pytest.raises(Exception, match="byte range"):
+            records.read_psv(spark, listed, start=start, end=end, columns="score").collect()
+
+
+def test_prune_is_repeatable_and_leaves_other_files(spark, tmp_path):
+    base = str(tmp_path / "kept")
+    assert versions.prune(spark, base, r"^(a)-(\d+)$", 2) == 0
+    for name in ("net-1", "net-2", "net-10", "other-3", "notes.txt", "_marker-9"):
+        (tmp_path / "kept" / name).mkdir(parents=True)
+        (tmp_path / "kept" / name / "w").write_text("x")
+    (tmp_path / "kept" / "net-4").write_text("a plain file")
+    there = versions.list_versions(spark, base)
+    assert versions.prune(spark, base, r"^(.+)-(\d+)$", 2) == 2 and versions.prune(spark, base, r"^(.+)-(\d+)$", 2) == 0
+    assert sorted(p.name for p in (tmp_path / "kept").iterdir()) == ["_marker-9", "net-10", "net-4", "notes.txt", "other-3"]
+    assert versions.remove(there.where("name IN ('net-1', 'net-2')"), base) == 2  # gone already: no error
+
+
+def test_quarantine_counts_in_the_pass_that_writes(spark, tmp_path):
+    decoded = spark.createDataFrame(
+        [(1, None), (2, "code"), (3, None), (4, "game result"), (5, "code")], "pos_id long, error string"
+    ).withColumn("raw", F.lit(None).cast("binary"))
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    counted = decoded.mapInArrow(seen, decoded.schema)
+    sound, rejected, counters = boards.write_quarantine(counted, str(tmp_path / "q"))
+    assert {k: v for k, v in counters.items() if v} == {"sound": 2, "code": 2, "game result": 1}
+    assert sorted(r.pos_id for r in sound.collect()) == [1, 3] and sound.columns == ["pos_id"]
+    assert sorted((r.pos_id, r.error) for r in rejected.collect()) == [(2, "code"), (4, "game result"), (5, "code")]
+    assert reads.value == 5
+
+
+def test_null_text_is_rejected(spark):
+    rows = spark.createDataFrame([(None,), ("startpos",)], "sfen_text string")
+    assert [r.error for r in boards.sfen_to_positions(rows).collect()] == ["no board", None]
