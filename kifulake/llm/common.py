@@ -73,6 +73,29 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*plain) if plain else F.lit(0).cast("long")
 
 
+def hash_cut(df: DataFrame, h: Column, want: int) -> int | None:
+    """A bound that at least ``want`` rows have ``h`` (64-bit hashes) at or below, and few more; None if ``df`` has fewer.
+
+    Rows are counted by 12 bits of the hash at a time, so at most 4,096 counts come back per pass, until the bin
+    that holds the bound has no more than ``want`` rows (or is one hash).
+    """
+    unsigned = h.bitwiseXOR(F.lit(-(1 << 63)).cast("long"))  # orders as h does
+    prefix, below, depth = 0, 0, 0
+    while True:
+        rows = df.where(F.shiftrightunsigned(unsigned, 64 - depth) == prefix) if depth else df
+        depth = min(depth + 12, 64)
+        bins = rows.groupBy(F.shiftrightunsigned(unsigned, 64 - depth).alias("b")).count().collect()
+        for b, n in sorted((b & (1 << 64) - 1, n) for b, n in bins):
+            if below + n >= want:
+                prefix = b if b < 1 << 63 else b - (1 << 64)
+                break
+            below += n
+        else:
+            return None
+        if n <= want or depth == 64:
+            return ((b + 1) << (64 - depth)) - 1 - (1 << 63)
+
+
 def numbered(df: DataFrame, order: list[Column], out: str, label: str, groups: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(``df`` with ``out``: each row's place from 0 in ``order``; the manifest of its partitions).
 

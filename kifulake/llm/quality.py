@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binding import bind
-from .common import WORD, stash
+from .common import WORD, hash_cut, stash
 
 WINDOW = 8
 SAMPLE_ROWS = 20_000
@@ -190,14 +190,24 @@ def learn(rows: list[dict[str, float]], bad: list[bool], cuts: int = 32, max_rul
 def fit(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DecisionList:
     """A decision list from labelled statistics: ``labels`` has doc_id and quality (0 is bad).
 
-    Learns from at most ``sample_rows`` rows, those of smallest hash of their id; null labels and
-    ids are left out. No labels give an empty list.
+    Learns from at most ``sample_rows`` rows that pass the base rules, those of smallest hash of their id; null
+    labels and ids are left out. No labels give an empty list. Labels and statistics meet below a bound on the
+    hash, which is taken from counts of labels and raised fourfold until enough rows are below it: neither the
+    corpus nor a share of it per task is sorted for the sample.
     """
-    named = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_q")).where("_id is not null and _q is not null")
+    h = lambda c: F.xxhash64(c)
+    named = labels.select(F.col("doc_id").cast(stats.schema["doc_id"].dataType).alias("_id"), F.col("quality").alias("_q")).where("_id is not null and _q is not null")
     known = {f: c.alias(f) for f, c in features().items()}
-    sample = stats.join(named, F.col("doc_id") == F.col("_id")).where(~base_failed())
-    sample = sample.select(F.xxhash64("doc_id").alias("_h"), "doc_id", *known.values(), (F.col("_q") == 0).alias("_bad"))
-    got = sample.orderBy("_h", "doc_id", "_bad", *FEATURES).limit(sample_rows).collect()
+    want = 2 * sample_rows
+    while True:
+        cut = hash_cut(named, h("_id"), want)
+        ours, theirs = (named, stats) if cut is None else (named.where(h("_id") <= F.lit(cut)), stats.where(h("doc_id") <= F.lit(cut)))
+        sample = theirs.where(~base_failed()).join(ours, F.col("doc_id") == F.col("_id"))
+        sample = sample.select(F.xxhash64("doc_id").alias("_h"), "doc_id", *known.values(), (F.col("_q") == 0).alias("_bad"))
+        got = sample.orderBy("_h", "doc_id", "_bad", *FEATURES).limit(sample_rows).collect()
+        if cut is None or len(got) == sample_rows:
+            break
+        want *= 4
     return learn([{f: r[f] for f in FEATURES} for r in got], [r["_bad"] for r in got])
 
 

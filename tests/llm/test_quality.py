@@ -65,3 +65,39 @@ def test_query(spark, name):
     poor = [k for q, k in usable if q == 0]
     print(len(good), sum(good), len(poor), sum(poor))
     assert sum(good) >= 0.97 * len(good) and sum(poor) <= 0.3 * len(poor)
+
+
+@pytest.mark.parametrize("want", [1, 7, 300, 5000])
+def test_hash_cut(spark, want):
+    from pyspark.sql import functions as F
+
+    from kifulake.llm.common import hash_cut
+
+    rows = spark.range(900).select(F.xxhash64("id").alias("h")).union(spark.range(300).select(F.xxhash64(F.lit(5)).alias("h")))
+    cut = hash_cut(rows, F.col("h"), want)
+    hashes = sorted(r.h for r in rows.collect())
+    if want > len(hashes):
+        assert cut is None
+    else:
+        held = sum(h <= cut for h in hashes)
+        assert want <= held <= want + max(want, 300) and cut >= hashes[want - 1]
+
+
+def test_the_sample_is_the_smallest_hashes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    n = 3000
+    words = F.when(F.col("id") % 10 < 8, 5).otherwise(30)  # four in five fail the base rules, so the bound must rise
+    stats = spark.range(n).select(
+        F.col("id").alias("doc_id"), words.cast("long").alias("n_words"),
+        *[(F.col("id") % k).alias(c) for k, c in ((7, "word_chars"), (3, "n_symbols"), (2, "n_dup_lines"), (5, "n_capitals"), (4, "n_marks"), (6, "n_digits"))],
+        F.lit(0).cast("long").alias("n_repeat_words"),
+    )
+    labels = spark.range(0, 2 * n, 2).select(F.col("id").cast("int").alias("doc_id"), F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 5).alias("quality"))
+    kept = {}
+    monkeypatch.setattr(quality, "learn", lambda rows, bad: kept.update(rows=rows, bad=bad))
+    for size in (20, 10_000):
+        quality.fit(stats, labels, size)
+        usable = stats.where("n_words >= 20 AND doc_id % 2 = 0 AND doc_id % 3 <> 0").select("doc_id", F.xxhash64("doc_id").alias("h"), "n_capitals", "n_words")
+        want = sorted((r.h, r.doc_id, r.n_capitals / r.n_words) for r in usable.collect())[:size]
+        assert [r["capitals"] for r in kept["rows"]] == [w[2] for w in want] and kept["bad"] == [w[1] % 5 == 0 for w in want]
