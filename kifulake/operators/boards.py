@@ -80,41 +80,72 @@ def huffman_hand_bits(ptype: int, color: int) -> str:
     return _text_bits(*HUFFMAN_HAND[(ptype, color)])
 
 
-def _codes(fn) -> Column:
-    return F.array(*[F.lit("" if c // 2 == dims.KING else fn(c)) for c in range(30)])
+def _number(bits: str) -> tuple[int, int]:
+    return sum(1 << k for k, b in enumerate(bits) if b == "1"), len(bits)
 
 
-def _king_bits(sq: Column) -> Column:
-    return F.reverse(F.lpad(F.bin(sq.cast("bigint")), 7, "0"))
-
-
-def _encode(board_bits, hand_bits) -> Column:
-    codes = _codes(board_bits)
-    squares = F.array_join(F.transform("board", lambda c: F.get(codes, c.cast("int"))), "")
-    hands = [
-        F.repeat(F.lit(hand_bits(t, color)), F.get(hand, F.lit(slot)).cast("int"))
-        for color, hand in ((0, F.col("black_hand")), (1, F.col("white_hand")))
-        for slot, t in enumerate(dims.HAND_TYPES)
-    ]
-    bits = F.concat(F.col("stm").cast("string"), _king_bits(F.col("bk_sq")), _king_bits(F.col("wk_sq")), squares, *hands)
-    return F.rpad(bits, RECORD_BITS, "0")
-
-
-def _bits_to_bytes(bits: str) -> Column:
-    octet = f"lpad(conv(reverse(substring({bits}, 8 * k + 1, 8)), 2, 16), 2, '0')"
-    return F.expr(f"unhex(array_join(transform(sequence(0, 31), k -> {octet}), ''))")
+def _put(bits: np.ndarray, rows: np.ndarray, at: np.ndarray, value: np.ndarray, length: np.ndarray) -> None:
+    """Write codes of up to 8 bits at their places, lowest bit first."""
+    for k in range(8):
+        live = length > k
+        bits[rows[live], at[live] + k] = value[live] >> k & 1
+
+
+def _write_codes(board: np.ndarray, hands: np.ndarray, stm: np.ndarray, kings: tuple[np.ndarray, np.ndarray], fmt: str) -> np.ndarray:
+    """``(n, 32)`` bytes of boards ``(n, 81)`` and hands ``(n, 14)``, all rows in step; what runs past the record is cut off."""
+    square, held = (packed_board_bits, packed_hand_bits) if fmt == "packed" else (huffman_board_bits, huffman_hand_bits)
+    table = np.zeros((256, 2), np.int64)  # kings, and codes that are none, take no bits
+    table[:30] = [(0, 0) if c // 2 == dims.KING else _number(square(c)) for c in range(30)]
+    pieces = [_number(held(t, color)) for color in (0, 1) for t in dims.HAND_TYPES]
+    n = len(board)
+    value, length = np.moveaxis(table[board.view(np.uint8)], 2, 0)
+    counts = np.maximum(hands.astype(np.int64), 0)
+    total = 15 + length.sum(1) + counts @ np.array([m for _, m in pieces])
+    bits = np.zeros((n, max(RECORD_BITS, int(total.max(initial=0))) + 8), np.uint8)
+    bits[:, 0] = stm
+    for first, sq in zip((1, 8), kings, strict=True):
+        bits[:, first : first + 7] = sq.astype(np.int64)[:, None] >> np.arange(7) & 1
+    at = 15 + np.cumsum(length, axis=1)
+    _put(bits, np.repeat(np.arange(n), 81), (at - length).ravel(), value.ravel(), length.ravel())
+    at = at[:, -1]
+    for slot, (code, width) in enumerate(pieces):
+        for j in range(int(counts[:, slot].max(initial=0))):
+            rows = np.flatnonzero(counts[:, slot] > j)
+            _put(bits, rows, at[rows], np.full(len(rows), code), np.full(len(rows), width))
+            at[rows] += width
+    return np.packbits(bits[:, :RECORD_BITS], axis=1, bitorder="little")
+
+
+def _matrix(lists: pa.Array, width: int) -> np.ndarray:
+    return lists.flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int8).reshape(-1, width)
+
+
+def _encoded(positions: DataFrame, out: str, fmt: str) -> DataFrame:
+    columns = ("board", "black_hand", "white_hand", "stm", "bk_sq", "wk_sq")
+
+    @F.arrow_udf("binary")
+    def encode(board: pa.Array, black: pa.Array, white: pa.Array, stm: pa.Array, bk: pa.Array, wk: pa.Array) -> pa.Array:
+        given = [board, black, white, stm, bk, wk]
+        sound = np.logical_and.reduce([np.asarray(c.is_valid()) for c in given])
+        board, black, white, stm, bk, wk = (c.filter(pa.array(sound)) for c in given)
+        hands = np.concatenate([_matrix(black, 7), _matrix(white, 7)], axis=1)
+        raw = _write_codes(_matrix(board, 81), hands, np.asarray(stm), (np.asarray(bk), np.asarray(wk)), fmt)
+        # a null row takes no bytes
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.where(sound, RECORD_BITS // 8, 0))]).astype(np.int32))
+        mask = None if sound.all() else pa.py_buffer(np.packbits(sound, bitorder="little"))
+        return pa.Array.from_buffers(pa.binary(), len(sound), [mask, ends.buffers()[1], pa.py_buffer(raw.tobytes())])
+
+    return positions.withColumn(out, encode(*columns))
 
 
 def encode_packed(positions: DataFrame, out: str = "sfen") -> DataFrame:
-    """Add the 32-byte packed form of each position, JVM-side."""
-    df = bind(positions, "_bits", _encode(packed_board_bits, packed_hand_bits))
-    return df.withColumn(out, _bits_to_bytes("_bits")).drop("_bits")
+    """Add the 32-byte packed form of each position, a batch at a time; null where a part of the position is."""
+    return _encoded(positions, out, "packed")
 
 
 def encode_huffman(positions: DataFrame, out: str = "pos") -> DataFrame:
-    """Add the 32-byte form of the second format."""
-    df = bind(positions, "_bits", _encode(huffman_board_bits, huffman_hand_bits))
-    return df.withColumn(out, _bits_to_bytes("_bits")).drop("_bits")
+    """Add the 32-byte form of the second format, likewise."""
+    return _encoded(positions, out, "huffman")
 
 
 # ------------------------------------------------------------------------- decoding

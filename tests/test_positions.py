@@ -217,3 +217,18 @@ def test_edge_arrays_equal_edge_rows(spark, sf, profile):
         F.sort_array(F.collect_list(F.col("stm_idx").cast("int"))).alias("s"), F.sort_array(F.collect_list(F.col("nstm_idx").cast("int"))).alias("n")
     )
     assert arrays.exceptAll(rows).isEmpty() and rows.exceptAll(arrays).isEmpty()
+
+
+def test_encoders_keep_nulls_and_long_positions(spark):
+    start = boards.sfen_to_positions(spark.createDataFrame([("startpos",)], "sfen_text string")).drop("sfen_text", "error", "ply")
+    rows = start.union(start.withColumn("board", F.lit(None).cast("array<tinyint>"))).union(start.withColumn("bk_sq", F.lit(None).cast("tinyint")))
+    # too many pieces for 256 bits: cut off, as the record is
+    full = start.withColumn("black_hand", F.expr("transform(sequence(1, 7), x -> CAST(18 AS TINYINT))"))
+    for encode, out in ((boards.encode_packed, "sfen"), (boards.encode_huffman, "pos")):
+        got = [r[out] for r in encode(rows).collect()]
+        assert len(got[0]) == 32 and got[1:] == [None, None]
+        long = encode(full).first()[out]
+        assert len(long) == 32 and long[:8] == got[0][:8]
+        assert encode(rows.where("false")).count() == 0
+    again = boards.decode_positions(boards.encode_packed(start).select(F.lit(1).alias("pos_id"), "sfen")).drop("pos_id")
+    assert again.select(*start.columns).collect() == start.collect()
