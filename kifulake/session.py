@@ -6,6 +6,9 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,9 +52,35 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_SCOPE: ContextVar[str | None] = ContextVar("scratch_scope", default=None)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder; never reused, so a retry cannot see old files."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    """A fresh path below the shared folder, or below the open :func:`scratch_scope`; never reused, so a retry
+    cannot see old files."""
+    return os.path.join(_SCOPE.get() or shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder wherever Spark would write it; nothing happens if it is not there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession, label: str = "run") -> Iterator[str]:
+    """One parent folder for all tables that jobs started inside write between their steps; deleted on leaving.
+
+    Results are lazy: write or collect what was asked for before the block ends. A path for it that
+    outlives the block is one taken from :func:`scratch_path` ahead of it. Blocks nest.
+    """
+    path = scratch_path(spark, label)
+    before = _SCOPE.set(path)
+    try:
+        yield path
+    finally:
+        _SCOPE.reset(before)
+        delete_path(spark, path)
 
 
 SPREAD_BYTES = 64 << 20
