@@ -17,7 +17,11 @@ GRAM = 5
 #: Minimum of this many consecutive grams: any 13 equal words share a chosen gram.
 SPREAD = WINDOW - GRAM + 1
 REACH = WINDOW - GRAM
-FILTER_BITS = 24
+#: Item contexts of a gram up to which documents that hold it meet each of them.
+FAN = 16
+#: Bits of the filter: from 2^20, at least 16 per fingerprint, up to 2^27 (16 MB).
+FILTER_BITS = (20, 27)
+PROBES = (0, 18, 36)
 
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[ord("A") : ord("Z") + 1] += 32
@@ -93,9 +97,9 @@ def _marks(batch: pa.RecordBatch, short: tuple[int, ...], allowed: np.ndarray |
 
 
 def _bits(allowed: np.ndarray, fps: np.ndarray) -> np.ndarray:
-    mask = np.uint64((1 << FILTER_BITS) - 1)
+    mask = np.uint64(64 * len(allowed) - 1)
     out = np.ones(len(fps), bool)
-    for shift in (0, 20, 40):
+    for shift in PROBES:
         p = (fps >> np.uint64(shift)) & mask
         out &= (allowed[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
     return out
@@ -156,6 +160,38 @@ def _extend(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.mapInArrow(run, schema)
 
 
+def _filter(fps: DataFrame) -> bytes:
+    """Bit array over the distinct fingerprints of column ``fp``, sized by their number."""
+    fps = fps.select("fp").distinct()
+    least, most = FILTER_BITS
+    size = min(most, max(least, (16 * fps.count()).bit_length()))
+    place = F.explode(F.array(*[F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << size) - 1)) for s in PROBES]))
+    words = (
+        fps.select(place.alias("p"))
+        .groupBy(F.shiftright("p", 6).alias("w"))
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("v"))
+    )
+    bits = np.zeros(1 << (size - 6), np.uint64)
+    found = words.toArrow()  # at most 2^21 rows of two numbers, however many items
+    bits[found["w"].to_numpy()] = found["v"].to_numpy().view(np.uint64)
+    return bits.tobytes()
+
+
+def _windows(marks: DataFrame, keys: list[str], lead: str, context: str) -> DataFrame:
+    """(keys, window_id, begin): the windows of ``WINDOW`` words around each gram of ``marks`` within its context,
+    by SHA-256 of their words; ``begin`` counts from the gram's place, down from 0."""
+    words = F.split(context, " ")
+    left = F.greatest(F.lit(0), F.col(lead) - REACH)
+    last = F.least(F.col(lead), F.size(words) - WINDOW)
+    starts = F.when(last >= left, F.sequence(left, last))
+    rows = marks.withColumn("_start", F.explode(starts))
+    return rows.select(
+        *keys,
+        F.sha2(F.array_join(F.slice(words, F.col("_start") + 1, F.lit(WINDOW)), " "), 256).alias("window_id"),
+        (F.col("_start") - F.col(lead)).alias("begin"),
+    )
+
+
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text_hash, n_words, n_hit, n_items, items, contaminated), a row per input row.
 
@@ -164,10 +200,13 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     a window is hit; a document is contaminated if at least one word and 5% of its words are.
 
     The smallest of every 9 consecutive 5-gram hashes is kept on both sides, so 13 equal words share
-    a kept gram; windows of shorter items are looked up as they are. A filter of 2^24 bits of the
-    items' fingerprints, whatever their number, spares the join what cannot match; the join and the
-    extension decide. Item contexts that repeat are one context, so common passages do not multiply
-    documents by items before the list of items is asked for.
+    a kept gram; windows of shorter items are looked up as they are. A filter of the items'
+    fingerprints, up to 2^27 bits, spares the join what cannot match; the join and the extension
+    decide. Item contexts that repeat are one context, so common passages do not multiply documents
+    by items before the list of items is asked for. A gram in over ``FAN`` different contexts (a
+    common phrase) meets none of them: there both sides are extended to the windows of 13 words that
+    hold it and joined on these, each distinct item window once, so a document meets no context
+    that it does not share.
 
     Null text has no words. Rows equal in doc_id and text get the same result. Items without an id
     hit words but cannot be listed. An empty benchmark hits nothing.
@@ -180,27 +219,25 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     marks = marks.withColumn("context_id", F.sha2(F.concat_ws("|", "whole", "n", "item_lead", "item_context"), 256))
     marks = stash(marks, "item-marks")
-    contexts = marks.drop("item_id").distinct()
-    listed = marks.where("item_id is not null").select("context_id", "item_id").distinct()
+    contexts = stash(marks.drop("item_id").distinct(), "contexts")
+    gram = ["fp", "n", "whole"]
+    common = stash(contexts.where("not whole").groupBy(*gram).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FAN).select(*gram), "common-grams")
+    spelled = _windows(marks.join(common, gram, "left_semi"), ["item_id"], "item_lead", "item_context").select("item_id", "window_id").distinct()
+    spelled = stash(spelled, "item-windows")
+    listed = marks.select("context_id", "item_id").union(spelled.select("window_id", "item_id")).where("item_id is not null").distinct()
     short = tuple(sorted(r[0] for r in marks.where("whole").select("n").distinct().collect()))  # at most 12
-    place = F.explode(F.array(*[F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) for s in (0, 20, 40)]))
-    words = (
-        marks.select(place.alias("p"))
-        .groupBy(F.shiftright("p", 6).alias("w"))
-        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("v"))
-    )
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    for w, v in words.collect():  # at most 2^18 rows, however many items
-        bits[w] = np.uint64(v & (1 << 64) - 1)
-    allowed = spark.sparkContext.broadcast(bits.tobytes())
+    allowed = spark.sparkContext.broadcast(_filter(contexts))
 
     text = F.col("text").cast("string")
     rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"))
     scanned = stash(_scan(rows, short, allowed), "document-marks")
     keys = ["doc_id", "text_hash"]
     ours = scanned.select(*keys, F.explode("marks").alias("m")).select(*keys, "m.*").distinct()
-    pairs = ours.join(contexts, ["fp", "n", "whole"])
-    spans = stash(_extend(pairs, keys), "hits")
+    pairs = ours.join(contexts.join(common, gram, "left_anti"), gram)
+    windows = _windows(ours.join(common, gram, "left_semi"), [*keys, "at"], "lead", "context")
+    windows = windows.join(spelled.select("window_id").distinct(), "window_id")
+    windows = windows.select(*keys, F.col("window_id").alias("context_id"), (F.col("at") + F.col("begin")).alias("begin"), (F.col("at") + F.col("begin") + WINDOW).alias("end"))
+    spans = stash(_extend(pairs, keys).union(windows), "hits")
     by_doc = Window.partitionBy(*keys).orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1)
     hit = (
         spans.select(*keys, "begin", "end")

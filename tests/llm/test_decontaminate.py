@@ -61,3 +61,34 @@ def test_empty(spark):
     none = spark.createDataFrame([], ITEMS)
     assert decontaminate.find(spark.createDataFrame([], DOCS), none).count() == 0
     compare(spark, docs(spark), [])
+
+
+def phrase(n, seed):
+    """Items that all hold one common phrase, each among words of its own, and texts with some of their windows."""
+    common = "which of the following is best described as".split()
+    items, texts = [], []
+    for i in range(n):
+        before, after = prose(seed + 2 * i, 9, 400).split(), prose(seed + 2 * i + 1, 9, 400).split()
+        items.append((i, " ".join(before + common + after)))
+        if i % 3 == 0:
+            texts.append(" ".join(before[i % 9 :] + common + after[: i % 7]))  # a window of 13 words, or less than one
+            texts.append(prose(5 * i, 6, 400) + " " + " ".join(common) + " " + prose(7 * i, 6, 400))
+    return items, texts
+
+
+def test_common_grams_with_many_contexts(spark):
+    items, texts = phrase(60, 9000)
+    compare(spark, docs(spark, texts, repeat=False), [*items, (None, items[0][1]), (99, items[3][1].upper())])
+
+
+def test_common_grams_meet_no_foreign_context(spark, monkeypatch):
+    """The extension sees only grams with few contexts."""
+    items, texts = phrase(120, 20000)
+    seen = []
+    extend = decontaminate._extend
+    monkeypatch.setattr(decontaminate, "_extend", lambda pairs, keys: seen.append(pairs.count()) or extend(pairs, keys))
+    compare(spark, docs(spark, texts, repeat=False), items)
+    assert seen[0] <= decontaminate.FAN * 9 * len(texts)
+    monkeypatch.setattr(decontaminate, "FAN", 10**9)
+    compare(spark, docs(spark, texts, repeat=False), items)
+    assert seen[1] > 4 * seen[0]
