@@ -15,19 +15,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import delete_path, scratch_path
 
 WORD = r"[^\x20\x09-\x0D]+"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; the shuffles behind it are then dropped.
+def stash(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder (or ``path``) and read it back; the shuffles behind it are then dropped.
 
     Cuts lineage in a way that survives lost executors and keeps one job's disk from adding to the next.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, label)
+    path = path or scratch_path(spark, label)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -44,9 +44,7 @@ def stash(df: DataFrame, label: str) -> DataFrame:
 
 def discard(stashed: DataFrame) -> None:
     """Delete the folder of a stashed table that nothing still to be computed reads."""
-    spark = stashed.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(stashed._stash_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete_path(stashed.sparkSession, stashed._stash_path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
