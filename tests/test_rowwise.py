@@ -82,3 +82,33 @@ def test_small_steps_are_taken_without_reading_files(spark, sf, monkeypatch):
     monkeypatch.setattr(progress, "SMALL_STEP", 0)
     large, other = progress.progress_train(pos, **args)
     assert np.allclose(small, large, rtol=1e-9, atol=1e-12) and abs(log[1]["train_loss"] - other[1]["train_loss"]) < 1e-12
+
+
+def test_scores_add_up_in_the_order_asked_for(spark):
+    """A text on the edge of a bin falls where the sum in text order falls."""
+    words = [(d, i, t) for d, text in ((1, "big one small"), (2, "one big small"), (3, "one one none")) for i, t in enumerate(text.split())]
+    f = spark.createDataFrame(words, "pos_id bigint, place int, token string").orderBy(F.desc("place"))
+    w = spark.createDataFrame([("big", 1e16), ("one", 3.0), ("small", -1e16)], "token string, w double")
+    got = {r.pos_id: r.p for r in progress.progress_score(f, w, "token", place="place").collect()}
+    z = {1: 1e16 + 3.0 - 1e16, 2: 3.0 + 1e16 - 1e16, 3: 6.0}
+    assert all(abs(got[k] - 1 / (1 + np.exp(-z[k]))) < 1e-12 for k in z)
+
+
+def test_cancelling_texts_fall_in_the_bin_of_their_sum_in_order(spark, tmp_path):
+    """Weights 2.3, 1.0 and eleven of -0.3 add up to zero, in doubles to a little more or less by their order."""
+    import random
+
+    import duckdb
+
+    words, rng = ["x" * 27, "y" * 14, *"abcdefghijk"], random.Random(1)
+    texts = [" ".join(rng.sample(words, len(words))) for _ in range(200)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(len(texts)).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality").write.parquet(str(tmp_path / "labels.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    q = QUERIES["progress_eval"]
+    got = q.run(spark, str(tmp_path)).first()
+    want = con.execute(q.sql)
+    want = dict(zip([d[0] for d in want.description], want.fetchone()))
+    assert min(want["h3"], want["h4"]) > 0 and {k: v for k, v in got.asDict().items() if k[0] == "h"} == {k: v for k, v in want.items() if k[0] == "h"}
