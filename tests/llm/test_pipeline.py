@@ -5,9 +5,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from check import compare, connect
 from rows import DOCS, docs
+from pyspark.sql import functions as F
 from test_decontaminate import brute as windows
 from test_mixing import targets
 from test_simhash import classes, fingerprint
@@ -118,3 +120,14 @@ def test_query_matches_sql(spark, sf, name):
 
     ok, message, _ = compare(spark, connect(sf), sf, Q)
     assert ok, message
+
+
+def test_least_score_is_the_quantile_of_all_held_out_documents(spark, monkeypatch):
+    """5,000 held-out labelled documents, most of one score: none is left out."""
+    d = spark.range(25000).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("lang"))
+    score = F.when(F.col("doc_id") % 37 == 0, (F.col("doc_id") % 991) / 4000 + 0.3).otherwise(F.lit(0.999))
+    monkeypatch.setattr(language, "predict", lambda docs, net: docs.select("doc_id", F.lit("a").alias("lang_pred"), score.alias("score")))
+    want = [r.score for r in d.where(language.held_out(F.col("doc_id"))).select(score.alias("score")).collect()]
+    assert len(want) > 4000
+    got = language.least_score(d, language.Network.fresh(["a", "b"]))
+    assert abs(got - (0.5 + 0.25 * (float(np.quantile(want, 0.01)) - 0.5))) < 1e-12
