@@ -1,5 +1,7 @@
 """Board queries work row by row: no features or edges are regrouped, and tasks hold a bounded number of rows."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -112,3 +114,55 @@ def test_cancelling_texts_fall_in_the_bin_of_their_sum_in_order(spark, tmp_path)
     want = con.execute(q.sql)
     want = dict(zip([d[0] for d in want.description], want.fetchone()))
     assert min(want["h3"], want["h4"]) > 0 and {k: v for k, v in got.asDict().items() if k[0] == "h"} == {k: v for k, v in want.items() if k[0] == "h"}
+
+
+@pytest.mark.parametrize("name", ["progress_score", "progress_bucket", "progress_gradient", "progress_eval", "adam_step"])
+def test_weights_meet_blocks_not_single_positions(spark, sf, name):
+    """No shuffle carries a row per position and token: that is many times the texts."""
+    plan = QUERIES[name].run(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and not re.search(r"Aggregate \[pos_id#\d+L?, token", plan)
+
+
+ODD_ROWS = [(1, ["a", "b", "a"]), (1, ["c"]), (2, ["a", None, "no"]), (3, []), (4, None), (5, ["b"]), (None, ["b"]), (6, ["only"])]
+ODD_WEIGHTS = [("a", 0.5), ("a", 0.25), ("b", -2.0), ("c", None), ("only", 1.0)]
+
+
+@pytest.mark.parametrize("block", [1, 1 << 20])
+def test_block_scores_and_gradients_equal_loops(spark, monkeypatch, block):
+    """Positions of several rows, or none, of empty arrays; features unknown, null or listed twice; targets null, missing or given twice."""
+    monkeypatch.setattr(progress, "BLOCK_BYTES", block)
+    w = spark.createDataFrame(ODD_WEIGHTS, "token string, w double")
+    plain = spark.createDataFrame(ODD_ROWS, "pos_id bigint, token array<string>")
+    rows = progress.in_blocks(plain, F.size("token"))
+    total = {t: sum(x for k, x in ODD_WEIGHTS if k == t and x is not None) for t, _ in ODD_WEIGHTS}
+    z = {}
+    for pos, tokens in ODD_ROWS:
+        z[pos] = z.get(pos, 0.0) + sum(total.get(t, 0.0) for t in tokens or ())
+    p = {k: 1 / (1 + np.exp(-v)) for k, v in z.items()}
+    got = progress.score_rows(rows, w, "token").collect()
+    assert len(got) == len(p) and all(abs(r.p - p[r.pos_id]) < 1e-12 for r in got)
+
+    targets = [(1, 1.0, 0.5), (1, 0.0, 2.0), (2, 0.0, 1.0), (3, 1.0, 1.0), (6, None, 1.0)]
+    lists = progress.target_lists(spark.createDataFrame(targets, "pos_id bigint, target double, norm double"))
+    want = {}
+    for pos, tokens in ODD_ROWS:
+        for t in tokens or ():
+            for at, y, norm in targets:
+                if at == pos:
+                    g = want.setdefault(t, None)
+                    want[t] = g if y is None else (g or 0.0) + 2 * (p[pos] - y) * p[pos] * (1 - p[pos]) * norm
+    found = progress.row_gradient(progress.in_blocks(plain.join(lists, "pos_id"), F.size("token")), w, "token").collect()
+    found = {r.token: r.g for r in found}
+    assert found.keys() == want.keys() and found["only"] is None
+    assert all(abs(found[k] - g) < 1e-12 for k, g in want.items() if g is not None)
+
+
+def test_a_block_asks_for_a_feature_once(spark, monkeypatch):
+    f = spark.range(500).select(F.col("id").alias("pos_id"), F.array(F.lit("the"), F.concat(F.lit("w"), F.col("id") % 5)).alias("token"))
+    monkeypatch.setattr(progress, "BLOCK_BYTES", 1 << 20)
+    rows = progress.in_blocks(f, F.size("token"))
+    w = spark.createDataFrame([("the", 1.0), *[(f"w{i}", float(i)) for i in range(5)]], "token string, w double")
+    blocks = rows.select("_block").distinct().count()
+    assert 6 <= progress.block_weights(rows, w, "token").count() <= 6 * blocks < 100
+    monkeypatch.setattr(progress, "BLOCK_BYTES", 10)
+    assert progress.in_blocks(f, F.size("token")).select("_block").distinct().count() > 4 * blocks
