@@ -72,6 +72,72 @@ def test_a_stopped_training_goes_on(spark, sf, tmp_path, monkeypatch, save_every
     assert progress.progress_train(pos, **args, state_path=path)[1] == []  # nothing left to do
 
 
+def test_many_small_steps_are_taken_in_runs(spark, sf):
+    """Fewer jobs than steps, and the weights of the same steps one by one on one machine."""
+    pos = ad.v_board(spark, sf).where("pos_id < 500")
+    table = progress.training_table(pos, 0.25, 2).orderBy("step_id", "pos_id").toArrow()
+    train = [r for r in table.to_pylist() if not r["is_val"]]
+    steps = max(r["step_id"] for r in train) + 1
+    spark.sparkContext.setJobGroup("runs", "runs")
+    w, log = progress.progress_train(pos, epochs=2, games_per_step=2, fraction=0.25, lr=0.01)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("runs")
+    spark.sparkContext.setJobGroup("after", "after")
+    assert steps > 50 and len(jobs) < steps
+    state, losses = progress.TrainState.start(), []
+    for _ in range(2):
+        for step in range(steps):
+            g = np.zeros(progress.N_WEIGHTS)
+            for r in (r for r in train if r["step_id"] == step):
+                p = 1 / (1 + math.exp(-sum(state.w[i] for i in r["idx"])))
+                losses.append((p - r["target"]) ** 2)
+                np.add.at(g, r["idx"], 2 * (p - r["target"]) * p * (1 - p) * r["norm"])
+            state.take(g, 0.01 * math.sqrt(2))
+    assert np.allclose(w, state.w, atol=1e-9)
+    assert [r["train_samples"] for r in log] == [len(train)] * 2 and log[0]["val_samples"] == table.num_rows - len(train) == sum(log[0]["val_hist"])
+    assert log[1]["train_loss"] == pytest.approx(np.mean(losses[len(train) :]))
+
+
+def test_a_training_stopped_within_a_run_goes_on(spark, sf, tmp_path, monkeypatch):
+    pos, path = ad.v_board(spark, sf).where("pos_id < 200"), str(tmp_path / "state")
+    args = {"epochs": 1, "games_per_step": 2, "lr": 0.01}
+    want, log = progress.progress_train(pos, **args)
+    plain, stops = progress.SmallSteps.take, []
+
+    def stopping(small, state, stop, rate):
+        stops.append(stop)
+        if len(stops) == 5:
+            raise KeyboardInterrupt
+        return plain(small, state, stop, rate)
+
+    monkeypatch.setattr(progress.SmallSteps, "take", stopping)
+    with pytest.raises(KeyboardInterrupt):
+        progress.progress_train(pos, **args, state_path=path, save_every=7)
+    monkeypatch.setattr(progress.SmallSteps, "take", plain)
+    assert 7 in stops and any(0 < s < 7 for s in stops) and progress.load_state(spark, path).step % 7 == 0
+    got, rest = progress.progress_train(pos, **args, state_path=path)
+    assert np.allclose(got, want, atol=1e-12) and rest[0]["train_samples"] == log[0]["train_samples"]
+
+
+def test_steps_without_both_kings_still_count(spark, sf):
+    """A step whose positions all lack a king moves the weights by its decaying moments alone; at the end there is none."""
+    board = ad.v_board(spark, sf).where("pos_id < 200")
+    labels = {r.pos_id: r.step_id for r in progress.game_labels(board, 0.0, 2).select("pos_id", "step_id").collect()}
+    last = max(labels.values())
+    gone = [p for p, step in labels.items() if step in (5, 6, last)]
+    pos = board.withColumn("bk_sq", F.when(~F.col("pos_id").isin(gone), F.col("bk_sq")))
+    table = progress.training_table(pos, 0.0, 2).toArrow().to_pylist()
+    assert last > 20 and max(r["step_id"] for r in table) == last - 1
+    w, log = progress.progress_train(pos, epochs=1, games_per_step=2, lr=0.01)
+    state = progress.TrainState.start()
+    for step in range(last):
+        g = np.zeros(progress.N_WEIGHTS)
+        for r in (r for r in table if r["step_id"] == step):
+            p = 1 / (1 + math.exp(-sum(state.w[i] for i in r["idx"])))
+            np.add.at(g, r["idx"], 2 * (p - r["target"]) * p * (1 - p) * r["norm"])
+        state.take(g, 0.01 * math.sqrt(2))
+    assert log[0]["train_samples"] == len(table) and np.allclose(w, state.w, atol=1e-9)
+
+
 def test_training_starts_from_a_stored_table(spark, sf, tmp_path):
     from kifulake.sources import documents
 
